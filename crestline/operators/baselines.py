@@ -50,22 +50,28 @@ def median_and_mad(samples: DataFrame, keys: list[str], cfg: Config = DEFAULT) -
     return n.join(mid, keys).join(mad, keys)
 
 
-def scoring_baselines(posts: DataFrame, previous: DataFrame | None, now, cfg: Config = DEFAULT) -> DataFrame:
+def scoring_baselines(
+    posts: DataFrame, previous: DataFrame | None, now, cfg: Config = DEFAULT, markets: list[str] | None = None
+) -> DataFrame:
     """One row per (platform, market, metric) with the baseline to use.
 
     Computed when the cohort has enough samples, else the previous row when
     that one had, else the default. ``n`` is this run's sample count unless the
     previous row is taken, so a default never becomes a trusted previous.
+    ``markets`` spares the pass that looks them up.
     """
     spark = posts.sparkSession
     grid = spark.createDataFrame(
         [(p, m, *cfg.default_baselines[(p, m)]) for p in PLATFORMS for m in BASELINE_METRICS],
         "platform string, metric string, d_median double, d_mad double",
     )
-    markets = posts.select("market").distinct()
+    if markets is None:
+        named = posts.select("market").distinct()
+    else:
+        named = spark.createDataFrame([(m,) for m in markets], "market string")
     got = median_and_mad(metric_samples(posts, now, cfg), KEY, cfg)
     # The grid is platforms x metrics x markets: tens of rows.
-    out = markets.join(F.broadcast(grid)).join(got, KEY, "left")
+    out = named.join(F.broadcast(grid)).join(got, KEY, "left")
     if previous is not None:
         prev = previous.where(F.col("n") >= cfg.baseline_min_n).select(
             *KEY, F.col("n").alias("p_n"), F.col("median").alias("p_median"), F.col("mad").alias("p_mad")

@@ -40,7 +40,13 @@ def daily_rollup(posts: DataFrame, post_tags: DataFrame, cfg: Config = DEFAULT)
     Counts and the distinct-creator count combine map-side; the median goes
     through the guarded path when one tag-day holds too many rows.
     """
-    rows = tagged_posts(posts, post_tags).withColumn("date", S.utc_day(F.col("last_seen_at")))
+    rows = tagged_posts(posts, post_tags).withColumns(
+        {
+            "date": S.utc_day(F.col("last_seen_at")),
+            # Stored rates have two decimals; whole hundredths keep the middle exact.
+            "_cents": (F.col("vph").cast("decimal(14,2)") * 100).cast("bigint"),
+        }
+    )
     hot = heavy_keys(rows.where("vph is not null"), DAY_KEY, cfg.max_group_rows)
     q = is_qualified()
     aggs = [
@@ -52,12 +58,12 @@ def daily_rollup(posts: DataFrame, post_tags: DataFrame, cfg: Config = DEFAULT)
         S.null_if_zero(F.sum(F.when(q, F.col("views")))).alias("viral_views_sum"),
     ]
     if hot is None:
-        out = rows.groupBy(*DAY_KEY).agg(*aggs, F.median(F.col("vph").cast("double")).alias("median_vph"))
+        out = rows.groupBy(*DAY_KEY).agg(*aggs, F.median("_cents").alias("median_vph"))
     else:
-        med = grouped_median(rows, DAY_KEY, "vph", "median_vph", cfg.max_group_rows)
+        med = grouped_median(rows, DAY_KEY, "_cents", "median_vph", cfg.max_group_rows)
         out = rows.groupBy(*DAY_KEY).agg(*aggs).join(med, DAY_KEY, "left")
     return out.withColumns(
-        {"scans": F.col("posts_seen"), "median_vph": F.col("median_vph").cast("decimal(14,2)")}
+        {"scans": F.col("posts_seen"), "median_vph": (S.round_half_up(F.col("median_vph")) / 100).cast("decimal(14,2)")}
     )
 
 

@@ -237,19 +237,19 @@ def scored_posts(
     previous_baselines: DataFrame | None = None,
     cfg: Config = DEFAULT,
     keep_components: bool = False,
-    stage: bool = False,
+    stage: bool = True,
 ) -> DataFrame:
     """The scored row of every eligible post; ``posts`` carries the stored state.
 
-    The measured posts feed both the baselines and the scores. ``stage=True``
-    writes them once to the shared folder instead of computing them twice,
-    which pays once snapshots dominate the cost.
+    The measured posts feed the baselines (three passes) and the scores, so
+    they are written once to the shared folder: one row per eligible post,
+    against a recomputation from the snapshots per pass with ``stage=False``.
     """
     live = eligible_posts(posts, market, now, cfg)
     measured = measured_posts(live, snapshots, now, cfg)
     if stage:
         measured = materialize(measured, "measured")
-    base = wide_baselines(scoring_baselines(measured, previous_baselines, now, cfg))
+    base = wide_baselines(scoring_baselines(measured, previous_baselines, now, cfg, [market]))
     momentum = post_tag_momentum(post_tags, hashtags, tracked, live, cfg)
     # base has one row per (platform, market): a broadcast of a few rows.
     joined = measured.join(F.broadcast(base), ["platform", "market"]).join(momentum, "post_id", "left")

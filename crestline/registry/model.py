@@ -107,7 +107,7 @@ class Model:
             .when(u % 2 == 0, "video")
             .otherwise("reel")
             .alias("content_type"),
-            F.when(~(u % 10).isin(3, 7), F.concat(F.lit("u"), u.cast("string"))).alias("creator_username"),
+            F.when(~(u % 10).isin(3, 7), F.concat(F.lit("u"), F.floor(u / 8).cast("string"))).alias("creator_username"),
             F.when(u % 10 != 7, F.concat(F.lit("c"), u.cast("string"))).alias("creator_external_id"),
             _case(u % 6, enumerate(CAPTIONS)).alias("caption"),
             F.when(u % 19 != 0, F.col("day").cast("timestamp")).alias("published_at"),
@@ -127,8 +127,8 @@ class Model:
             (v / F.greatest(hours, F.lit(1.0))).cast("decimal(14,2)").alias("vph"),
             F.lit("OBSERVED").alias("vph_kind"),
             F.lit("MEDIUM").alias("velocity_confidence"),
-            F.lit(0).alias("trend_score"),
-            F.lit(0).alias("rising_score"),
+            F.when(p % 23 != 0, (p * 37) % 101).cast("int").alias("trend_score"),
+            ((p * 53) % 101).cast("int").alias("rising_score"),
             _case(p % 4, [(0, "RISING"), (1, "STABLE"), (2, "BREAKOUT")]).alias("trend_state"),
             F.when(p % 4 != 3, S.plus_hours(self.now, -(u % 7).cast("double"))).alias("trend_state_since"),
             F.lit(None).cast("timestamp").alias("scored_at"),
@@ -336,7 +336,7 @@ cte(
   'https://www.tiktok.com/@u' || user_id || '/video/' || (post_id + 7000000000) AS canonical_url,
   CASE WHEN user_id % 11 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'carousel' ELSE 'image' END
        WHEN user_id % 2 = 0 THEN 'video' ELSE 'reel' END AS content_type,
-  CASE WHEN user_id % 10 NOT IN (3, 7) THEN 'u' || user_id END AS creator_username,
+  CASE WHEN user_id % 10 NOT IN (3, 7) THEN 'u' || (user_id // 8) END AS creator_username,
   CASE WHEN user_id % 10 <> 7 THEN 'c' || user_id END AS creator_external_id,
   CASE user_id % 6 WHEN 0 THEN 'pcbuild tour' WHEN 1 THEN 'ps5 night' WHEN 2 THEN 'cosplay reveal'
     WHEN 3 THEN 'live stream' WHEN 4 THEN 'gamer moment' END AS caption,
@@ -349,8 +349,8 @@ cte(
   CASE post_id % 4 WHEN 0 THEN 'RISING' WHEN 1 THEN 'STABLE' WHEN 2 THEN 'BREAKOUT' END AS prev_state,
   CASE WHEN post_id % 4 <> 3 THEN now_us - (user_id % 7) * 3600000000 END AS prev_since,
   CASE WHEN user_id % 3 <> 0 THEN epoch_us(CAST(day AS TIMESTAMP)) + (user_id % 48) * 3600000000 END AS refresh_us,
-  user_id % 5 AS paid_refresh_count,
-  coalesce('u' || CASE WHEN user_id % 10 NOT IN (3, 7) THEN user_id END, 'c' || CASE WHEN user_id % 10 <> 7 THEN user_id END, CAST(post_id AS VARCHAR)) AS creator,
+  user_id % 5 AS paid_refresh_count, CASE WHEN post_id % 23 <> 0 THEN (post_id * 37) % 101 END AS trend_score0, (post_id * 53) % 101 AS rising_score0,
+  coalesce('u' || CASE WHEN user_id % 10 NOT IN (3, 7) THEN user_id // 8 END, 'c' || CASE WHEN user_id % 10 <> 7 THEN user_id END, CAST(post_id AS VARCHAR)) AS creator,
   CAST(make_timestamp(last_us) AS DATE) AS seen_day
 FROM posts0""",
 )
@@ -397,7 +397,7 @@ cte(
     """SELECT seen_day AS date, platform, market, hashtag_id, count(*) AS posts_seen,
   count(*) FILTER (WHERE tier = 'WATCH') AS watch_posts, count(*) FILTER (WHERE tier = 'VIRAL_QUALIFIED') AS viral_posts,
   count(*) FILTER (WHERE tier = 'EARLY_BREAKOUT') AS breakout_posts, count(DISTINCT creator) AS distinct_creators,
-  CAST(nullif(sum(views) FILTER (WHERE q), 0) AS BIGINT) AS viral_views_sum, round(median(vph), 2) AS median_vph, count(*) AS scans
+  CAST(nullif(sum(views) FILTER (WHERE q), 0) AS BIGINT) AS viral_views_sum, floor(median(CAST(round(vph * 100) AS BIGINT)) + 0.5) / 100 AS median_vph, count(*) AS scans
 FROM tagged GROUP BY 1, 2, 3, 4""",
 )
 

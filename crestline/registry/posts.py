@@ -391,7 +391,7 @@ def scored_rows(spark, sf):
     "I9, K25",
     compose(
         """SELECT p.post_id, CASE WHEN s.post_id IS NULL THEN p.tier ELSE s.tier END AS tier, CASE WHEN s.post_id IS NULL THEN 'OBSERVED' ELSE nullif(s.vph_kind, 'NONE') END AS vph_kind,
- CASE WHEN s.post_id IS NULL THEN 0 ELSE s.trend_score END AS trend_score, CASE WHEN s.post_id IS NULL THEN p.prev_state ELSE s.trend_state END AS trend_state,
+ CASE WHEN s.post_id IS NULL THEN p.trend_score0 ELSE s.trend_score END AS trend_score, CASE WHEN s.post_id IS NULL THEN p.prev_state ELSE s.trend_state END AS trend_state,
  coalesce(s.post_id IS NOT NULL, false) AS fresh FROM posts p LEFT JOIN scored s USING (post_id)"""
     ),
 )
