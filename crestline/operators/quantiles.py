@@ -1,4 +1,4 @@
-"""Exact grouped medians that survive groups too big for one task."""
+"""Exact grouped percentiles that survive groups too big for one task."""
 
 from __future__ import annotations
 
@@ -12,30 +12,36 @@ BINS = 1024
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: str, out: str, max_group_rows: int) -> DataFrame:
-    """(keys, out): exact median of the non-null ``value`` per group.
+    return grouped_percentile(df, keys, value, 0.5, out, max_group_rows)
+
+
+def grouped_percentile(df: DataFrame, keys: list[str], value: str, p: float, out: str, max_group_rows: int) -> DataFrame:
+    """(keys, out): exact, linearly interpolated percentile of the non-null ``value``.
 
     Groups up to ``max_group_rows`` use the built-in; bigger ones narrow an
-    observed [lo, hi] bracket around the middle ranks by binned counts (only
+    observed [lo, hi] bracket around the wanted ranks by binned counts (only
     map-side-combined aggregates move) until few enough rows remain.
     """
     vals = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
     big = heavy_keys(vals, keys, max_group_rows)
     if big is None:
-        return vals.groupBy(*keys).agg(F.median("x").alias(out))
-    small = vals.join(big, keys, "left_anti").groupBy(*keys).agg(F.median("x").alias(out))
-    return small.unionByName(_narrowed_median(vals.join(big, keys, "left_semi"), keys, out, max_group_rows))
+        return vals.groupBy(*keys).agg(F.percentile("x", p).alias(out))
+    small = vals.join(big, keys, "left_anti").groupBy(*keys).agg(F.percentile("x", p).alias(out))
+    return small.unionByName(_narrowed(vals.join(big, keys, "left_semi"), keys, p, out, max_group_rows))
 
 
-def _narrowed_median(vals: DataFrame, keys: list[str], out: str, limit: int) -> DataFrame:
+def _narrowed(vals: DataFrame, keys: list[str], p: float, out: str, limit: int) -> DataFrame:
     vals = materialize(vals, "median-rows")
+    pos = (F.col("n") - 1) * F.lit(p)
     state = vals.groupBy(*keys).agg(
         F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
     ).select(
         *keys,
         "lo",
         "hi",
-        F.floor((F.col("n") + 1) / 2).alias("k1"),
-        (F.floor(F.col("n") / 2) + 1).alias("k2"),
+        (F.floor(pos) + 1).alias("k1"),
+        (F.ceil(pos) + 1).alias("k2"),
+        (pos - F.floor(pos)).alias("frac"),
         F.col("n").alias("inside"),
     )
     state = materialize(state, "median-state")
@@ -55,10 +61,13 @@ def _narrowed_median(vals: DataFrame, keys: list[str], out: str, limit: int) ->
         vals.join(state.where("hi > lo"), keys)
         .where("x >= lo and x <= hi")
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+        .agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("frac").alias("f"))
         .select(
             *keys,
-            ((F.element_at("xs", F.col("k1").cast("int")) + F.element_at("xs", F.col("k2").cast("int"))) / 2).alias(out),
+            (
+                F.element_at("xs", F.col("k1").cast("int")) * (F.lit(1.0) - F.col("f"))
+                + F.element_at("xs", F.col("k2").cast("int")) * F.col("f")
+            ).alias(out),
         )
     )
     return flat.unionByName(rest)
@@ -70,7 +79,7 @@ def _narrow(vals: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
         vals.join(live, keys)
         .where("x >= lo and x <= hi")
         .withColumn("b", F.least(F.lit(BINS - 1), F.floor((F.col("x") - F.col("lo")) / width * BINS)))
-        .groupBy(*keys, "k1", "k2", "b")
+        .groupBy(*keys, "k1", "k2", "frac", "b")
         .agg(F.count("x").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
     )
     w = Window.partitionBy(*keys).orderBy("b")
@@ -78,7 +87,7 @@ def _narrow(vals: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
     has1 = (F.col("below") < F.col("k1")) & (F.col("k1") <= F.col("upto"))
     has2 = (F.col("below") < F.col("k2")) & (F.col("k2") <= F.col("upto"))
     return (
-        cum.groupBy(*keys, "k1", "k2")
+        cum.groupBy(*keys, "k1", "k2", "frac")
         .agg(
             F.max(F.when(has1, F.col("mn"))).alias("lo"),
             F.max(F.when(has2, F.col("mx"))).alias("hi"),
@@ -91,6 +100,7 @@ def _narrow(vals: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
             "hi",
             (F.col("k1") - F.col("skip")).alias("k1"),
             (F.col("k2") - F.col("skip")).alias("k2"),
+            "frac",
             (F.col("upto2") - F.col("skip")).alias("inside"),
         )
     )

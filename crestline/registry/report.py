@@ -410,7 +410,7 @@ def to_freeze(spark, sf):
 def _live_sql(where: str, mode: str) -> str:
     if mode == "rising":
         return f"SELECT *, row_number() OVER (ORDER BY coalesce(rising_score0, 0) DESC, post_id) AS rank FROM (SELECT * FROM pool WHERE (now_us - pub_us) / 3600000000.0 <= 24 AND {where} ORDER BY {RISE} LIMIT 30)"
-    return f"SELECT *, row_number() OVER (ORDER BY {KEY}) AS rank FROM pool WHERE {where} QUALIFY rank <= 30"
+    return f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {KEY}) AS rank FROM pool WHERE {where}) WHERE rank <= 30"
 
 
 @query(

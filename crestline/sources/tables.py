@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -19,3 +20,132 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
         for f in df.schema.fields
     ]
     return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+# Stored tables: columns as Spark DDL and the partition columns of the folder.
+TABLES: dict[str, tuple[str, list[str]]] = {
+    "posts": (
+        "post_id bigint, platform string, external_id string, market string, canonical_url string, content_type string, "
+        "creator_username string, creator_external_id string, creator_followers bigint, creator_verified boolean, caption string, "
+        "music_id string, music_title string, music_author string, published_at timestamp, duration_sec decimal(10,3), views bigint, "
+        "views_metric string, likes bigint, comments bigint, shares bigint, saves bigint, first_seen_at timestamp, "
+        "last_seen_at timestamp, tier string, availability string, vph decimal(14,2), vph_kind string, velocity_confidence string, "
+        "trend_score int, rising_score int, trend_state string, trend_state_since timestamp, scored_at timestamp, scoring_version int, "
+        "next_refresh_at timestamp, paid_refresh_count int",
+        ["market", "platform"],
+    ),
+    "post_snapshots": (
+        "post_id bigint, observed_at timestamp, views bigint, likes bigint, comments bigint, shares bigint, saves bigint, "
+        "views_metric string, source string, provider_job_id bigint, observed_date date",
+        ["observed_date"],
+    ),
+    "hashtags": (
+        "hashtag_id bigint, name string, is_generic boolean, is_blocked boolean, first_seen_at timestamp, last_seen_at timestamp", [],
+    ),
+    "post_hashtags": ("post_id bigint, hashtag_id bigint, position int", []),
+    "post_discoveries": (
+        "post_id bigint, provider_job_id bigint, hashtag_id bigint, query_text string, rank_in_results int, observed_at timestamp", [],
+    ),
+    "post_categories": ("post_id bigint, category string, confidence double, source string", []),
+    "hashtag_categories": ("hashtag_id bigint, category string, confidence double, source string", []),
+    "tracked_hashtags": (
+        "tracked_id bigint, hashtag_id bigint, platform string, market string, tier string, source string, trend_state string, "
+        "trend_state_since timestamp, momentum decimal(6,5), next_due_at timestamp, last_scanned_at timestamp, scans_total int, "
+        "probes_in_tier int, consecutive_empty_scans int, tier_changed_at timestamp",
+        [],
+    ),
+    "hashtag_daily_stats": (
+        "date date, platform string, market string, hashtag_id bigint, posts_seen bigint, watch_posts bigint, viral_posts bigint, "
+        "breakout_posts bigint, distinct_creators bigint, viral_views_sum bigint, median_vph decimal(14,2), scans bigint, "
+        "trend_state string, momentum decimal(6,5)",
+        ["date"],
+    ),
+    "hashtag_cooccurrence_daily": (
+        "date date, platform string, market string, tag_a bigint, tag_b bigint, posts bigint, viral_posts bigint, views_sum bigint", ["date"],
+    ),
+    "hashtag_tier_events": ("tracked_id bigint, from_tier string, to_tier string, reason string, at timestamp", []),
+    "scoring_baselines": (
+        "platform string, market string, metric string, computed_at timestamp, n int, median decimal(18,4), mad decimal(18,4)", [],
+    ),
+    "quarantined_items": (
+        "provider string, platform string, provider_job_id bigint, payload string, error string, created_at timestamp", [],
+    ),
+}
+
+
+def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    return {n: spark.createDataFrame([], ddl) for n, (ddl, _) in TABLES.items()}
+
+
+class Store:
+    """Tables as parquet folders with numbered versions and a pointer each.
+
+    A rewrite lands in a fresh folder and the pointer moves last, so readers
+    see the old or the new table, never half of one; appends and partition
+    overwrites go into the current folder.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _fs(self, path: str):
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _version(self, name: str) -> int | None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return None
+        done = [int(s.getPath().getName()[8:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("current=")]
+        return max(done) if done else None
+
+    def path(self, name: str, version: int | None = None) -> str:
+        v = self._version(name) if version is None else version
+        return f"{self.root}/{name}/v{v or 0}"
+
+    def read(self, name: str) -> DataFrame:
+        ddl, _ = TABLES[name]
+        if self._version(name) is None:
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.schema(ddl).parquet(self.path(name))
+
+    def _point(self, name: str, version: int) -> None:
+        fs, p = self._fs(f"{self.root}/{name}/current={version}")
+        fs.create(p, True).close()
+
+    def rewrite(self, name: str, df: DataFrame) -> None:
+        ddl, parts = TABLES[name]
+        v = self._version(name)
+        v = 0 if v is None else v + 1
+        self._shaped(df, ddl).write.mode("overwrite").partitionBy(*parts).parquet(self.path(name, v))
+        self._point(name, v)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        self._into(name, df, "append")
+
+    def overwrite_partitions(self, name: str, df: DataFrame) -> None:
+        """Replace only the partitions present in ``df`` (idempotent reruns)."""
+        self._into(name, df, "overwrite")
+
+    def _into(self, name: str, df: DataFrame, mode: str) -> None:
+        ddl, parts = TABLES[name]
+        v = self._version(name)
+        w = self._shaped(df, ddl).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
+        w.parquet(self.path(name, v or 0))
+        if v is None:
+            self._point(name, 0)
+
+    def _shaped(self, df: DataFrame, ddl: str) -> DataFrame:
+        """Columns and types of the table; the snapshot date is derived."""
+        want = T.StructType.fromDDL(ddl)
+        have = set(df.columns)
+        cols = []
+        for f in want.fields:
+            if f.name == "observed_date" and "observed_date" not in have:
+                cols.append(F.to_date("observed_at").alias("observed_date"))
+            elif f.name in have:
+                cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            else:
+                cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+        return df.select(*cols)
