@@ -11,6 +11,7 @@ from crestline.operators import normalize as N
 from crestline.operators.redact import redact
 from crestline.registry.base import big, compose, cte, out, query, us
 from crestline.registry.model import model
+from crestline.session import materialize
 
 # Raw payloads are written from the events so that every parser branch occurs:
 # k % 10 decides the defect, the user's parity the source.
@@ -395,7 +396,8 @@ def batch_effects(spark, sf):
     good = good.withColumns(
         {"source": F.lit("DISCOVERY"), "query_text": F.lit(None).cast("string"), "query_hashtag_id": F.lit(None).cast("bigint"), "rank_in_results": F.lit(0)}
     )
-    eff = I.observation_effects(empty_tables(spark), I.flat_observations(good))
+    # Five tables derive from the batch: normalise once, then read it back.
+    eff = I.observation_effects(empty_tables(spark), materialize(I.flat_observations(good), "observations"))
     parts = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("table_name", F.lit(n)) for n, df in eff.items()]
     res = parts[0]
     for p in parts[1:]:
