@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 MAX_TAG = 100
 # Accepted shapes of tags, handles, ids and permalinks.
@@ -15,15 +16,18 @@ CAPTION_TAG = r"#([\p{L}\p{N}_]+)"
 HANDLE = r"\A[\w.-]{1,80}\z"
 VIDEO_ID = r"\A\d{5,25}\z"
 SHORTCODE = r"\A[A-Za-z0-9_-]{5,20}\z"
-VIDEO_PATH = r"\A/@([\w.-]{1,80})/video/(\d{5,25})/?\z"
-PROFILE_PATH = r"\A/@([\w.-]{1,80})/?\z"
-POST_PATH = r"\A/(?:p|reel|reels|tv)/([A-Za-z0-9_-]{5,20})(?:/.*)?\z"
+VIDEO_PATH = r"/@([\w.-]{1,80})/video/(\d{5,25})/?"
+PROFILE_PATH = r"/@([\w.-]{1,80})/?"
+POST_PATH = r"/(?:p|reel|reels|tv)/([A-Za-z0-9_-]{5,20})(?:/[^?#]*)?"
 MARKET = r"\A[a-z][a-z0-9_-]{1,31}\z"
 
 
+SPACES = "".join(map(chr, (*range(9, 14), 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279)))
+
+
 def strip_space(c: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)\A[\s﻿]+|[\s﻿]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 # --- numbers -----------------------------------------------------------------------
@@ -66,7 +70,7 @@ def time_from_text(c: Column) -> Column:
 
 # --- tags --------------------------------------------------------------------------
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _nfkc_lists(lists: pd.Series) -> pd.Series:
     return lists.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
 
@@ -106,9 +110,12 @@ def url_host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"\Awww\.", "")
 
 
-def _path_part(url: Column, host: str, pattern: str, group: int) -> Column:
-    part = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), pattern, group)
-    return F.when((url_host(url) == host) & (part != ""), part)
+def _path_part(url: Column, host: str, path: str, group: int) -> Column:
+    """A path group of a URL on the given host; one pass over the text."""
+    own = host.replace(".", r"\.")
+    pattern = rf"\A(?i:[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?{own})(?::\d+)?{path}(?:[?#].*)?\z"
+    part = F.regexp_extract(url, pattern, group)
+    return F.when(part != "", part)
 
 
 def video_handle(url: Column) -> Column:

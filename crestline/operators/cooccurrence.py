@@ -13,8 +13,8 @@ from crestline.session import materialize
 PAIR_KEY = ["date", "platform", "market", "tag_a", "tag_b"]
 
 
-def post_pairs(post_tags: DataFrame, hashtags: DataFrame, cfg: Config = DEFAULT, drop_blocked: bool = False) -> DataFrame:
-    """(post_id, tag_a, tag_b): unordered pairs of a post's first tags, a < b by name.
+def tag_lists(post_tags: DataFrame, hashtags: DataFrame, cfg: Config = DEFAULT, drop_blocked: bool = False) -> DataFrame:
+    """(post_id, tags): a post's first plain tags as structs (n, i), sorted by name.
 
     Only the first ``max_tags_per_post`` distinct tags by (position, name)
     take part; that bound belongs to the operator and caps a post at 45 pairs.
@@ -25,34 +25,46 @@ def post_pairs(post_tags: DataFrame, hashtags: DataFrame, cfg: Config = DEFAULT,
     named = post_tags.join(hashtags.where(keep).select("hashtag_id", "name"), "hashtag_id")
     w = Window.partitionBy("post_id").orderBy("position", "name")
     first = named.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cfg.max_tags_per_post)
-    lists = first.groupBy("post_id").agg(
+    return first.groupBy("post_id").agg(
         F.sort_array(F.collect_set(F.struct(F.col("name").alias("n"), F.col("hashtag_id").alias("i")))).alias("tags")
     )
-    pairs = F.flatten(
-        F.transform(
-            "tags",
-            lambda a, i: F.transform(
-                F.slice("tags", i + 2, cfg.max_tags_per_post),
-                lambda b: F.struct(a["i"].alias("tag_a"), b["i"].alias("tag_b"), a["n"].alias("name_a"), b["n"].alias("name_b")),
-            ),
-        )
+
+
+def _pairs(make) -> Column:
+    """All a < b pairs of the ``tags`` array as ``make(a, b)``."""
+    rest = F.transform("tags", lambda a, i: F.transform(F.slice("tags", i + 2, F.size("tags")), lambda b: make(a, b)))
+    return F.flatten(rest)
+
+
+def post_pairs(lists: DataFrame) -> DataFrame:
+    """(post_id, tag_a, tag_b, name_a, name_b): unordered pairs, a < b by name."""
+    return lists.select(
+        "post_id",
+        F.inline(
+            _pairs(lambda a, b: F.struct(a["i"].alias("tag_a"), b["i"].alias("tag_b"), a["n"].alias("name_a"), b["n"].alias("name_b")))
+        ),
     )
-    return lists.select("post_id", F.inline(pairs))
 
 
-def daily_pairs(posts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pair rows per (date, platform, market): posts, qualified posts, their views."""
+def daily_pairs(posts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pair rows per (date, platform, market): posts, qualified posts, their views.
+
+    Posts join their lists one row each; pairs unfold just below the map-side
+    aggregation, so the unfolded rows never cross the network.
+    """
     facts = posts.select(
-        "post_id", "platform", "market", S.utc_day(F.col("last_seen_at")).alias("date"), "views", is_qualified().alias("q")
+        "post_id", "platform", "market", S.utc_day(F.col("last_seen_at")).alias("date"),
+        is_qualified().alias("q"), F.when(is_qualified(), F.col("views")).alias("qv"),
     )
+    ids = _pairs(lambda a, b: F.struct(a["i"].alias("tag_a"), b["i"].alias("tag_b")))
     return (
-        pairs.select("post_id", "tag_a", "tag_b")
-        .join(facts, "post_id")
+        lists.join(facts, "post_id")
+        .select("date", "platform", "market", "q", "qv", F.inline(ids))
         .groupBy(*PAIR_KEY)
         .agg(
             F.count(F.lit(1)).alias("posts"),
             F.count_if("q").alias("viral_posts"),
-            S.null_if_zero(F.sum(F.when(F.col("q"), F.col("views")))).alias("views_sum"),
+            S.null_if_zero(F.sum("qv")).alias("views_sum"),
         )
     )
 

@@ -59,8 +59,9 @@ def merge_posts(stored: DataFrame, batch: DataFrame, market: str = "global") ->
             cols.append(F.least(c, n).alias(c))
         elif c == "last_seen_at":
             cols.append(F.greatest(c, n).alias(c))
-        elif c == "market":
-            cols.append(F.coalesce(c, F.lit(market)).alias(c))
+        elif c in ("market", "availability", "paid_refresh_count"):
+            first = {"market": market, "availability": "ACTIVE", "paid_refresh_count": 0}[c]
+            cols.append(F.coalesce(c, F.lit(first)).alias(c))
         elif c in KNOWN or c in ALWAYS:
             if n not in j.columns:
                 cols.append(F.col(c))
@@ -149,22 +150,15 @@ def new_snapshots(stored: DataFrame, batch: DataFrame, cfg: Config = DEFAULT) ->
     newest = stored.join(touched, "post_id", "left_semi").groupBy("post_id").agg(F.max_by(row, "observed_at").alias("n"))
     old = newest.select("post_id", "n.*").withColumn("_old", F.lit(True))
     both = batch.withColumn("_old", F.lit(False)).unionByName(old, allowMissingColumns=True)
-    # A stored row outlives its equal twins of the batch at the same instant.
-    kept = dedup_snapshots(both, cfg)
-    same = old.select("post_id", "observed_at", *[F.col(m).alias(f"o_{m}") for m in METRICS])
-    out = kept.where("not _old").join(same, ["post_id", "observed_at"], "left")
-    twin = F.lit(True)
-    for m in METRICS:
-        twin = twin & F.col(m).eqNullSafe(F.col(f"o_{m}"))
-    matched = F.col("post_id").isNotNull() & F.coalesce(twin, F.lit(False)) & _any_old()
-    return out.where(~matched).select(*batch.columns)
-
-
-def _any_old() -> Column:
-    out = F.lit(False)
-    for m in METRICS:
-        out = out | F.col(f"o_{m}").isNotNull()
-    return out
+    kept = dedup_snapshots(both, cfg).where("not _old").select(*batch.columns)
+    # A row stored already (same instant, same metrics) is not appended again.
+    at = ["post_id", "observed_at"]
+    near = batch.select(*at).distinct()
+    if "observed_date" in stored.columns:  # lets the join prune date partitions
+        near = near.withColumn("observed_date", F.to_date("observed_at"))
+    twins = stored.join(near, near.columns, "left_semi").select(*[F.col(c).alias(f"s_{c}") for c in (*at, *METRICS)])
+    equal = (F.col("post_id") == F.col("s_post_id")) & (F.col("observed_at") == F.col("s_observed_at")) & _same("", "s_")
+    return kept.join(twins, equal, "left_anti")
 
 
 # --- tags and discoveries -------------------------------------------------------------

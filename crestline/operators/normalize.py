@@ -35,20 +35,20 @@ B_P1 = {
     "discovery_input.search_keyword": "s", "input": "o", "input.discovery_input": "o",
     "input.discovery_input.search_keyword": "s",
 }
-KINDS = {"s": "STRING", "n": "NUMBER", "b": "BOOLEAN", "o": "OBJECT", "z": "VOID", "l": "ARRAY", "m": "ARRAY"}
+# First three letters of the JSON value's type name.
+STRING, BOOLEAN, OBJECT, VOID, ARRAY, WHOLE = "STR", "BOO", "OBJ", "VOI", "ARR", "BIG"
+NUMBERS = (WHOLE, "DEC", "DOU", "FLO", "INT", "SMA", "TIN")
+KINDS = {"s": STRING, "b": BOOLEAN, "o": OBJECT, "z": VOID, "l": ARRAY, "m": ARRAY}
 V = "_v"
 
 
-NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
-
-
 def _at(path: str, kind: str) -> Column:
     return F.try_variant_get(F.col(V), f"$.{path}", kind)
 
 
 def _word(v: Column) -> Column:
-    """First word of the JSON value's type: STRING, BIGINT, VOID, ARRAY, ..."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    """Type of a JSON value by its first three letters: STR, BIG, VOI, ARR, ..."""
+    return F.substring(F.schema_of_variant(v), 1, 3)
 
 
 def _name(prefix: str, path: str) -> str:
@@ -77,7 +77,7 @@ def _parsed(raw: DataFrame, spec: dict[str, str]) -> DataFrame:
     df = raw.withColumn(V, F.try_parse_json("payload"))
     kinds = {_name("_k", p): _word(_at(p, "variant")) for p in spec}
     df = _once(df, {"_root": _word(F.col(V)), **kinds})
-    bad = F.coalesce(F.col("_root") != "OBJECT", F.lit(True))
+    bad = F.coalesce(F.col("_root") != OBJECT, F.lit(True))
     for path, allowed in spec.items():
         bad = bad | _bad_field(path, allowed)
     return df.withColumn("_bad", bad)
@@ -94,57 +94,57 @@ def _bad_field(path: str, allowed: str) -> Column:
 
 
 def _bad_tag(x: Column, objects: bool) -> Column:
-    own = _word(x) == "STRING"
+    own = _word(x) == STRING
     if not objects:
         return ~F.coalesce(own, F.lit(False))
-    named = _word(F.try_variant_get(x, "$.name", "variant")) == "STRING"
+    named = _word(F.try_variant_get(x, "$.name", "variant")) == STRING
     return ~F.coalesce(own | named, F.lit(False))
 
 
 def _text(path: str) -> Column:
-    return F.when(_kind(path) == "STRING", _at(path, "string"))
+    return F.when(_kind(path) == STRING, _at(path, "string"))
 
 
 def _id(path: str) -> Column:
     """A string as is, a whole number as its digits."""
-    return F.when(_kind(path).isin("STRING", *NUMBERS), _at(path, "string"))
+    return F.when(_kind(path).isin(STRING, *NUMBERS), _at(path, "string"))
 
 
 def _count(path: str) -> Column:
     k = _kind(path)
     return F.when(k.isin(*NUMBERS), F.coalesce(_whole(path), T.count_from_number(_at(path, "double")))).when(
-        k == "STRING", T.count_from_text(_at(path, "string"))
+        k == STRING, T.count_from_text(_at(path, "string"))
     )
 
 
 def _whole(path: str) -> Column:
     n = _at(path, "bigint")
-    return F.when((_kind(path) == "BIGINT") & (n >= 0), n)
+    return F.when((_kind(path) == WHOLE) & (n >= 0), n)
 
 
 def _duration(path: str) -> Column:
     k = _kind(path)
     return F.when(k.isin(*NUMBERS), T.duration_from_number(_at(path, "double"))).when(
-        k == "STRING", T.duration_from_text(_at(path, "string"))
+        k == STRING, T.duration_from_text(_at(path, "string"))
     )
 
 
 def _time(path: str) -> Column:
     k = _kind(path)
     return F.when(k.isin(*NUMBERS), T.time_from_number(_at(path, "double"))).when(
-        k == "STRING", T.time_from_text(_at(path, "string"))
+        k == STRING, T.time_from_text(_at(path, "string"))
     )
 
 
 def _flag(path: str) -> Column:
-    return F.when(_kind(path) == "BOOLEAN", _at(path, "boolean"))
+    return F.when(_kind(path) == BOOLEAN, _at(path, "boolean"))
 
 
 def tag_names(path: str) -> Column:
     """Names out of an array of strings and of objects carrying a name."""
     names = F.transform(
         _at(path, "array<variant>"),
-        lambda x: F.when(_word(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(
+        lambda x: F.when(_word(x) == STRING, F.try_variant_get(x, "$", "string")).otherwise(
             F.try_variant_get(x, "$.name", "string")
         ),
     )

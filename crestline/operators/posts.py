@@ -294,11 +294,12 @@ SCORE_FIELDS = (
 
 def write_back_scores(posts: DataFrame, scored: DataFrame) -> DataFrame:
     """The posts table after the run: scored rows replaced, others untouched."""
-    fresh = scored.select("post_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in SCORE_FIELDS])
+    fields = [c for c in (*SCORE_FIELDS, "score_components") if c in posts.columns and c in scored.columns]
+    fresh = scored.select("post_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fields])
     out = posts.join(fresh, "post_id", "left")
     cols = []
     for c in posts.columns:
-        if c not in SCORE_FIELDS:
+        if c not in fields:
             cols.append(F.col(c))
             continue
         new = F.col(f"_{c}")

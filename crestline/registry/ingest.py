@@ -18,7 +18,8 @@ from crestline.session import materialize
 
 def raw_p1(m):
     """Vendor A, first platform: numbers, numeric texts, hidden counts, odd tags, broken records."""
-    e, k = m.events, F.col("k")
+    # Parsing is CPU-bound and a small table is a single scan task: spread it.
+    e, k = m.events.repartition("event_id"), F.col("k")
     vid = (F.col("event_id") + 7_000_000).cast("string")
     views = F.when(k % 10 == 1, F.concat(F.lit('"'), F.col("cents"), F.lit('"'))).when(k % 10 == 2, "-1").when(
         k % 10 == 3, F.concat(F.lit('"'), F.col("cents"), F.lit('.5"'))

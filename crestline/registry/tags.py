@@ -190,11 +190,11 @@ FROM pairs JOIN (SELECT *, coalesce(tier IN ('VIRAL_QUALIFIED', 'EARLY_BREAKOUT'
 @query("post_tag_pairs", "H11, K11, K12", compose("SELECT * FROM pairs"))
 def post_pairs(spark, sf):
     m = model(spark, sf)
-    return X.post_pairs(m.post_tags.drop("name"), m.hashtags).select("post_id", "tag_a", "tag_b", "name_a", "name_b")
+    return X.post_pairs(X.tag_lists(m.post_tags.drop("name"), m.hashtags)).select("post_id", "tag_a", "tag_b", "name_a", "name_b")
 
 
 def day_pairs(m):
-    return X.daily_pairs(m.posts, X.post_pairs(m.post_tags.drop("name"), m.hashtags))
+    return X.daily_pairs(m.posts, X.tag_lists(m.post_tags.drop("name"), m.hashtags))
 
 
 @query("daily_tag_pairs", "H12, I11", compose("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM dpairs"))
@@ -230,7 +230,7 @@ cte("ototal", "SELECT market, date, hashtag_id, sum(posts_seen) AS total_posts,
 
 def order_graph(m):
     """(edges, totals) of the order graph, all days."""
-    pairs = X.daily_pairs(m.order_posts, X.post_pairs(m.order_tags.drop("name"), m.order_hashtags))
+    pairs = X.daily_pairs(m.order_posts, X.tag_lists(m.order_tags.drop("name"), m.order_hashtags))
     edges = X.merged_edges(pairs, m.order_hashtags)
     roll = H.daily_rollup(m.order_posts, m.order_tags)
     return edges, X.tag_totals(roll)
