@@ -32,42 +32,40 @@ def posts_seen_between(posts: DataFrame, start: Column, end: Column) -> DataFram
 
 # --- components -----------------------------------------------------------------
 
-def velocity_component(cfg: Config) -> tuple[Column, Column]:
-    z = S.robust_z(F.col("vph"), F.col("vph_median"), F.col("vph_mad"), cfg)
-    n = S.sigmoid(z)
-    k = S.clamp(F.lit(1.0) - F.col("age_hours") / F.lit(cfg.shrink_hours), cfg.shrink_min, cfg.shrink_max)
-    return z, F.when(F.col("vph_kind") == "ESTIMATED", F.lit(0.5) + (n - 0.5) * k).otherwise(n)
-
-
-def reach_component(cfg: Config) -> tuple[Column, Column]:
-    z = S.robust_z(F.col("views"), F.col("views_median"), F.col("views_mad"), cfg)
-    return z, S.sigmoid(z)
-
+def with_components(posts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Adds c_<component> in 0..1 plus the z values behind velocity and reach.
 
-def engagement_component(cfg: Config) -> Column:
-    parts = []
-    for name, weight in cfg.engagement_weights.items():
-        m = f"{name}_ratio"
-        parts.append((S.sigmoid(S.robust_z(F.col(m), F.col(f"{m}_median"), F.col(f"{m}_mad"), cfg)), weight))
-    return S.weighted_mean(parts)
+    z values and their squashed forms become columns first: the combinations
+    use each of them several times.
+    """
 
+    def z(value: str, base: str) -> Column:
+        return S.robust_z(F.col(value), F.col(f"{base}_median"), F.col(f"{base}_mad"), cfg)
 
-def with_components(posts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Adds c_<component> in 0..1 plus the z values behind velocity and reach."""
-    vz, v = velocity_component(cfg)
-    rz, r = reach_component(cfg)
-    return posts.withColumns(
+    ratios = {name: f"{name}_ratio" for name in cfg.engagement_weights}
+    out = posts.withColumns(
+        {"z_velocity": z("vph", "vph"), "z_reach": z("views", "views"), **{f"z_{n}": z(m, m) for n, m in ratios.items()}}
+    )
+    out = out.withColumns(
+        {
+            "s_velocity": S.sigmoid(F.col("z_velocity")),
+            "s_keep": S.clamp(F.lit(1.0) - F.col("age_hours") / F.lit(cfg.shrink_hours), cfg.shrink_min, cfg.shrink_max),
+            **{f"s_{n}": S.sigmoid(F.col(f"z_{n}")) for n in ratios},
+        }
+    )
+    v = F.col("s_velocity")
+    out = out.withColumns(
         {
-            "z_velocity": vz,
-            "z_reach": rz,
-            "c_velocity": v,
-            "c_reach": r,
-            "c_engagement": engagement_component(cfg),
+            # An estimated rate shrinks towards the neutral middle as the post ages.
+            "c_velocity": F.when(F.col("vph_kind") == "ESTIMATED", F.lit(0.5) + (v - 0.5) * F.col("s_keep")).otherwise(v),
+            "c_reach": S.sigmoid(F.col("z_reach")),
+            "c_engagement": S.weighted_mean([(F.col(f"s_{n}"), w) for n, w in cfg.engagement_weights.items()]),
             "c_freshness": S.freshness(F.col("age_hours"), cfg.freshness_half_life),
             "c_hashtagMomentum": F.col("hashtag_momentum"),
             "c_acceleration": S.sigmoid(F.col("acceleration")),
         }
     )
+    return out.drop("s_velocity", "s_keep", *[f"{k}_{n}" for n in ratios for k in ("s", "z")])
 
 
 def score(weights: dict[str, float]) -> Column:
@@ -76,8 +74,8 @@ def score(weights: dict[str, float]) -> Column:
 
 
 def explanation(name: str, weights: dict[str, float]) -> Column:
-    """array<struct> with one entry per component of one score."""
-    total = S.total_weight([(F.col(f"c_{k}"), weights[k]) for k in COMPONENTS])
+    """array<struct> with one entry per component; w_<name> holds the available weight."""
+    total = F.col(f"w_{name}")
     raw = {
         "velocity": F.col("vph"),
         "reach": F.col("views").cast("double"),
@@ -273,11 +271,13 @@ def finish_scores(joined: DataFrame, now, cfg: Config = DEFAULT, keep_components
         }
     )
     if keep_components:
+        for name, weights in (("trend", cfg.trend_weights), ("rising", cfg.rising_weights)):
+            out = out.withColumn(f"w_{name}", S.total_weight([(F.col(f"c_{k}"), weights[k]) for k in COMPONENTS]))
         out = out.withColumn(
             "score_components",
             F.concat(explanation("trend", cfg.trend_weights), explanation("rising", cfg.rising_weights)),
         )
-    drop: Iterable[str] = [c for c in out.columns if c.endswith(("_median", "_mad"))]
+    drop: Iterable[str] = [c for c in out.columns if c.endswith(("_median", "_mad")) or c in ("w_trend", "w_rising")]
     return out.drop(*drop)
 
 
