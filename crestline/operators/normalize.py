@@ -64,9 +64,11 @@ def _once(df: DataFrame, cols: dict[str, Column], keep: list[str] | None = None)
 
     Filters and projections above it read the finished values: Catalyst would
     otherwise push a reject filter down by copying the whole parse into it.
+    The outer form, because the inner one gets an inferred size filter that
+    repeats the row expression.
     """
     row = F.struct(*[c.alias(n) for n, c in cols.items()])
-    return df.select(*(keep or df.columns), F.inline(F.array(row)))
+    return df.select(*(keep or df.columns), F.inline_outer(F.array(row)))
 
 
 def _parsed(raw: DataFrame, spec: dict[str, str]) -> DataFrame:

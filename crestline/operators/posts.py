@@ -283,7 +283,7 @@ def finish_scores(joined: DataFrame, now, cfg: Config = DEFAULT, keep_components
 
 def explain_rows(scored: DataFrame) -> DataFrame:
     """One row per (post, score, component)."""
-    return scored.select("post_id", F.inline("score_components"))
+    return scored.select("post_id", F.inline_outer("score_components"))
 
 
 SCORE_FIELDS = (
