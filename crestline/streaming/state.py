@@ -1,8 +1,8 @@
 """Keyed state processors: one small value per post or tag.
 
-The state is bounded per key, and a batch's rows of a key are read as an
-iterator, so a heavy key costs time in its task but never memory. Rows of one
-batch are ordered by time first; rows older than the state are late.
+The state is bounded per key. A batch's rows of one key are gathered in its
+task to be ordered by time, so the files per trigger bound the memory a heavy
+key can take. Rows older than the state are late.
 """
 
 from __future__ import annotations
