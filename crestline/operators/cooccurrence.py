@@ -116,9 +116,9 @@ def components(edges: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFram
     """(node, component): component is the smallest node id reachable.
 
     Alternating large-star / small-star rounds. Every round is a minimum per
-    node (combined map-side) and a join back on the node, so a hub never
-    gathers its neighbours in one place. Each round's edges are written to
-    the shared folder; the edge set stops changing after O(log n) rounds.
+    node (combined map-side), stored, and a join back on the node. Both sides
+    of that join are read from storage, so that AQE can split a hub's edges
+    over several tasks. Each round's edges are written to the shared folder; the edge set stops changing after O(log n) rounds.
     """
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
     e = materialize(
@@ -140,14 +140,14 @@ def components(edges: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFram
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
     out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "low")
     out = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
         low.select("u", F.col("m").alias("v"))
     )
