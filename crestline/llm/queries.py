@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crestline.llm import jaccard
+from crestline.llm import decontaminate, jaccard, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +27,91 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A-Z only; lower() would change other letters too.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), p AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, w[i:i + least(10, len(w)) - 1] AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM p),
+h AS (
+  SELECT o.doc_id, o.i, o.size, p.item_id
+  FROM (SELECT doc_id, size, i, w[i:i + size - 1] AS g FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)) o
+  JOIN p ON p.g = o.g
+), hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM h) GROUP BY 1),
+it AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query("op1_decontamination", OP1_SQL)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
+def _op4_sql() -> str:
+    def value(s: str) -> str:
+        top, under, scale = rules.SIGNALS[s]
+        return f"CASE WHEN {under} > 0 THEN ({top} * {scale}) // {under} ELSE 0 END"
+
+    # Binomial tail as a plain sum; a cutoff counts if it and all milder ones are certified.
+    tail = (
+        "list_sum([exp(lgamma(good + 1) - lgamma(k + 1) - lgamma(good - k + 1) + k * ln(rate) + (good - k) * ln(1 - rate)) FOR k IN range(0, bad + 1)])"
+    )
+    long_rules = " UNION ALL ".join(f"SELECT doc_id, st, '{s}' AS rule, {value(s)} AS v FROM c" for s in rules.SIGNALS)
+    cuts = ", ".join(f"('{s}', {k}, {x})" for s in rules.SIGNALS for k, x in enumerate(rules.CUTOFFS[s]))
+    return rf"""
+WITH t AS (SELECT doc_id, lang AS st, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, st, text, regexp_extract_all(text, '[^ 	-]+') AS w FROM t),
+win AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+rep AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (
+    SELECT win.doc_id, unnest(range(i, i + 8)) AS k FROM win JOIN (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1) r ON r.doc_id = win.doc_id AND r.g = win.g
+  ) GROUP BY 1
+), ln AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1
+), c0 AS (
+  SELECT w.doc_id, st, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(ln.n, 0) AS n_lines, coalesce(ln.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!?;:"''()\[\]{{}}=+/\~^_`@]', '', 'g')) AS n_marks
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)
+), c AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c0),
+v AS ({long_rules}),
+cut(rule, k, x) AS (VALUES {cuts}),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) >= 1),
+held AS (SELECT c.doc_id, c.st FROM c SEMI JOIN good ON good.doc_id = c.doc_id WHERE NOT base_failed),
+size AS (SELECT st, count(*) AS good FROM held GROUP BY 1),
+bad AS (
+  SELECT size.st, size.good, cut.rule, cut.k, cut.x, (SELECT count(*) FROM v SEMI JOIN held ON held.doc_id = v.doc_id WHERE v.rule = cut.rule AND v.v > cut.x AND v.st IS NOT DISTINCT FROM size.st) AS bad,
+    {rules.TOLERANCE} / {len(rules.SIGNALS)} AS rate, {rules.DELTA} / ((SELECT count(*) FROM size) * {len(rules.SIGNALS)}) AS level
+  FROM size, cut
+), test AS (SELECT *, {tail} <= level AS ok FROM bad),
+best AS (SELECT st, rule, min(x) AS x FROM (SELECT *, min(CAST(ok AS INT)) OVER (PARTITION BY st, rule ORDER BY k) AS all_ok FROM test) WHERE all_ok = 1 GROUP BY 1, 2),
+fail AS (SELECT DISTINCT v.doc_id FROM v JOIN best ON best.rule = v.rule AND best.st IS NOT DISTINCT FROM v.st WHERE v.v > best.x)
+SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND fail.doc_id IS NULL AS kept
+FROM c LEFT JOIN fail USING (doc_id)
+"""
+
+
+@query("op4_quality_rules", _op4_sql())
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 OP10_SQL = """
 WITH d AS (
   SELECT doc_id, string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '[\\x20\\x09-\\x0D]+') AS w
