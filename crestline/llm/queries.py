@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from crestline.llm import decontaminate, jaccard, rules
+from crestline.llm import decontaminate, jaccard, packing, planes, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,7 +71,8 @@ def _op4_sql() -> str:
     cuts = ", ".join(f"('{s}', {k}, {x})" for s in rules.SIGNALS for k, x in enumerate(rules.CUTOFFS[s]))
     return rf"""
 WITH t AS (SELECT doc_id, lang AS st, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, st, text, regexp_extract_all(text, '[^ 	-]+') AS w FROM t),
+w AS (SELECT doc_id, st, text, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM t),
 win AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
 rep AS (
   SELECT doc_id, count(DISTINCT k) AS n FROM (
@@ -80,7 +80,8 @@ rep AS (
   ) GROUP BY 1
 ), ln AS (
   SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
-  WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1
+  WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY 1
 ), c0 AS (
   SELECT w.doc_id, st, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(ln.n, 0) AS n_lines, coalesce(ln.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
@@ -112,6 +113,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op7_token_planes")
+def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 WITH d AS (
   SELECT doc_id, string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '[\\x20\\x09-\\x0D]+') AS w
