@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crestline.llm import decontaminate, jaccard, packing, planes, rules
+from crestline.llm import decontaminate, jaccard, language, packing, planes, rules, secrets, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,6 +114,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_from_labels(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_with_weak_labels(table(spark, sf_dir, "documents"))
+    hit = F.filter("findings", lambda x: x["secret"])
+    return found.select(
+        "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(hit).cast("long").alias("n_secrets"),
+        F.array_join(F.transform(hit, lambda x: x["value"]), ",").alias("secrets"), F.sha2(F.coalesce("clean", F.lit("")), 256).alias("clean_sha256"),
+    )
+
+
 @query("op7_token_planes")
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.round_trip(table(spark, sf_dir, "documents"))
@@ -123,6 +139,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 WITH d AS (
   SELECT doc_id, string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '[\\x20\\x09-\\x0D]+') AS w
