@@ -28,7 +28,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
         at = end
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """Apply ``fn`` to every Arrow batch of ``df``; no shuffle, memory bounded by a batch."""
 
     def run(batches):

@@ -14,6 +14,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crestline.llm.base import map_texts, text_slices
 
@@ -103,7 +104,7 @@ def benchmark_segments(benchmark: DataFrame, window: int, item_id: str, text: st
 
 
 def _search(docs: DataFrame, items: list[tuple[str | None, str]], window: int) -> DataFrame:
-    """(doc_id, key, n_words, spans) with the merged word range of every occurrence and its item."""
+    """All columns but the last, which is the text, with (n_words, spans): merged word ranges and their items."""
     shared = docs.sparkSession.sparkContext.broadcast(([x for x, _ in items], [w.encode().split() for _, w in items]))
     state: dict = {}
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())])
@@ -122,11 +123,12 @@ def _search(docs: DataFrame, items: list[tuple[str | None, str]], window: int) -
                 counts.append(len(words))
                 spans.append(_merged(hits, names) if hits else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, e - a), batch.column(1).slice(a, e - a), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span))],
-                ["doc_id", "key", "n_words", "spans"],
+                [*(batch.column(k).slice(a, e - a) for k in range(batch.num_columns - 1)), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span))],
+                [*batch.schema.names[:-1], "n_words", "spans"],
             )
 
-    return map_texts(docs, fn, f"doc_id long, key string, n_words long, spans {_SPANS}")
+    out = T.StructType(docs.schema.fields[:-1])
+    return map_texts(docs, fn, T.StructType([*out.fields, *T._parse_datatype_string(f"n_words long, spans {_SPANS}").fields]))
 
 
 def _merged(hits: list, names: list) -> list[dict]:
@@ -158,27 +160,7 @@ def contamination(
     words; one block is one pass without a shuffle, several passes are joined
     on the row's id and text hash.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    segments = benchmark_segments(benchmark, window, item_id, item_text)
-    size = segments.agg(F.sum("n_words")).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_words))
-
-    def block(b: int) -> list:
-        rows = segments.where(F.pmod(F.xxhash64("item", "seg"), F.lit(blocks)) == b).select("item", "words").collect()
-        return sorted(((r["item"], r["words"]) for r in rows), key=lambda r: (r[0] is None, r[0] or "", r[1]))
-
-    if blocks == 1:
-        found = _search(docs.select("doc_id", F.lit(None).cast("string").alias("key"), "text"), block(0), window)
-    else:
-        # Rows are told apart by id and text; equal rows have equal results.
-        name = F.sha2(F.to_json(F.struct("doc_id", "text")), 256)
-        keyed = docs.select("doc_id", name.alias("key"), "text")
-        more = None
-        for b in range(blocks):
-            hit = _search(keyed, block(b), window).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
-            more = hit if more is None else more.unionByName(hit)
-        more = more.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        found = _search(keyed, [], window).drop("spans").join(more, "key", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    found = _found(docs, benchmark, window, doc_id, text, item_id, item_text, block_words, False)
     items = F.array_sort(F.array_distinct(F.filter(F.transform("spans", lambda s: s["item"]), lambda x: x.isNotNull())))
     covered = F.expr(
         "aggregate(array_sort(transform(spans, s -> struct(s.start AS a, s.end AS e))), struct(0L AS t, 0L AS m), "
@@ -188,3 +170,33 @@ def contamination(
         "doc_id", "n_words", covered.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans",
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that no benchmark window occurs in, with all their columns."""
+    return _found(docs, benchmark, window, doc_id, text, item_id, item_text, block_words, True).where(F.size("spans") == 0).select("_row.*")
+
+
+def _found(docs, benchmark, window, doc_id, text, item_id, item_text, block_words, carry: bool) -> DataFrame:
+    """(doc_id, key, _row, n_words, spans); ``_row`` holds all columns of the row if ``carry``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("int")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("_row"), F.col(text).cast("string").alias("text"))
+    segments = benchmark_segments(benchmark, window, item_id, item_text)
+    size = segments.agg(F.sum("n_words")).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_words))
+
+    def block(b: int) -> list:
+        rows = segments.where(F.pmod(F.xxhash64("item", "seg"), F.lit(blocks)) == b).select("item", "words").collect()
+        return sorted(((r["item"], r["words"]) for r in rows), key=lambda r: (r[0] is None, r[0] or "", r[1]))
+
+    if blocks == 1:
+        return _search(docs, block(0), window)
+    # Rows are told apart by id and text; equal rows have equal results.
+    name = F.sha2(F.to_json(F.struct("doc_id", "text")), 256)
+    keyed = docs.select("doc_id", name.alias("key"), "_row", "text")
+    more = None
+    for b in range(blocks):
+        hit = _search(keyed.select("key", "text"), block(b), window).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
+        more = hit if more is None else more.unionByName(hit)
+    more = more.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return _search(keyed, [], window).drop("spans").join(more, "key", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))

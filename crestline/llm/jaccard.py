@@ -371,3 +371,20 @@ def jaccard_components(
         F.when(has, F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(has, F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+
+    Rows without an id stay. Of rows that agree in id and text one stays; an id
+    that stands for several texts stays with each text unless one of them is
+    linked to a smaller id.
+    """
+    found = materialize(jaccard_components(docs, doc_id=doc_id, text=text, **options), "found")
+    gone = materialize(found.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    key = F.col(f"`{doc_id}`").cast("long")
+    left = docs.join(small(gone).withColumnRenamed("doc_id", "_id"), key == F.col("_id"), "left_anti")
+    once = left.join(small(again).withColumnRenamed("doc_id", "_id"), key == F.col("_id"), "left_anti")
+    more = left.join(small(again).withColumnRenamed("doc_id", "_id"), key == F.col("_id"), "left_semi").dropDuplicates([doc_id, text])
+    return once.unionByName(more)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crestline.llm.base import map_texts, small, text_slices
 from crestline.llm.words import SPACES, Words
@@ -95,11 +96,11 @@ def base_counts(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFram
                 rep.append(_repeat_words(t, window[first : first + n - WINDOW + 1]) if n > WINDOW else 0)
             cols = [w.count, total(w.inside & lead), total(_SYMBOL[w.bytes]), lines, dup, rep, total(_UPPER[w.bytes]), total(_MARK[w.bytes])]
             held = [batch.column(k).slice(a, e - a) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*held, *(pa.array(np.asarray(c, np.int64)) for c in cols)], ["doc_id", *keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(np.asarray(c, np.int64)) for c in cols)], [*batch.schema.names[:-1], *COUNTS])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_texts(rows, fn, f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
+    out = T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return map_texts(rows, fn, out).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
 
 
 def signal(name: str):
@@ -177,14 +178,22 @@ def quality_verdicts(
     doc_id is judged but never labelled. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("text"))
-    counts = base_counts(rows, "doc_id", "text", "_stratum").withColumn(
-        "base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
-    )
-    counts = materialize(counts, "counts")
+    counts = materialize(base_counts(rows, "doc_id", "text", "_stratum"), "counts")
     cuts = materialize(learn_cutoffs(counts, labels.select("doc_id", "quality"), "_stratum", tolerance, delta), "cutoffs")
+    return _judged(counts, cuts).select("doc_id", F.col("_stratum").alias("stratum"), *COUNTS, "base_failed", "failed_rules", "kept")
+
+
+def _judged(counts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``counts`` with the rules each row fails and whether it is kept."""
     cuts = small(cuts).withColumnRenamed("_stratum", "_s")
     both = counts.join(cuts, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
     failed = F.filter(F.array(*[F.when(signal(s) > F.col(f"cut_{s}"), F.lit(s)) for s in SIGNALS]), lambda x: x.isNotNull())
-    return both.withColumn("failed_rules", failed).select(
-        "doc_id", F.col("_stratum").alias("stratum"), *COUNTS, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept")
-    )
+    return both.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text", **risk) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_verdicts` keeps, with all their columns; no row is joined or shuffled."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    counts = materialize(base_counts(rows, "doc_id", "text", "_stratum"), "counts")
+    cuts = materialize(learn_cutoffs(counts, labels.select("doc_id", "quality"), "_stratum", **risk), "cutoffs")
+    return _judged(base_counts(rows, "doc_id", "text", "_stratum", "_row"), cuts).where("kept").select("_row.*")
