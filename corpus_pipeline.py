@@ -30,10 +30,8 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents, secrets in their texts masked and ``n_chars`` counted anew where that changed one."""
     found = secrets.scan_with_weak_labels(docs)
     changed = F.exists("findings", lambda x: x["secret"])
-    found = found.withColumn("text", F.col("clean"))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(changed, F.length("clean").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    new = {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def is_candidate(c: Column) -> Column:
 def sampled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """At most about MAX_DOCS texts, chosen by the hash of their id."""
     every = max(1, math.ceil(docs.count() / MAX_DOCS))
-    return docs.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0).select(F.col(text).alias("text"))
+    return docs.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0).select(F.col(text).cast("string").alias("text"))
 
 
 def vocabulary(texts: DataFrame) -> tuple[list[str], list[str]]:
@@ -151,15 +151,18 @@ def votes(forest: list, f: dict[str, Column]) -> Column:
     return total / len(forest)
 
 
-def scan(docs: DataFrame, forest: list, dictionary: list[str], pairs: list[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``findings`` (value, score, secret) and ``clean`` (its text with secrets masked).
+def scan(docs: DataFrame, forest: list, dictionary: list[str], pairs: list[str], doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """(doc_id, findings, clean, row) of every row of ``docs``.
 
-    Null, empty and digit-free texts have no candidates and stay as they are;
-    every row is kept. The two new columns replace columns of these names.
+    ``findings`` lists (value, score, secret) in order, ``clean`` is the text
+    with secrets masked, ``row`` holds all columns of the row. Null, empty and
+    digit-free texts have no candidates and stay as they are.
     """
     empty = F.array().cast("array<struct<value:string,before:string,after:string>>")
-    col = F.col(text).cast("string")
-    each = F.when(col.rlike("[0-9]"), tokens(col)).otherwise(empty)
+    rows = docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    col = F.col("text")
 
     def judged(c: Column) -> Column:
         f = features(c, dictionary, pairs)
@@ -168,13 +171,15 @@ def scan(docs: DataFrame, forest: list, dictionary: list[str], pairs: list[str],
         score = F.element_at(F.transform(F.array(named), lambda n: votes(forest, {k: n[k] for k in f})), 1)
         return F.struct(c["value"].alias("value"), F.when(is_candidate(c), score).otherwise(F.lit(0.0)).alias("score"))
 
-    out = docs.withColumn("_t", each).withColumn("_f", F.transform("_t", judged))
+    each = F.when(col.rlike("[0-9]"), tokens(col)).otherwise(empty)
+    out = rows.withColumn("_t", each).withColumn("_f", F.coalesce(F.transform("_t", judged), F.array().cast("array<struct<value:string,score:double>>")))
     gaps = F.split(col, TOKEN, -1)
     kept = F.transform("_f", lambda x: F.when(x["score"] > threshold, F.lit(MASK)).otherwise(x["value"]))
     masked = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), kept.alias("k")), lambda z: F.concat(z["g"], F.coalesce(z["k"], F.lit("")))), "")
     dirty = F.exists("_f", lambda x: x["score"] > threshold)
-    findings = F.transform(F.filter("_f", is_candidate), lambda x: F.struct(x["value"].alias("value"), x["score"].alias("score"), (x["score"] > threshold).alias("secret")))
-    return out.withColumns({"findings": findings, "clean": F.when(dirty, masked).otherwise(col)}).drop("_t", "_f")
+    named = F.filter("_f", lambda x: x["value"].rlike("[0-9]"))
+    findings = F.transform(named, lambda x: F.struct(x["value"].alias("value"), x["score"].alias("score"), (x["score"] > threshold).alias("secret")))
+    return out.select("doc_id", findings.alias("findings"), F.when(dirty, masked).otherwise(col).alias("clean"), "row")
 
 
 def scan_with_weak_labels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,4 +187,4 @@ def scan_with_weak_labels(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     texts = sampled(docs, doc_id, text)
     dictionary, pairs = vocabulary(texts)
     forest = train(weak_findings(texts), dictionary, pairs)
-    return scan(docs, forest, dictionary, pairs, text)
+    return scan(docs, forest, dictionary, pairs, doc_id, text)
