@@ -8,11 +8,12 @@ everywhere. Regions are therefore opened where distances carry information:
    they are the distance of a document to the union of all others, and bound
    the size of any partner. Documents that cannot have a partner leave.
 2. The rarest shingles of what is left (as many as a partner may lack, and one
-   more) open regions; linked documents share a region.
+   more) open regions; linked documents share a region. Large regions with the
+   same most central document are one region.
 3. A region is joined recursively: pivots (the documents with the least of
    their own) draw Voronoi cells, documents within the triangle-inequality
-   window of a cell are replicated into it, members linked to their pivot only
-   stay as boundary documents, and a cell small enough is compared directly.
+   window of a cell are replicated into it, documents of a region's main
+   component stay as boundary, and a cell small enough is compared directly.
 
 Every filter is a necessary condition of a link, so the join is exact up to
 64-bit hashes of shingles. Links that join two already linked documents through
@@ -44,9 +45,10 @@ HINTS = 1 << 16
 HOT_CLASSES = 4_096
 # Counts above this are not told apart when shingles are ordered by rarity.
 RARE = 16
-# A region or cell of at most so many documents is compared pair by pair.
+# A region of at most so many documents is compared pair by pair; so is a merged region or cell with so many pairs.
 DIRECT = 16
-PIVOTS = 4
+DIRECT_WORK = 65_536
+PIVOTS = 3
 
 
 def _finger(s: np.ndarray) -> int:
@@ -235,16 +237,19 @@ def jaccard_links(
     shared = _shared(_blocks(docs, hints, hot, parts, width), parts)
 
     # Of n shingles a partner lacks at most n - ceil(n p / q); those in one class only come first in the order.
+    # Two linked documents meet in the region of their first common shingle: the i shingles before it are lost
+    # to the overlap, so the partner there has at most (n - i) (p + q) / p - n shingles.
     own = Window.partitionBy("fp")
-    lack = F.expr(f"n - cast(ceil(n * {p} / {q}) as int) + 1 - (n - a)")
+    place = F.expr("n - a + r - 1")
     prefix = (
         shared.withColumn("a", F.count(F.lit(1)).over(own).cast("int"))
         .where(F.col("a") * q >= F.col("n") * p)
         .withColumn("r", F.row_number().over(own.orderBy("df", "key")))
-        .where(F.col("r") <= lack)
-        .select("key", "fp", "n", F.expr(f"cast(floor(a * {p + q} / {p}) as int) - n").alias("top"))
+        .withColumn("i", place)
+        .where(F.expr(f"i <= n - cast(ceil(n * {p} / {q}) as int)"))
+        .groupBy("key", "fp", "n").agg(F.expr(f"cast(floor((n - min(i)) * {p + q} / {p}) as int) - n").alias("top"))
     )
-    prefix = materialize(prefix.distinct(), "prefix")
+    prefix = materialize(prefix, "prefix")
     counts = materialize(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counts")
     regions = materialize(prefix.join(counts, "key"), "regions")
     wanted = materialize(regions.select("fp").distinct().join(classes, "fp").select("fp", "rep"), "wanted")
@@ -254,19 +259,15 @@ def jaccard_links(
     fits = F.expr("na <= top_b and nb <= top_a")
 
     def side(df, x, *more):
-        return df.select("region", F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("top").alias(f"top_{x}"), *more)
+        return df.select("region", F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("top").alias(f"top_{x}"), F.col("tag").alias(f"tag_{x}"), *more)
 
     def direct(cells: DataFrame) -> DataFrame:
-        """Pairs of small regions, at least one of them not linked to a pivot yet."""
+        """Pairs of small regions, with one of the cell's own documents and not tied already."""
         x, y = side(cells, "a", F.col("core").alias("ca")), side(cells, "b", F.col("core").alias("cb"))
-        return x.join(y, "region").where("a < b and (ca or cb)").where(fits).select("a", "b", "na", "nb")
+        return x.join(y, "region").where("a < b and (ca or cb) and tag_a <> tag_b").where(fits).select("a", "b", "na", "nb")
 
     def settle(cells: DataFrame) -> DataFrame:
-        """Members that some other member could link with, and the size of their region.
-
-        A member stays if the sizes allow a partner: one not linked yet for a
-        boundary document, any for the others.
-        """
+        """Members that some other member could link with; regions with pairs left to compare, and how many at most."""
         cells = materialize(cells, "cells")
         free = F.col("core")
         bound = materialize(
@@ -278,54 +279,79 @@ def jaccard_links(
             (free & F.expr("n_any <= top and n <= top_any")) | (~free & F.expr("n_free <= top and n <= top_free"))
         ).drop("n_any", "top_any", "n_free", "top_free")
         kept = materialize(kept, "kept")
-        size = kept.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.max("core").alias("any")).where("size > 1 and any").drop("any")
+        size = kept.groupBy("region").agg(
+            (F.count(F.lit(1)) * F.count(F.when(free, 1))).alias("work"), F.min("tag").alias("_lo"), F.max("tag").alias("_hi")
+        ).where("work > 1 and _lo <> _hi").drop("_lo", "_hi")
         return materialize(kept.join(materialize(size, "sizes"), "region"), "state")
 
-    # A size band is as wide as partners' sizes may differ; the band below takes part as a boundary.
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(q / p) + 1e-9).cast("long")
-    start = regions.select(
-        "key", "fp", "n", "top", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("core")), F.struct((band + 1).alias("band"), F.lit(False).alias("core")))).alias("_")
-    ).select(F.struct("key", F.col("_.band").alias("at")).alias("region"), "fp", "n", "top", F.col("_.core").alias("core"))
+    own_tag = F.col("fp").alias("tag")
+    none = F.lit(None).cast("long").alias("main")
+    opened = regions.select(F.struct("key", F.lit(0).cast("long").alias("at")).alias("region"), "fp", "n", "top", F.lit(True).alias("core"), own_tag, "size")
+    pairs = [direct(opened.where(F.col("size") <= DIRECT))]
+    # A group of near copies shares many shingles, and so many regions. Large regions whose document with the
+    # least of its own is the same become one: what shared a region still does.
+    large = regions.where(F.col("size") > DIRECT)
+    head = materialize(large.groupBy("key").agg(F.max_by("fp", F.struct(F.col("top") / F.col("n"), "fp")).alias("head")), "heads")
+    merged = materialize(large.join(head, "key").groupBy("head", "fp", "n").agg(F.max("top").alias("top")), "merged")
+    # A size band is as wide as partners' sizes may differ; every document is in its own band and, if others begin there, the next.
+    merged = merged.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(q / p) + 1e-9).cast("long"))
+    begun = materialize(merged.select("head", "band").distinct(), "bands")
+    start = merged.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).join(begun, ["head", "band"], "left_semi").select(
+        F.struct(F.col("head").alias("key"), F.col("band").alias("at")).alias("region"), "fp", "n", "top", F.lit(True).alias("core"), own_tag, none
+    )
     now = settle(start)
-    pairs = [direct(now.where(F.col("size") <= DIRECT))]
-    state = now.where(F.col("size") > DIRECT).drop("size")
+    pairs.append(direct(now.where(F.col("work") <= DIRECT_WORK)))
+    state = now.where(F.col("work") > DIRECT_WORK).drop("work")
     links: list[DataFrame] = []
     known: DataFrame | None = None
+    theta = F.lit(1 - p / q + 1e-9)
     while state.limit(1).count():
-        rank = Window.partitionBy("region").orderBy((F.col("top") / F.col("n")).desc(), "fp")
-        chosen = materialize(state.where("core").withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PIVOTS).drop("_r"), "pivots")
-        star = side(state, "a", F.col("core")).join(side(chosen, "b"), "region").where("a <> b")
-        star = materialize(star, "star")
-        ask = star.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                                      F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                                      F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+        rank = Window.partitionBy("region", "core").orderBy((F.col("top") / F.col("n")).desc(), "fp")
+        chosen = materialize(state.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PIVOTS), "pivots")
+        star = materialize(side(state, "a", "core", "main").join(side(chosen, "b", F.when(F.col("core"), F.col("_r")).alias("rb")), "region").where("a <> b"), "star")
+        up = F.col("a") < F.col("b")
+        ask = star.where(fits).where("tag_a <> tag_b").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb")
+        ).distinct()
         if known is not None:
             ask = ask.join(known, ["a", "b"], "left_anti")
         found = materialize(_overlaps(ask, sets), "distances")
         links.append(found.where(linked).select("a", "b"))
         known = found if known is None else known.unionByName(found)
-        dist = known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"), linked.alias("linked"))
-        both_ways = dist.unionByName(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "linked"))
-        # A pair that the sizes exclude has no distance; it counts as far.
-        near = star.join(both_ways, ["a", "b"], "left").select(
-            "region", "a", "na", "top_a", "core", "b", F.coalesce("d", F.lit(1.0)).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"),
-            F.col("d").isNotNull().alias("seen"),
+        # Documents of equal tag are in one component already and need no comparison.
+        every = links[0]
+        for x in links[1:]:
+            every = every.unionByName(x)
+        tags = materialize(components(every, "a", "b"), "tags")
+        dist = known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
+        both_ways = dist.unionByName(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+        # All pairs of a pivot are settled, so it leaves. Pairs that sizes or tags exclude have no distance; they count as far.
+        left = star.join(chosen.select("region", F.col("fp").alias("a")), ["region", "a"], "left_anti")
+        near = materialize(
+            left.join(both_ways, ["a", "b"], "left").select("region", "a", "na", "top_a", "tag_a", "core", "main", "b", "rb", F.coalesce("d", F.lit(1.0)).alias("d"), F.col("d").isNotNull().alias("seen")), "near"
         )
-        near = materialize(near.join(chosen.select("region", F.col("fp").alias("a"), F.lit(True).alias("is_pivot")), ["region", "a"], "left").where("is_pivot is null"), "near")
-        # Voronoi cell of each document not linked yet: its nearest pivot in the region.
-        nearest = near.groupBy("region", "a").agg(F.min_by("b", F.struct("d", "b")).alias("cell"), F.max("linked").alias("tied"))
-        cells = materialize(near.join(nearest, ["region", "a"]).withColumn("inner", F.expr("core and not tied and cell = b")), "cells")
-        theta = F.lit(1 - p / q + 1e-9)
+        # The component of a region's first pivot is its main one; documents outside it are the ones to compare on.
+        # Each belongs to the Voronoi cell of its nearest pivot.
+        nearest = near.groupBy("region", "a").agg(F.min_by("b", F.struct("d", "b")).alias("cell"), F.coalesce(F.max("main"), F.max(F.when(F.col("rb") == 1, F.col("b")))).alias("head"))
+        few = small(tags)
+        cells = near.join(nearest, ["region", "a"]).join(few.select(F.col("node").alias("a"), F.col("component").alias("ta")), "a", "left").join(
+            few.select(F.col("node").alias("head"), F.col("component").alias("th")), "head", "left"
+        )
+        cells = cells.withColumn("tag", F.coalesce("ta", "tag_a")).withColumn("inner", F.expr("core and cell = b") & (F.col("tag") != F.coalesce("th", "head")))
+        cells = materialize(cells.select("region", "a", "b", "na", "top_a", "d", "seen", "tag", "head", "inner"), "voronoi")
         span = cells.where("inner").groupBy("region", "b").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max(~F.col("seen")).alias("open"))
         span = materialize(span, "spans")
         grown = (
             cells.join(span, ["region", "b"])
             .where(F.col("inner") | F.col("open") | ~F.col("seen") | ((F.col("d") >= F.col("lo") - theta) & (F.col("d") <= F.col("hi") + theta)))
-            .select(F.struct(F.xxhash64("region").alias("key"), F.col("b").alias("at")).alias("region"), F.col("a").alias("fp"), F.col("na").alias("n"), F.col("top_a").alias("top"), F.col("inner").alias("core"))
+            .select(
+                F.struct(F.xxhash64("region").alias("key"), F.col("b").alias("at")).alias("region"), F.col("a").alias("fp"), F.col("na").alias("n"), F.col("top_a").alias("top"),
+                F.col("inner").alias("core"), "tag", F.col("head").alias("main"),
+            )
         )
         now = settle(grown)
-        pairs.append(direct(now.where(F.col("size") <= DIRECT)))
-        state = now.where(F.col("size") > DIRECT).drop("size")
+        pairs.append(direct(now.where(F.col("work") <= DIRECT_WORK)))
+        state = now.where(F.col("work") > DIRECT_WORK).drop("work")
     ask = pairs[0]
     for x in pairs[1:]:
         ask = ask.unionByName(x)
