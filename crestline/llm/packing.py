@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.llm.base import text_slices
-from crestline.llm.tokens import ChunkEncoder, default_path
+from crestline.llm.tokens import default_path, encoder
 from crestline.session import materialize
 
 CAPACITY = 2048
@@ -120,7 +120,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, doc_i
 
     def fn(batches):
         shard, seen = TaskContext.get().partitionId(), Counter()
-        enc = ChunkEncoder(tokenizer)
+        enc = encoder(tokenizer)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for a, _, texts in text_slices(batch):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crestline.llm.base import small, text_slices
-from crestline.llm.tokens import ChunkEncoder, default_path
+from crestline.llm.tokens import default_path, encoder
 from crestline.session import shared_dir
 
 BLOCK_IDS = 1 << 16
@@ -66,7 +66,7 @@ def write_planes(
 
     def fn(batches):
         shard, block, held, docs_in, at = TaskContext.get().partitionId(), 0, b"", [], 0
-        enc = ChunkEncoder(tokenizer)
+        enc = encoder(tokenizer)
         size = 4 * block_ids
 
         def row(data: bytes):

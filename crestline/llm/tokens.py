@@ -11,7 +11,7 @@ import os
 
 import numpy as np
 
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 800_000
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,21 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _plain(text: bytes) -> bool:
+    """Whether lower-casing A-Z beforehand cannot change the ids: no special token in capitals, no combining marks to compose with."""
+    return b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder; a worker that runs several tasks keeps its cache."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -29,21 +44,43 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        name = "<|endoftext|>"
+        number = self.tokenizer.token_to_id(name)
+        alone = number is not None and self.tokenizer.encode(f"a{name}a", add_special_tokens=False).ids.count(number) == 1
+        self.fence = (name, number) if alone else None
+        # With a tokenizer that lower-cases, "The" and "the" share an entry.
+        self.folds = self.tokenizer.encode("ABYZ", add_special_tokens=False).ids == self.tokenizer.encode("abyz", add_special_tokens=False).ids
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Ids of every text, each closed by ``end``."""
         tail, cache = np.uint32(end).tobytes(), self.cache
-        split = [t.split() for t in texts]
-        fresh = {w for words in split for w in words if w not in cache}
-        if fresh:
-            if len(cache) + len(fresh) > CACHE_CHUNKS:
-                cache.clear()
-                fresh = {w for words in split for w in words}
-            todo = list(fresh)
-            for at in range(0, len(todo), 20_000):
-                part = todo[at : at + 20_000]
-                done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                for w, e in zip(part, done):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
+        split = [(t.lower() if self.folds and _plain(t) else t).split() for t in texts]
+        fresh = set().union(*split).difference(cache)
+        if len(cache) + len(fresh) > CACHE_CHUNKS:
+            cache.clear()
+            fresh = set().union(*split)
+        todo = list(fresh)
+        for at in range(0, len(todo), 20_000):
+            self._learn(todo[at : at + 20_000])
         get = cache.__getitem__
         return [b"".join(map(get, words)) + tail for words in split]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encode new chunks, all in one text with a special token between them where the tokenizer has one."""
+        cache, plain = self.cache, chunks
+        if self.fence:
+            plain = [w for w in chunks if b"<|" in w]
+            rest = [w for w in chunks if b"<|" not in w]
+            name, number = self.fence
+            text = name.join([w.decode("utf-8", "replace") for w in rest])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == number)
+            if len(cuts) == len(rest) - 1:
+                raw = ids.tobytes()
+                starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+                cache.update(zip(rest, [raw[a:b] for a, b in zip(starts, ends)]))
+            else:
+                plain = chunks
+        done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in plain], add_special_tokens=False)
+        for w, e in zip(plain, done):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
