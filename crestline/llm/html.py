@@ -30,12 +30,12 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, {"html"}),
 }

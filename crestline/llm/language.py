@@ -157,6 +157,18 @@ class Parser:
         return out
 
 
+# A worker that runs several tasks keeps its automata and the parses of words it has seen.
+_PARSERS: dict[tuple, Parser] = {}
+
+
+def _parser(texts: dict[str, str]) -> Parser:
+    name = tuple(texts.items())
+    if name not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[name] = Parser(texts)
+    return _PARSERS[name]
+
+
 def identify(docs: DataFrame, texts: dict[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row from its whole text alone.
 
@@ -166,13 +178,11 @@ def identify(docs: DataFrame, texts: dict[str, str], doc_id: str = "doc_id", tex
     with score 0. Repeated rows and null ids are kept; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(texts)
-    state: dict = {}
 
     def fn(batch):
-        if "p" not in state:
-            state["p"] = Parser(shared.value)
+        parser = _parser(shared.value)
         for a, e, raw in text_slices(batch):
-            found = state["p"].score([t.decode("utf-8", "replace") for t in raw])
+            found = parser.score([t.decode("utf-8", "replace") for t in raw])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, e - a), pa.array([x for x, _ in found]), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"]
             )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from crestline.llm.base import map_texts, text_slices
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 800_000
 MARK = "▁"
 
 
@@ -94,6 +94,16 @@ class LongestMatch:
         return total
 
 
+# A worker that runs several tasks keeps its automaton and the counts of words it has seen.
+_MATCHERS: dict[str | None, tuple[LongestMatch, dict[bytes, int]]] = {}
+
+
+def _matcher(vocabulary: str | None) -> tuple[LongestMatch, dict[bytes, int]]:
+    if vocabulary not in _MATCHERS:
+        _MATCHERS[vocabulary] = LongestMatch(load_vocabulary(vocabulary)), {}
+    return _MATCHERS[vocabulary]
+
+
 def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) of every whole text.
 
@@ -101,12 +111,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "
     cover counts as one token and as one unknown. Null and empty texts count
     zero; repeated rows and null ids are kept; other columns are ignored.
     """
-    state: dict = {}
 
     def fn(batch):
-        if "m" not in state:
-            state["m"], state["cache"] = LongestMatch(load_vocabulary(vocabulary)), {}
-        match, cache = state["m"], state["cache"]
+        match, cache = _matcher(vocabulary)
         for a, e, texts in text_slices(batch):
             n_words, n_tokens, n_unknown = [], [], []
             for t in texts:
