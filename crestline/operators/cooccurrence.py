@@ -96,12 +96,12 @@ def tag_totals(daily: DataFrame) -> DataFrame:
     )
 
 
-def strong_edges(edges: DataFrame, totals: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Edges of one day that pass the viral and Jaccard bars."""
-    a = totals.select(F.col("hashtag_id").alias("tag_a"), F.col("total_posts").alias("n_a"))
-    b = totals.select(F.col("hashtag_id").alias("tag_b"), F.col("total_posts").alias("n_b"))
+def strong_edges(edges: DataFrame, totals: DataFrame, cfg: Config = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges that pass the viral and Jaccard bars, of one day or within each value of ``by``."""
+    a = totals.select(*by, F.col("hashtag_id").alias("tag_a"), F.col("total_posts").alias("n_a"))
+    b = totals.select(*by, F.col("hashtag_id").alias("tag_b"), F.col("total_posts").alias("n_b"))
     kept = edges.where(F.col("viral_posts") >= cfg.cluster_min_viral)
-    kept = kept.join(a, "tag_a", "left").join(b, "tag_b", "left")
+    kept = kept.join(a, [*by, "tag_a"], "left").join(b, [*by, "tag_b"], "left")
     union = F.coalesce("n_a", "posts") + F.coalesce("n_b", "posts") - F.col("posts")
     jac = F.when(union > 0, F.col("posts") / union).otherwise(F.lit(0.0))
     return kept.withColumn("jaccard", jac).where(F.col("jaccard") >= cfg.cluster_min_jaccard).drop("n_a", "n_b")
@@ -154,20 +154,22 @@ def _small_star(e: DataFrame) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def clusters(edges: DataFrame, totals: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Top clusters of one day's edges: rank, label, tags, qualified posts, views.
+def clusters(edges: DataFrame, totals: DataFrame, cfg: Config = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
+    """Top clusters of one day's edges, or of each value of ``by``: rank, label, tags, qualified posts, views.
 
     Tags are ordered by strength then id, both descending; only the shown tags
     are gathered into the list.
     """
-    e = materialize(strong_edges(edges, totals, cfg), "strong-edges")
+    e = strong_edges(edges, totals, cfg, by)
+    # A node is a tag within its value of ``by``, so that all values are clustered by one pass.
+    e = materialize(e.withColumns({x: F.struct(*by, F.col(x).alias("tag")) for x in ("tag_a", "tag_b")}), "strong-edges")
     comp = materialize(components(e), "components")
     named = e.select(F.col("tag_a").alias("node"), F.col("name_a").alias("name")).union(
         e.select("tag_b", "name_b")
     ).distinct()
-    strength = totals.select(F.col("hashtag_id").alias("node"), "strength")
+    strength = totals.select(F.struct(*by, F.col("hashtag_id").alias("tag")).alias("node"), "strength")
     members = comp.join(named, "node").join(strength, "node", "left").fillna(0, ["strength"])
-    w = Window.partitionBy("component").orderBy(F.col("strength").desc(), F.col("node").desc())
+    w = Window.partitionBy("component").orderBy(F.col("strength").desc(), F.col("node.tag").desc())
     shown = members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cfg.cluster_tags)
     lists = shown.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("rn", "name"))).alias("m"))
     sums = (
@@ -183,19 +185,23 @@ def clusters(edges: DataFrame, totals: DataFrame, cfg: Config = DEFAULT) -> Data
         F.transform("m", lambda x: x["name"]).alias("tags"),
         "qualified_posts",
         "views_sum",
-        "component",
+        F.col("component.tag").alias("component"),
+        *[F.col(f"component.{c}").alias(c) for c in by],
     )
-    top = out.orderBy(F.col("qualified_posts").desc(), "label").limit(cfg.cluster_max)
-    rank = Window.orderBy(F.col("qualified_posts").desc(), F.col("label"))  # at most cluster_max rows
-    return top.withColumn("cluster_rank", F.row_number().over(rank))
-
-
-def related_tags(edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per tag the strongest partners by shared posts: (hashtag_id, partner, posts, rn)."""
-    both = edges.select(F.col("tag_a").alias("hashtag_id"), F.col("name_b").alias("partner"), "posts").union(
-        edges.select("tag_b", "name_a", "posts")
+    best = (F.col("qualified_posts").desc(), F.col("label"))
+    if by:
+        ranked = out.withColumn("cluster_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best)))
+        return ranked.where(F.col("cluster_rank") <= cfg.cluster_max)
+    top = out.orderBy(*best).limit(cfg.cluster_max)
+    return top.withColumn("cluster_rank", F.row_number().over(Window.orderBy(*best)))  # at most cluster_max rows
+
+
+def related_tags(edges: DataFrame, cfg: Config = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per tag (and ``by``) the strongest partners by shared posts: (hashtag_id, partner, posts, rn)."""
+    both = edges.select(*by, F.col("tag_a").alias("hashtag_id"), F.col("name_b").alias("partner"), "posts").union(
+        edges.select(*by, "tag_b", "name_a", "posts")
     )
-    w = Window.partitionBy("hashtag_id").orderBy(F.col("posts").desc(), F.col("partner"))
+    w = Window.partitionBy(*by, "hashtag_id").orderBy(F.col("posts").desc(), F.col("partner"))
     ranked = both.where("partner <> ''").withColumn("rn", F.row_number().over(w))
     return ranked.where(F.col("rn") <= cfg.related_tags)
 

@@ -206,14 +206,12 @@ def caption_tags(spark, sf):
 @query(
     "query_terms",
     "N14",
-    """SELECT lang, string_agg(DISTINCT lower(w), '|' ORDER BY lower(w)) AS terms FROM (SELECT lang, unnest([trim(split_part(text, ' ', 1)), '#' || trim(split_part(text, ' ', 2))]) AS w0, regexp_replace(w0, '^#', '') AS w FROM documents) WHERE regexp_full_match(nfc_normalize(w), '[\\p{L}\\p{N}_]{1,100}') GROUP BY 1""",
+    """SELECT DISTINCT lang, lower(nfc_normalize(regexp_replace(w0, '^#', ''))) AS term FROM (SELECT lang, unnest(string_split_regex(text, '[ \\t\\n\\r\\x0B\\f]+')) AS w0 FROM documents) WHERE regexp_full_match(nfc_normalize(regexp_replace(w0, '^#', '')), '[\\p{L}\\p{N}_]{1,100}')""",
 )
 def query_terms(spark, sf):
-    """Distinct valid terms among the first two words of every text, per language."""
-    w = F.split("text", " ")
-    docs = model(spark, sf).table("documents").select("lang", F.array(F.get(w, 0), F.concat(F.lit("#"), F.get(w, 1))).alias("raw"))
-    terms = docs.select("lang", F.explode(T.clean_tags(F.col("raw"))).alias("t")).distinct()
-    return terms.groupBy("lang").agg(F.concat_ws("|", F.sort_array(F.collect_list("t"))).alias("terms"))
+    """Distinct valid terms among all words of every text, per language; words are made distinct before they are cleaned."""
+    words = model(spark, sf).table("documents").select("lang", F.explode(F.split("text", "[ \\t\\n\\r\\x0B\\f]+")).alias("w")).distinct()
+    return words.select("lang", F.explode(T.clean_tags(F.array("w"))).alias("term")).distinct()
 
 
 @query(

@@ -39,16 +39,13 @@ class Model:
 
     @cached_property
     def now(self):
-        """7:00 on the last day, as a literal so that filters reach the scan."""
-        top = F.max("ts")
-        row = self.table("events").agg(
-            (F.date_trunc("day", top) + F.expr("INTERVAL 7 HOURS")).cast("string").alias("t")
-        ).first()
+        """Time of the last event, as a literal so that filters reach the scan."""
+        row = self.table("events").agg(F.max("ts").cast("string").alias("t")).first()
         return F.lit(row["t"]).cast("timestamp")
 
     @cached_property
     def events(self) -> DataFrame:
-        return self.table("events").where(F.col("ts") <= self.now).withColumns(
+        return self.table("events").withColumns(
             {
                 "cents": F.round(F.col("value") * 100).cast("bigint"),
                 "day": F.to_date("ts"),
@@ -110,7 +107,7 @@ class Model:
             F.when(~(u % 10).isin(3, 7), F.concat(F.lit("u"), F.floor(u / 8).cast("string"))).alias("creator_username"),
             F.when(u % 10 != 7, F.concat(F.lit("c"), u.cast("string"))).alias("creator_external_id"),
             _case(u % 6, enumerate(CAPTIONS)).alias("caption"),
-            F.when(u % 19 != 0, F.col("day").cast("timestamp")).alias("published_at"),
+            F.when(u % 19 != 0, F.least(S.plus_hours(F.col("day").cast("timestamp"), (u % 24).cast("double")), F.col("first_seen_at"))).alias("published_at"),
             "views",
             "likes",
             "comments",
@@ -221,20 +218,20 @@ class Model:
             F.lit(None).cast("string").alias("creator_external_id"),
         )
 
+    @staticmethod
+    def part_words() -> Column:
+        """Brand, type and every word of the name of a part."""
+        return F.concat(F.array(F.lower(F.regexp_replace("p_brand", "#", "")), F.lower("p_type")), F.split(F.lower("p_name"), " "))
+
     @cached_property
     def order_tags(self) -> DataFrame:
         part = self.table("part").select(
             F.col("p_partkey").alias("l_partkey"),
-            F.array(
-                F.lower(F.regexp_replace("p_brand", "#", "")),
-                F.lower("p_type"),
-                F.lower(F.element_at(F.split("p_name", " "), 1)),
-                F.lower(F.element_at(F.split("p_name", " "), -1)),
-            ).alias("tags"),
+            self.part_words().alias("tags"),
         )
         items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(part, "l_partkey")
         t = items.select(F.col("l_orderkey").alias("post_id"), "l_linenumber", F.posexplode("tags").alias("slot", "name"))
-        g = t.groupBy("post_id", "name").agg(F.min(F.col("l_linenumber") * 4 + F.col("slot")).alias("f"))
+        g = t.groupBy("post_id", "name").agg(F.min(F.struct("l_linenumber", "slot")).alias("f"))
         w = Window.partitionBy("post_id").orderBy("f", "name")  # one row per distinct tag
         return g.select("post_id", "name", (F.row_number().over(w) - 1).alias("position")).join(
             self.order_hashtags.select("hashtag_id", "name"), "name"
@@ -245,14 +242,7 @@ class Model:
         """Vocabulary of part words (bounded by the part table); ids by name order."""
         p = self.table("part")
         words = p.select(
-            F.explode(
-                F.array(
-                    F.lower(F.regexp_replace("p_brand", "#", "")),
-                    F.lower("p_type"),
-                    F.lower(F.element_at(F.split("p_name", " "), 1)),
-                    F.lower(F.element_at(F.split("p_name", " "), -1)),
-                )
-            ).alias("name")
+            F.explode(self.part_words()).alias("name")
         ).distinct()
         key = F.conv(F.substring(F.md5("name"), 1, 12), 16, 10).cast("bigint")
         return words.select(
@@ -305,14 +295,14 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
 
 
 # --- SQL twins -------------------------------------------------------------------
-cte("nowc", "SELECT date_trunc('day', max(ts)) + INTERVAL 7 HOUR AS now, epoch_us(date_trunc('day', max(ts))) + 25200000000 AS now_us FROM events")
+cte("nowc", "SELECT max(ts) AS now, epoch_us(max(ts)) AS now_us FROM events")
 cte(
     "ev",
     """SELECT event_id, ts, epoch_us(ts) AS us, user_id, event_type, value, CAST(round(value * 100) AS BIGINT) AS cents,
   CAST(ts AS DATE) AS day, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   CASE WHEN user_id % 2 = 0 THEN 'tiktok' ELSE 'instagram' END AS platform,
   user_id * 100000 + (CAST(ts AS DATE) - DATE '1970-01-01') AS post_id, now, now_us
-FROM events, nowc WHERE ts <= now""",
+FROM events, nowc""",
 )
 cte(
     "obs",
@@ -340,7 +330,7 @@ cte(
   CASE WHEN user_id % 10 <> 7 THEN 'c' || user_id END AS creator_external_id,
   CASE user_id % 6 WHEN 0 THEN 'pcbuild tour' WHEN 1 THEN 'ps5 night' WHEN 2 THEN 'cosplay reveal'
     WHEN 3 THEN 'live stream' WHEN 4 THEN 'gamer moment' END AS caption,
-  CASE WHEN user_id % 19 <> 0 THEN epoch_us(CAST(day AS TIMESTAMP)) END AS pub_us,
+  CASE WHEN user_id % 19 <> 0 THEN least(epoch_us(CAST(day AS TIMESTAMP)) + (user_id % 24) * 3600000000, first_us) END AS pub_us,
   views, likes, comments, shares, saves, first_us, last_us, now_us,
   CASE WHEN views >= 200000 THEN 'VIRAL_QUALIFIED' WHEN views >= 150000 THEN 'EARLY_BREAKOUT'
     WHEN views >= 5000 THEN 'WATCH' WHEN views IS NOT NULL THEN 'NOISE' END AS tier,
@@ -442,10 +432,10 @@ cte(
     "otags",
     """SELECT post_id, name, row_number() OVER (PARTITION BY post_id ORDER BY f, name) - 1 AS position,
   CAST(('0x' || substr(md5(name), 1, 12)) AS BIGINT) AS hashtag_id, name = 'ring' AS is_generic
-FROM (SELECT l_orderkey AS post_id, name, min(l_linenumber * 4 + slot) AS f FROM (
-  SELECT l_orderkey, l_linenumber, unnest([0, 1, 2, 3]) AS slot,
-   unnest([lower(replace(p_brand, '#', '')), lower(p_type), lower(split_part(p_name, ' ', 1)), lower(split_part(p_name, ' ', -1))]) AS name
-  FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2)""",
+FROM (SELECT l_orderkey AS post_id, name, min(l_linenumber * 1000000 + slot) AS f FROM (
+  SELECT l_orderkey, l_linenumber, unnest(range(len(names))) AS slot, unnest(names) AS name FROM (
+   SELECT l_orderkey, l_linenumber, list_concat([lower(replace(p_brand, '#', '')), lower(p_type)], string_split(lower(p_name), ' ')) AS names
+   FROM lineitem JOIN part ON l_partkey = p_partkey)) GROUP BY 1, 2)""",
 )
 cte(
     "jobs",

@@ -143,10 +143,10 @@ def outcomes(spark, sf):
 @query(
     "retryable_runs",
     "P10",
-    compose("SELECT job_id // 2 AS run_id, count(*) AS attempts FROM jobs WHERE job_id % 4 <> 1 GROUP BY 1 HAVING count(*) < 2 AND bool_and(status IN ('FAILED', 'TIMED_OUT'))"),
+    compose("SELECT job_id * 2 // 3 AS run_id, count(*) AS attempts FROM jobs GROUP BY 1 HAVING count(*) < 2 AND bool_and(status IN ('FAILED', 'TIMED_OUT'))"),
 )
 def retryable(spark, sf):
-    jobs = model(spark, sf).jobs.where("job_id % 4 <> 1").withColumn("run_id", F.floor(F.col("job_id") / 2).cast("bigint"))
+    jobs = model(spark, sf).jobs.withColumn("run_id", F.floor(F.col("job_id") * 2 / 3).cast("bigint"))
     return out(P.retryable_runs(jobs))
 
 
@@ -235,7 +235,7 @@ def timed_out(spark, sf):
 @query(
     "error_seen_since",
     "P16",
-    compose("SELECT bool_or(scope = 'scope3' AND at_us >= now_us - 25200000000) AS found_today, bool_or(scope = 'nothing') AS found_other, NOT bool_or(scope = 'nothing') AND true AS warned FROM errs"),
+    compose("SELECT bool_or(scope = 'scope3' AND at_us >= now_us // 86400000000 * 86400000000) AS found_today, bool_or(scope = 'nothing') AS found_other, NOT bool_or(scope = 'nothing') AND true AS warned FROM errs"),
 )
 def error_seen(spark, sf):
     m = model(spark, sf)
@@ -246,7 +246,7 @@ def error_seen(spark, sf):
     return a.crossJoin(b).crossJoin(warn.agg((F.count(F.lit(1)) == 1).alias("warned")))
 
 
-cte("scanrows", "SELECT h AS tracked_id, max(us) AS at_us, arg_max(n, us) AS n FROM (SELECT us, event_id, (user_id * 2 + 2) % 270 AS h, k % 3 AS n FROM ev WHERE event_type = 'view') GROUP BY 1")
+cte("scanrows", "SELECT h AS tracked_id, max(us) AS at_us, arg_max(n, us) AS n FROM (SELECT us, event_id, (user_id * 2 + 2) % 270 AS h, k % 3 AS n FROM ev) GROUP BY 1")
 
 
 @query(
@@ -261,7 +261,7 @@ FROM tracked t LEFT JOIN scanrows s USING (tracked_id)"""
 )
 def after_scans(spark, sf):
     m = model(spark, sf)
-    scans = m.events.where("event_type = 'view'").select(
+    scans = m.events.select(
         ((F.col("user_id") * 2 + 2) % 270).alias("tracked_id"), F.col("ts").alias("scanned_at"), (F.col("k") % 3).alias("records")
     )
     t = P.record_scans(m.tracked, scans)
@@ -275,7 +275,7 @@ def after_scans(spark, sf):
 )
 def after_failed(spark, sf):
     m = model(spark, sf)
-    failed = m.events.where("event_type = 'view'").select(((F.col("user_id") * 2 + 2) % 270).alias("tracked_id"))
+    failed = m.events.select(((F.col("user_id") * 2 + 2) % 270).alias("tracked_id"))
     return out(P.back_off_failed(m.tracked, failed, m.now, 6), "tracked_id", "next_due_at")
 
 

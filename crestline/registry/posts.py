@@ -178,7 +178,7 @@ def snapshots_of(spark, sf):
 @query(
     "posts_seen_today",
     "S7",
-    compose("SELECT post_id, platform, tier, views, creator FROM posts WHERE last_us >= now_us - 25200000000 AND last_us < now_us - 25200000000 + 86400000000"),
+    compose("SELECT post_id, platform, tier, views, creator FROM posts WHERE last_us >= now_us // 86400000000 * 86400000000 AND last_us < now_us // 86400000000 * 86400000000 + 86400000000"),
 )
 def seen_today(spark, sf):
     from crestline.operators.hashtags import creator_key

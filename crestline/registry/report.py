@@ -302,14 +302,19 @@ def reports(m):
     return g
 
 
+def span(r):
+    """First and last report date, as text."""
+    return tuple(r.agg(F.min("report_date").cast("string"), F.max("report_date").cast("string")).first())
+
+
 @query(
     "previous_and_latest_report",
     "S10",
-    compose("SELECT 'previous' AS kind, * FROM reports WHERE report_date = (SELECT max(report_date) FROM reports WHERE report_date < '2024-01-20') UNION ALL SELECT 'latest', * FROM reports WHERE report_date = (SELECT max(report_date) FROM reports)"),
+    compose("SELECT 'previous' AS kind, * FROM reports WHERE report_date = (SELECT max(report_date) FROM reports WHERE report_date < (SELECT max(report_date) FROM reports)) UNION ALL SELECT 'latest', * FROM reports WHERE report_date = (SELECT max(report_date) FROM reports)"),
 )
 def previous_latest(spark, sf):
     r = reports(model(spark, sf))
-    a = K.previous_report(r, F.lit("2024-01-20"), "global").withColumn("kind", F.lit("previous"))
+    a = K.previous_report(r, F.lit(span(r)[1]), "global").withColumn("kind", F.lit("previous"))
     b = K.latest_report(r, "global").withColumn("kind", F.lit("latest"))
     return out(a.unionByName(b).drop("market"))
 
@@ -322,16 +327,15 @@ METRICS = ["viral_qualified", "early_breakout", "posts_scanned"]
     "R16, R22",
     compose(
         """SELECT m AS metric, c AS current, p AS previous, c - p AS delta, round((c - p) * 100.0 / nullif(p, 0), 6) AS pct FROM (SELECT unnest(['viral_qualified', 'early_breakout', 'posts_scanned']) AS m,
- unnest([a.viral_qualified, a.early_breakout, a.posts_scanned]) AS c, unnest([b.viral_qualified, b.early_breakout, b.posts_scanned]) AS p FROM reports a, reports b WHERE a.report_date = '2024-01-20' AND b.report_date = '2024-01-19')
-UNION ALL SELECT m, c, NULL, NULL, NULL FROM (SELECT unnest(['viral_qualified', 'early_breakout', 'posts_scanned']) AS m, unnest([viral_qualified, early_breakout, posts_scanned]) AS c FROM reports WHERE report_date = '2024-01-01')"""
+ unnest([a.viral_qualified, a.early_breakout, a.posts_scanned]) AS c, unnest([b.viral_qualified, b.early_breakout, b.posts_scanned]) AS p FROM reports a, reports b WHERE a.report_date = (SELECT max(report_date) FROM reports) AND b.report_date = (SELECT max(report_date) FROM reports WHERE report_date < (SELECT max(report_date) FROM reports)))
+UNION ALL SELECT m, c, NULL, NULL, NULL FROM (SELECT unnest(['viral_qualified', 'early_breakout', 'posts_scanned']) AS m, unnest([viral_qualified, early_breakout, posts_scanned]) AS c FROM reports WHERE report_date = (SELECT min(report_date) FROM reports))"""
     ),
 )
 def versus(spark, sf):
     r = reports(model(spark, sf))
-    day = r.where("report_date = '2024-01-20'")
-    first = r.where("report_date = '2024-01-01'")
-    a = R.versus_previous(day, K.previous_report(r, F.lit("2024-01-20"), "global"), METRICS)
-    b = R.versus_previous(first, K.previous_report(r, F.lit("2024-01-01"), "global"), METRICS)
+    lo, hi = span(r)
+    a = R.versus_previous(r.where(F.col("report_date") == hi), K.previous_report(r, F.lit(hi), "global"), METRICS)
+    b = R.versus_previous(r.where(F.col("report_date") == lo), K.previous_report(r, F.lit(lo), "global"), METRICS)
     return out(a.unionByName(b))
 
 

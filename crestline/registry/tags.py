@@ -253,35 +253,33 @@ def totals(spark, sf):
 
 
 GRAPH = CFG
-cte("oday", "SELECT max(date) AS d FROM oposts WHERE date < DATE '2001-01-01'")
 cte(
     "strong",
-    """SELECT * FROM (SELECT e.*, e.posts * 1.0 / (a.total_posts + b.total_posts - e.posts) AS jaccard FROM oedges e JOIN oday ON e.date = d
+    """SELECT * FROM (SELECT e.*, e.posts * 1.0 / (a.total_posts + b.total_posts - e.posts) AS jaccard FROM oedges e
  JOIN ototal a ON a.hashtag_id = e.tag_a AND a.date = e.date JOIN ototal b ON b.hashtag_id = e.tag_b AND b.date = e.date WHERE e.viral_posts >= 2) WHERE jaccard >= 0.15""",
 )
 
 
-def day_graph(m):
-    edges, tot = order_graph(m)
-    day = F.lit("2000-01-01").cast("date")
-    return edges.where(F.col("date") == day), tot.where(F.col("date") == day)
+DAY = ("date",)
 
 
-@query("strong_tag_edges", "H16", compose("SELECT name_a, name_b, posts, viral_posts, round(jaccard, 6) AS jaccard FROM strong"))
+@query("strong_tag_edges", "H16", compose("SELECT CAST(date AS VARCHAR) AS date, name_a, name_b, posts, viral_posts, round(jaccard, 6) AS jaccard FROM strong"))
 def strong_edges(spark, sf):
-    e, t = day_graph(model(spark, sf))
-    return out(X.strong_edges(e, t, GRAPH), "name_a", "name_b", "posts", "viral_posts", "jaccard")
+    e, t = order_graph(model(spark, sf))
+    return out(X.strong_edges(e, t, GRAPH, DAY), "date", "name_a", "name_b", "posts", "viral_posts", "jaccard")
 
 
-cte("sym", "SELECT tag_a AS u, tag_b AS v FROM strong UNION SELECT tag_b, tag_a FROM strong")
-cte("reach", "SELECT u AS s, u AS t FROM sym UNION SELECT r.s, y.v FROM reach r JOIN sym y ON y.u = r.t")
-cte("compo", "SELECT s AS node, min(t) AS component FROM reach GROUP BY s")
+cte("sym", "SELECT date, tag_a AS u, tag_b AS v FROM strong UNION SELECT date, tag_b, tag_a FROM strong")
+cte("reach", "SELECT date, u AS s, u AS t FROM sym UNION SELECT r.date, r.s, y.v FROM reach r JOIN sym y ON y.u = r.t AND y.date = r.date")
+cte("compo", "SELECT date, s AS node, min(t) AS component FROM reach GROUP BY date, s")
 
 
-@query("tag_components", "H17", compose("SELECT * FROM compo"))
+@query("tag_components", "H17", compose("SELECT CAST(date AS VARCHAR) AS date, node, component FROM compo"))
 def components(spark, sf):
-    e, t = day_graph(model(spark, sf))
-    return X.components(X.strong_edges(e, t, GRAPH))
+    e, t = order_graph(model(spark, sf))
+    e = X.strong_edges(e, t, GRAPH, DAY).select(*[F.struct("date", F.col(x).alias("tag")).alias(x) for x in ("tag_a", "tag_b")])
+    c = X.components(e)
+    return out(c, F.col("node.date").alias("date"), F.col("node.tag").alias("node"), F.col("component.tag").alias("component"))
 
 
 cte("hubs", "SELECT o_custkey AS u, o_orderkey + 100000000 AS v FROM orders UNION SELECT o_orderkey + 100000000, o_custkey FROM orders")
@@ -299,32 +297,32 @@ def hub_components(spark, sf):
     "tag_clusters",
     "H18",
     compose(
-        """SELECT row_number() OVER (ORDER BY qualified_posts DESC, label) AS cluster_rank, label, tags, qualified_posts, views_sum FROM (
- SELECT component, arg_max(name, -rn) AS label, string_agg(name, '|' ORDER BY rn) FILTER (WHERE rn <= 8) AS tags FROM (
-  SELECT c.component, n.name, row_number() OVER (PARTITION BY c.component ORDER BY coalesce(o.strength, 0) DESC, c.node DESC) AS rn FROM compo c
-  JOIN (SELECT tag_a AS node, name_a AS name FROM strong UNION SELECT tag_b, name_b FROM strong) n USING (node)
-  LEFT JOIN (SELECT hashtag_id AS node, strength FROM ototal, oday WHERE date = d) o USING (node)) GROUP BY component) m
-JOIN (SELECT c.component, CAST(sum(viral_posts) AS BIGINT) AS qualified_posts, CAST(nullif(sum(views_sum), 0) AS BIGINT) AS views_sum FROM strong s JOIN compo c ON c.node = s.tag_a GROUP BY 1) z USING (component)
-ORDER BY qualified_posts DESC, label LIMIT 10"""
+        """SELECT CAST(date AS VARCHAR) AS date, row_number() OVER (PARTITION BY date ORDER BY qualified_posts DESC, label) AS cluster_rank, label, tags, qualified_posts, views_sum FROM (
+ SELECT date, component, arg_max(name, -rn) AS label, string_agg(name, '|' ORDER BY rn) FILTER (WHERE rn <= 8) AS tags FROM (
+  SELECT date, c.component, n.name, row_number() OVER (PARTITION BY date, c.component ORDER BY coalesce(o.strength, 0) DESC, c.node DESC) AS rn FROM compo c
+  JOIN (SELECT date, tag_a AS node, name_a AS name FROM strong UNION SELECT date, tag_b, name_b FROM strong) n USING (date, node)
+  LEFT JOIN (SELECT date, hashtag_id AS node, strength FROM ototal) o USING (date, node)) GROUP BY date, component) m
+JOIN (SELECT s.date, c.component, CAST(sum(viral_posts) AS BIGINT) AS qualified_posts, CAST(nullif(sum(views_sum), 0) AS BIGINT) AS views_sum FROM strong s JOIN compo c ON c.node = s.tag_a AND c.date = s.date GROUP BY 1, 2) z USING (date, component)
+QUALIFY cluster_rank <= 10"""
     ),
 )
 def clusters(spark, sf):
-    e, t = day_graph(model(spark, sf))
-    c = X.clusters(e, t, GRAPH)
-    return out(c, "cluster_rank", "label", F.concat_ws("|", "tags").alias("tags"), "qualified_posts", "views_sum")
+    e, t = order_graph(model(spark, sf))
+    c = X.clusters(e, t, GRAPH, DAY)
+    return out(c, "date", "cluster_rank", "label", F.concat_ws("|", "tags").alias("tags"), "qualified_posts", "views_sum")
 
 
 @query(
     "related_tags",
     "H19",
     compose(
-        """SELECT hashtag_id, partner, posts, rn FROM (SELECT *, row_number() OVER (PARTITION BY hashtag_id ORDER BY posts DESC, partner) AS rn FROM (
- SELECT tag_a AS hashtag_id, name_b AS partner, posts FROM oedges, oday WHERE date = d UNION ALL SELECT tag_b, name_a, posts FROM oedges, oday WHERE date = d)) WHERE rn <= 5"""
+        """SELECT CAST(date AS VARCHAR) AS date, hashtag_id, partner, posts, rn FROM (SELECT *, row_number() OVER (PARTITION BY date, hashtag_id ORDER BY posts DESC, partner) AS rn FROM (
+ SELECT date, tag_a AS hashtag_id, name_b AS partner, posts FROM oedges UNION ALL SELECT date, tag_b, name_a, posts FROM oedges)) WHERE rn <= 5"""
     ),
 )
 def related(spark, sf):
-    e, _ = day_graph(model(spark, sf))
-    return out(X.related_tags(e), "hashtag_id", "partner", "posts", "rn")
+    e, _ = order_graph(model(spark, sf))
+    return out(X.related_tags(e, by=DAY), "date", "hashtag_id", "partner", "posts", "rn")
 
 
 # --- categories -------------------------------------------------------------------
@@ -596,7 +594,7 @@ cte("tevents", "SELECT tracked_id, name, platform, CASE WHEN tracked_id % 3 <> 0
     compose(
         """SELECT platform, tag, rn FROM (SELECT c.*, row_number() OVER (PARTITION BY platform ORDER BY qualified_posts DESC, hashtag_id) AS rn FROM cand c WHERE length(tag) >= 3)
 LEFT JOIN (SELECT platform, count(*) FILTER (WHERE tier = 'EXPLORATION') AS pool FROM tracked GROUP BY 1) USING (platform)
-LEFT JOIN (SELECT platform, count(*) AS entered FROM tevents WHERE to_tier = 'EXPLORATION' AND at_us >= now_us - 25200000000 AND at_us < now_us - 25200000000 + 86400000000 GROUP BY 1) USING (platform)
+LEFT JOIN (SELECT platform, count(*) AS entered FROM tevents WHERE to_tier = 'EXPLORATION' AND at_us >= now_us // 86400000000 * 86400000000 AND at_us < now_us // 86400000000 * 86400000000 + 86400000000 GROUP BY 1) USING (platform)
 WHERE rn <= least(3 - coalesce(entered, 0), 8 - coalesce(pool, 0))"""
     ),
 )

@@ -42,7 +42,7 @@ PATHS = ["text", "lang", "info.source", "info.words", "info.first", "n_chars"]
 def documents(m):
     d = m.table("documents")
     words = F.filter(F.split("text", " "), lambda w: w.startswith("#"))
-    first = F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.get(F.split("text", " "), 0))
+    first = F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("text"))
     return d.select("doc_id", "text", "lang", F.col("n_chars"), F.struct("source", words.alias("words"), first.alias("first")).alias("info"))
 
 
@@ -51,7 +51,7 @@ def documents(m):
     "Q2",
     """SELECT field, present, total, floor(present * 1000.0 / total + 0.5) / 10 AS pct FROM (SELECT unnest(['text', 'lang', 'info.source', 'info.words', 'info.first', 'n_chars']) AS field,
  unnest([count(*) FILTER (WHERE regexp_matches(text, '\\S')), count(lang), count(*) FILTER (WHERE trim(source) <> ''), count(*) FILTER (WHERE len(list_filter(string_split(text, ' '), lambda w: starts_with(w, '#'))) > 0),
- count(*) FILTER (WHERE doc_id % 3 <> 0 AND regexp_matches(split_part(text, ' ', 1), '\\S')), count(n_chars)]) AS present, count(*) AS total FROM documents)""",
+ count(*) FILTER (WHERE doc_id % 3 <> 0 AND regexp_matches(text, '\\S')), count(n_chars)]) AS present, count(*) AS total FROM documents)""",
 )
 def coverage(spark, sf):
     return Q.field_coverage(documents(model(spark, sf)), PATHS)
