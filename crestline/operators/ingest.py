@@ -36,7 +36,11 @@ def fold_posts(observations: DataFrame, tie: str = "observed_at") -> DataFrame:
     """One row per post from a batch of observations, by map-side-combined aggregates."""
     order = F.struct("observed_at", tie)
     aggs = [F.max_by(c, order).alias(c) for c in ALWAYS]
-    aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in KNOWN if c in observations.columns]
+    known = [c for c in KNOWN if c in observations.columns]
+    aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in known]
+    # When each field was last known, so that later merges can decide field by field.
+    times = [F.max(F.when(F.col(c).isNotNull(), F.col("observed_at"))) for c in known] + [F.max("observed_at") for _ in ALWAYS]
+    aggs.append(F.map_from_arrays(F.array(*[F.lit(c) for c in (*known, *ALWAYS)]), F.array(*times)).alias("known_at"))
     return observations.groupBy("post_id", *POST_KEY).agg(
         *aggs, F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at")
     )
@@ -45,11 +49,18 @@ def fold_posts(observations: DataFrame, tie: str = "observed_at") -> DataFrame:
 def merge_posts(stored: DataFrame, batch: DataFrame, market: str = "global") -> DataFrame:
     """Posts after a folded batch: first_seen kept, known values never lost.
 
-    A late batch (older than the stored row) fills gaps but does not win.
+    Every field keeps the value that was known last, whatever the order of the
+    batches: ``known_at`` holds the time of each. A stored row without that
+    column, or without a time for a field, counts with its last_seen_at.
     """
     new = batch.select(*POST_KEY, *[F.col(c).alias(f"n_{c}") for c in batch.columns if c not in POST_KEY])
     j = stored.join(new, POST_KEY, "full_outer")
-    newer = F.col("last_seen_at").isNull() | (F.col("n_last_seen_at") >= F.col("last_seen_at"))
+    timed = "known_at" in stored.columns
+
+    def newer(c: str) -> Column:
+        old = F.coalesce(F.col("known_at")[c], "last_seen_at") if timed else F.col("last_seen_at")
+        return F.col("last_seen_at").isNull() | F.col(c).isNull() | (F.col("n_known_at")[c] >= old)
+
     cols = []
     for f in stored.schema.fields:
         c, n = f.name, f"n_{f.name}"
@@ -59,6 +70,9 @@ def merge_posts(stored: DataFrame, batch: DataFrame, market: str = "global") ->
             cols.append(F.least(c, n).alias(c))
         elif c == "last_seen_at":
             cols.append(F.greatest(c, n).alias(c))
+        elif c == "known_at":
+            none = F.create_map().cast("map<string,timestamp>")
+            cols.append(F.map_zip_with(F.coalesce(c, none), F.coalesce(n, none), lambda _, x, y: F.greatest(x, y)).alias(c))
         elif c in ("market", "availability", "paid_refresh_count"):
             first = {"market": market, "availability": "ACTIVE", "paid_refresh_count": 0}[c]
             cols.append(F.coalesce(c, F.lit(first)).alias(c))
@@ -66,7 +80,7 @@ def merge_posts(stored: DataFrame, batch: DataFrame, market: str = "global") ->
             if n not in j.columns:
                 cols.append(F.col(c))
             else:
-                cols.append(F.when(newer, F.coalesce(n, c)).otherwise(F.coalesce(c, n)).cast(f.dataType).alias(c))
+                cols.append(F.when(newer(c), F.coalesce(n, c)).otherwise(F.coalesce(c, n)).cast(f.dataType).alias(c))
         elif n in j.columns:
             cols.append(F.coalesce(c, n).alias(c))
         else:

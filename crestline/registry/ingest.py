@@ -290,16 +290,14 @@ cte(
     ),
 )
 def posts_merge(spark, sf):
-    """Two batches, split by event parity, give the same table as one."""
+    """The table after two batches, split by event parity; its twin folds all observations at once."""
     m = model(spark, sf)
     o = observations(m)
     empty = I.fold_posts(o, "event_id").limit(0).withColumn("market", F.lit(""))
     one = I.merge_posts(empty, I.fold_posts(o.where("event_id % 2 = 0"), "event_id"))
     two = I.merge_posts(one, I.fold_posts(o.where("event_id % 2 = 1"), "event_id"))
-    whole = I.merge_posts(empty, I.fold_posts(o, "event_id"))
     cols = ["post_id", "canonical_url", "content_type", "creator_username", "caption", "views", "shares", us("first_seen_at").alias("first_seen_at"), us("last_seen_at").alias("last_seen_at"), "market"]
-    stable = two.select("post_id").exceptAll(whole.select("post_id"))
-    return whole.join(stable, "post_id", "left_anti").select(*cols)
+    return two.select(*cols)
 
 
 cte(

@@ -29,7 +29,7 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "creator_username string, creator_external_id string, creator_followers bigint, creator_verified boolean, caption string, "
         "music_id string, music_title string, music_author string, published_at timestamp, duration_sec decimal(10,3), views bigint, "
         "views_metric string, likes bigint, comments bigint, shares bigint, saves bigint, first_seen_at timestamp, "
-        "last_seen_at timestamp, tier string, availability string, vph decimal(14,2), vph_kind string, velocity_confidence string, "
+        "last_seen_at timestamp, known_at map<string,timestamp>, tier string, availability string, vph decimal(14,2), vph_kind string, velocity_confidence string, "
         "trend_score int, rising_score int, trend_state string, trend_state_since timestamp, scored_at timestamp, scoring_version int, "
         "next_refresh_at timestamp, paid_refresh_count int, score_components array<struct<score:string,component:string,"
         "available:boolean,raw:double,z:double,normalized:double,weight_configured:double,weight_used:double>>",
