@@ -208,7 +208,7 @@ def tag_items(tracked: DataFrame, today_stats: DataFrame, related: DataFrame | N
     zero = F.lit(0)
     out = out.select(
         "tracked_id", *TAG_KEY, "tag", "trend_state",
-        F.coalesce("posts_seen", zero).alias("radar_posts"),
+        F.coalesce("posts_seen", zero).alias("seen_posts"),
         (F.coalesce("viral_posts", zero) + F.coalesce("breakout_posts", zero)).alias("qualified_posts"),
         F.coalesce("distinct_creators", zero).alias("distinct_creators"),
         "median_vph", "momentum",
@@ -222,7 +222,7 @@ def tag_items(tracked: DataFrame, today_stats: DataFrame, related: DataFrame | N
 
 def tag_sections(items: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """BREAKOUT, RISING and TOP sections with ranks."""
-    order = [F.col("qualified_posts").desc(), F.col("radar_posts").desc(), F.col("tag"), F.col("platform")]
+    order = [F.col("qualified_posts").desc(), F.col("seen_posts").desc(), F.col("tag"), F.col("platform")]
     parts = [
         ranked(src, order, cfg.section_max).withColumn("section", F.lit(name))
         for name, src in (
@@ -344,7 +344,7 @@ ITEM_FIELDS = [
     "categories", "published_at", "age_hours", "views", "likes", "comments", "shares", "vph", "vph_kind",
     "velocity_confidence", "trend_score", "rising_score", "trend_state", "tier", "in_yesterday_report",
 ]
-TAG_FIELDS = ["rank", "tag", "platform", "trend_state", "radar_posts", "qualified_posts", "distinct_creators", "median_vph", "momentum"]
+TAG_FIELDS = ["rank", "tag", "platform", "trend_state", "seen_posts", "qualified_posts", "distinct_creators", "median_vph", "momentum"]
 
 
 def _gathered(df: DataFrame, fields: list[str], key: str, name: str, names: list[str]) -> DataFrame:

@@ -193,11 +193,11 @@ def cluster_samples(spark, sf):
 
 cte(
     "titems",
-    """SELECT tracked_id, t.platform, name AS tag, CASE tracked_id % 5 WHEN 0 THEN 'BREAKOUT' WHEN 1 THEN 'RISING' ELSE prev_state END AS trend_state, coalesce(posts_seen, 0) AS radar_posts,
+    """SELECT tracked_id, t.platform, name AS tag, CASE tracked_id % 5 WHEN 0 THEN 'BREAKOUT' WHEN 1 THEN 'RISING' ELSE prev_state END AS trend_state, coalesce(posts_seen, 0) AS seen_posts,
  coalesce(viral_posts, 0) + coalesce(breakout_posts, 0) AS qualified_posts, coalesce(distinct_creators, 0) AS distinct_creators, median_vph
 FROM tracked t LEFT JOIN (SELECT rollup.* FROM rollup, today WHERE date = today) r USING (platform, hashtag_id)""",
 )
-_sec = "SELECT '{0}' AS section, row_number() OVER (ORDER BY qualified_posts DESC, radar_posts DESC, tag, platform) AS rank, * FROM titems WHERE {1} QUALIFY rank <= 10"
+_sec = "SELECT '{0}' AS section, row_number() OVER (ORDER BY qualified_posts DESC, seen_posts DESC, tag, platform) AS rank, * FROM titems WHERE {1} QUALIFY rank <= 10"
 cte("tsec", " UNION ALL ".join(f"SELECT * FROM ({_sec.format(n, w)})" for n, w in (("BREAKOUT", "trend_state = 'BREAKOUT'"), ("RISING", "trend_state = 'RISING'"), ("TOP", "true"))))
 
 
@@ -210,9 +210,9 @@ def tag_rows(m):
     return R.tag_sections(R.tag_items(m.tracked.withColumn("trend_state", state), today_daily(m)))
 
 
-@query("report_tag_sections", "R11, K24", compose("SELECT section, rank, tag, platform, radar_posts, qualified_posts, distinct_creators, median_vph FROM tsec"))
+@query("report_tag_sections", "R11, K24", compose("SELECT section, rank, tag, platform, seen_posts, qualified_posts, distinct_creators, median_vph FROM tsec"))
 def tag_sections(spark, sf):
-    return out(tag_rows(model(spark, sf)), "section", "rank", "tag", "platform", "radar_posts", "qualified_posts", "distinct_creators", "median_vph")
+    return out(tag_rows(model(spark, sf)), "section", "rank", "tag", "platform", "seen_posts", "qualified_posts", "distinct_creators", "median_vph")
 
 
 cte(
