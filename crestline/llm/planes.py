@@ -65,7 +65,7 @@ def write_planes(
     ordered = cols.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def fn(batches):
-        shard, block, held, docs_in, at = TaskContext.get().partitionId(), 0, b"", [], 0
+        shard, block, held, docs_in = TaskContext.get().partitionId(), 0, bytearray(), []
         enc = encoder(tokenizer)
         size = 4 * block_ids
 
@@ -81,12 +81,12 @@ def write_planes(
                     docs_in.append((names[i], len(held) // 4))
                     held += ids
                     while len(held) >= size:
-                        yield row(held[:size])
+                        yield row(bytes(held[:size]))
                         # A document that begins on the cut belongs to the next block.
-                        held, block = held[size:], block + 1
-                        docs_in = []
+                        del held[:size]
+                        block, docs_in = block + 1, []
         if held:
-            yield row(held)
+            yield row(bytes(held))
 
     ordered.mapInArrow(fn, "shard int, block int, n_ids int, kind string, planes array<binary>, docs array<long>, offsets array<int>").write.parquet(f"{path}/blocks")
     spark = docs.sparkSession

@@ -11,7 +11,7 @@ import os
 
 import numpy as np
 
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_200_000
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
