@@ -3,7 +3,8 @@
 Everything on the scan's path is a DataFrame function: a regular expression
 cuts a text into long tokens and what stands between them, features of every
 token are column expressions, and the trained forest is turned into nested
-conditions. Training uses Spark ML on a bounded sample of labelled findings.
+conditions. Every finding is labelled; training uses Spark ML on a bounded
+sample of each kind of them.
 """
 
 from __future__ import annotations
@@ -12,15 +13,21 @@ import math
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crestline.session import materialize
+
 # A candidate is a token of these characters, so long, with a digit in it.
 TOKEN = r"[A-Za-z0-9+/_\-]{16,}"
 # Characters kept on either side of a candidate.
 BEFORE, AFTER = 48, 24
-# Labelled findings learned from, documents they are taken from, dictionary words and letter pairs: bounds of the sample.
+# Labelled findings learned from, of each kind; kinds with fewer than LEAST_FINDINGS are repeated up to it, so that bagging and leaves see them.
 MAX_FINDINGS = 20_000
+LEAST_FINDINGS = 50
+# Hash ranges that findings are counted by to find the smallest hashes of a kind.
+HASH_BINS = 4_096
+# Documents that words are counted in, dictionary words and letter pairs: bounds of the sample.
 MAX_DOCS = 40_000
 MAX_WORDS = 400
 MAX_PAIRS = 300
@@ -28,7 +35,8 @@ TREES, DEPTH = 15, 5
 MASK = "[SECRET]"
 
 # Published prefixes of credentials, and words that announce one.
-FORMATS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk_live_|^AIza[A-Za-z0-9_\-]{35}$"
+KINDS = (r"^(AKIA|ASIA)[A-Z0-9]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}", r"^xox[abprs]-", r"^sk_live_", r"^AIza[A-Za-z0-9_\-]{35}$")
+FORMATS = "|".join(KINDS)
 WORDS = r"(?i)(passw(or)?d|pwd|secret|token|api[_-]?key|auth|bearer|credential)"
 ASSIGNED = WORDS + r"[\"']?\s*[=:]\s*[\"']?$"
 
@@ -103,12 +111,39 @@ def vocabulary(texts: DataFrame) -> tuple[list[str], list[str]]:
     return [r["w"] for r in top[:MAX_WORDS]], sorted(pairs, key=lambda p: (-pairs[p], p))[:MAX_PAIRS]
 
 
-def weak_findings(texts: DataFrame) -> DataFrame:
-    """(value, before, after, label) of the sample's candidates, at most MAX_FINDINGS by hash of the finding."""
+def kind(c: Column) -> Column:
+    """The published format of a finding from 1 up, -1 for one confirmed by its assignment only, 0 for the others."""
+    out = F.when(c["value"].rlike(KINDS[0]), 1)
+    for k, pattern in enumerate(KINDS[1:], 2):
+        out = out.when(c["value"].rlike(pattern), k)
+    return out.when(c["before"].rlike(ASSIGNED), -1).otherwise(0)
+
+
+def weak_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MAX_FINDINGS, least: int = LEAST_FINDINGS) -> DataFrame:
+    """(value, before, after, label) of candidates of all documents: of each kind those of the ``most`` smallest hashes.
+
+    A kind of fewer than ``least`` findings is repeated to about that number.
+    """
     c = F.col("c")
-    found = texts.where(F.col("text").rlike("[0-9]")).select(F.explode(tokens(F.col("text"))).alias("c")).where(is_candidate(c))
-    rows = found.select("c.value", "c.before", "c.after", weak_label(c).alias("label"))
-    return rows.orderBy(F.xxhash64("value", "before", "after")).limit(MAX_FINDINGS)
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike("[0-9]"))
+    found = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("c")).where(is_candidate(c))
+    rows = found.select("c.value", "c.before", "c.after", weak_label(c).alias("label"), kind(c).alias("kind"), F.xxhash64("doc_id", "c.value", "c.before", "c.after").alias("hash"))
+    rows = rows.withColumn("bin", F.pmod(F.shiftrightunsigned("hash", 40), F.lit(HASH_BINS)))
+    # Kinds times bins are few counts; the first bins that hold ``most`` findings hold the chosen ones.
+    reach: dict[int, tuple[int, int]] = {}
+    for r in sorted(rows.groupBy("kind", "bin").count().collect()):
+        last, n = reach.get(r["kind"], (-1, 0))
+        reach[r["kind"]] = (r["bin"], n + r["count"]) if n < most else (last, n)
+    near = F.lit(False)
+    for k, (last, _) in reach.items():
+        near = near | ((F.col("kind") == k) & (F.col("bin") <= last))
+    order = Window.partitionBy("kind").orderBy("bin", "hash", "value", "before", "after")
+    times = F.lit(1)
+    for k, (_, n) in reach.items():
+        if n < least:
+            times = F.when(F.col("kind") == k, math.ceil(least / n)).otherwise(times)
+    chosen = rows.where(near).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return chosen.select("value", "before", "after", "label", F.explode(F.sequence(F.lit(1), times)).alias("_")).drop("_")
 
 
 def train(findings: DataFrame, dictionary: list[str], pairs: list[str], trees: int = TREES, depth: int = DEPTH) -> list:
@@ -183,8 +218,7 @@ def scan(docs: DataFrame, forest: list, dictionary: list[str], pairs: list[str],
 
 
 def scan_with_weak_labels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on the weakly labelled findings of a bounded sample of ``docs``, then scan all of them."""
-    texts = sampled(docs, doc_id, text)
-    dictionary, pairs = vocabulary(texts)
-    forest = train(weak_findings(texts), dictionary, pairs)
+    """Label the findings of all ``docs``, train on a bounded sample of each kind, then scan all of them."""
+    dictionary, pairs = vocabulary(sampled(docs, doc_id, text))
+    forest = train(materialize(weak_findings(docs, doc_id, text), "findings"), dictionary, pairs)
     return scan(docs, forest, dictionary, pairs, doc_id, text)
