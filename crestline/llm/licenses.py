@@ -1,9 +1,10 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-The units compared are the whole text, its paragraphs and its lines. A unit of
-m bigrams can reach a Dice coefficient d only with templates of m d / (2 - d) to
+The units compared are the whole text, its paragraphs, its lines and all runs
+of consecutive lines, which hold all runs of paragraphs. A unit of m bigrams can reach a Dice coefficient d only with templates of m d / (2 - d) to
 m (2 - d) / d bigrams, and only with templates it shares a bigram with; those
-are looked up in an index, all others are never compared.
+are looked up in an index, all others are never compared. Runs share at least
+d / (2 - d) of a template's bigrams, so they start and end at such bigrams only.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from importlib.resources import files
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from crestline.llm.base import map_texts, text_slices
 
 DICE = 0.8
 
-# Public licence notices and short licence texts.
+# Public licence notices and short licence texts; the long licence texts are in the folder `templates`.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -76,7 +79,64 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT "
+        'HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor "
+        "the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        'permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO "
+        "EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
 )
+# Texts of whole licences, named by file.
+TEMPLATES += tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted((files("crestline.llm") / "templates").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt"))
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:\.[0-9]+)*")
 _PARAGRAPH = re.compile(rb"\n[ \t\r]*\n")
@@ -131,35 +191,106 @@ class Matcher:
                 found = (self.items[k][1], d)
         return found
 
+    def runs(self, lines: list[list[bytes]]) -> list[tuple[str, float, int, int]]:
+        """(licence, Dice, first line, last line) of runs of two or more lines that reach the threshold.
+
+        Of a start the best end counts, and of overlapping runs the best one.
+        """
+        words = [w for x in lines for w in x]
+        if len(words) - 1 < self.low:
+            return []
+        hits: dict[int, list[int]] = {}
+        pairs = list(zip(words, words[1:]))
+        for p, pair in enumerate(pairs):
+            for k in self.index.get(pair, ()):
+                hits.setdefault(k, []).append(p)
+        ends = np.cumsum([len(x) for x in lines])
+        found = []
+        for k, at in hits.items():
+            size, name, grams = self.items[k]
+            if len(at) < size * self.ratio - 1e-9:
+                continue
+            # A bigram that a template holds c times counts in a run unless c earlier ones are in it.
+            seen: dict = {}
+            earlier = np.empty(len(at), np.int64)
+            for n, p in enumerate(at):
+                past = seen.setdefault(pairs[p], [])
+                c = grams[pairs[p]]
+                earlier[n] = past[-c] if len(past) >= c else -1
+                past.append(p)
+            pos = np.array(at)
+            first, last = np.unique(np.searchsorted(ends, pos, "right")), np.unique(np.searchsorted(ends, pos + 1, "right"))
+            begin, stop = ends[first] - [len(lines[x]) for x in first], ends[last]
+            low, high = np.searchsorted(pos, begin), np.searchsorted(pos, begin + int(size / self.ratio + 1e-9) + 1)
+            for x in np.flatnonzero(high - low >= size * self.ratio - 1e-9):
+                a, lo, hi = begin[x], low[x], high[x]
+                sums = np.concatenate([[0], np.cumsum(earlier[lo:hi] < a)])
+                e0 = np.searchsorted(last, first[x], "right")
+                e1 = np.searchsorted(stop, a + int(size / self.ratio + 1e-9) + 1, "right")
+                if e0 >= e1:
+                    continue
+                shared = sums[np.searchsorted(pos, stop[e0:e1] - 1) - lo]
+                scores = 2 * shared / (stop[e0:e1] - a - 1 + size)
+                e = int(np.argmax(scores))
+                if scores[e] >= self.least:
+                    found.append((name, float(scores[e]), int(first[x]), int(last[e0 + e])))
+        out: list[tuple[str, float, int, int]] = []
+        for r in sorted(found, key=lambda r: (-r[1], r[0], r[2], r[3])):
+            if all(r[3] < o[2] or o[3] < r[2] for o in out):
+                out.append(r)
+        return sorted(out, key=lambda r: r[2])
+
 
-def units(text: bytes) -> list[bytes]:
-    """Whole text, paragraphs and lines; equal ones once."""
-    return list(dict.fromkeys((text, *_PARAGRAPH.split(text), *text.split(b"\n"))))
+def units(text: bytes) -> dict[bytes, list[tuple[int, int]]]:
+    """Whole text, paragraphs and lines with the places they stand at; equal ones once."""
+    out: dict[bytes, list[tuple[int, int]]] = {text: [(0, len(text))]}
+    breaks = [(m.start(), m.end()) for m in _PARAGRAPH.finditer(text)]
+    for a, b in zip([0, *(e for _, e in breaks)], [*(s for s, _ in breaks), len(text)]):
+        out.setdefault(text[a:b], []).append((a, b))
+    at = 0
+    for line in text.split(b"\n"):
+        out.setdefault(line, []).append((at, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
+def matches(matcher: Matcher, text: bytes) -> list[tuple[str, float, bytes]]:
+    """(licence, Dice, unit) of matching units, then of runs of lines.
+
+    A run is left out if a unit that overlaps it matches as well with the same
+    licence, or holds all of it and matches as well.
+    """
+    found, placed = [], []
+    for u, places in units(text).items():
+        if hit := matcher.best(normalised(u)):
+            found.append((*hit, u))
+            placed += [(*hit, *p) for p in places]
+    lines = text.split(b"\n")
+    if len(lines) > 1:
+        starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
+        for name, score, i, j in matcher.runs([normalised(x) for x in lines]):
+            a, b = int(starts[i]), int(starts[j + 1]) - 1
+            if not any(s >= score - 1e-12 and x < b and a < y and (n == name or x <= a and b <= y) for n, s, x, y in placed):
+                found.append((name, score, text[a:b]))
+    return found
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, score, n_matches, matches) of every row.
 
-    ``matches`` lists (license, score, unit) of every matching unit, ``license``
+    ``matches`` lists (license, score, unit) of every matching unit or run, ``license``
     and ``score`` the best of them, null without one. Null and empty texts match
     nothing. Repeated rows and null ids are kept; other columns are ignored.
     """
     state: dict = {}
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(templates))
     kind = pa.list_(pa.struct([("license", pa.string()), ("score", pa.float64()), ("unit", pa.string())]))
 
     def fn(batch):
         if "m" not in state:
-            state["m"] = Matcher(templates, least)
-        best = state["m"].best
+            state["m"] = Matcher(shared.value, least)
         for a, e, texts in text_slices(batch):
-            out = []
-            for t in texts:
-                found = []
-                for u in units(t):
-                    hit = best(normalised(u))
-                    if hit:
-                        found.append({"license": hit[0], "score": hit[1], "unit": u.decode("utf-8", "replace")})
-                out.append(found)
+            out = [[{"license": n, "score": s, "unit": u.decode("utf-8", "replace")} for n, s, u in matches(state["m"], t)] for t in texts]
             top = [min(f, key=lambda m: (-m["score"], m["license"])) if f else {"license": None, "score": None} for f in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, e - a), pa.array([t["license"] for t in top], pa.string()), pa.array([t["score"] for t in top], pa.float64()), pa.array([len(f) for f in out], pa.int64()), pa.array(out, kind)],

@@ -1,8 +1,11 @@
 """Operators on tables larger, or of more classes, than what they learn from."""
 
+import random
+import textwrap
+
 from pyspark.sql import functions as F
 
-from crestline.llm import secrets
+from crestline.llm import licenses, secrets
 
 
 def test_rare_secrets(spark):
@@ -26,3 +29,51 @@ def test_sample_per_kind(spark):
     assert sum(r["label"] == 0 for r in got) == 50
     assert sum(r["before"].endswith("= ") for r in got) == 50
     assert sum(r["value"].startswith("AKIA") for r in got) == 10
+
+
+CODE = "\n".join(f"int f{i}(int a) {{ return a + {i}; }}\n\n// adds {i} to what stands on the left hand" for i in range(60))
+
+
+def laid_out(name: str, least: int, cuts: tuple[str, ...], mark: str) -> str:
+    """A notice in its usual layout: short lines, blank lines before the words in ``cuts``, inside a longer file."""
+    body = next(t for n, t in licenses.TEMPLATES if n == name and len(t.split()) > least)
+    for c in cuts:
+        assert c in body
+        body = body.replace(c, "\n\n" + c)
+    lines = [x for part in body.split("\n\n") for x in (*textwrap.wrap(part, 70), "")]
+    return CODE + "\n\nCopyright 2020 Somebody\n\n" + "\n".join(f"{mark} {x}".rstrip() if x else "" for x in lines) + "\n\n" + CODE
+
+
+def test_notices_of_several_paragraphs(spark):
+    whole = {n: t for n, t in licenses.TEMPLATES if len(t.split()) > 500}
+    assert set(whole) >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+    files = {
+        "MIT": laid_out("MIT", 100, ("The above", "THE SOFTWARE IS"), " *"), "Apache-2.0": laid_out("Apache-2.0", 50, ("You may obtain", "Unless"), "#"),
+        "GPL-3.0": laid_out("GPL-3.0", 50, ("This program is dist",), "//"), "GPL-2.0": laid_out("GPL-2.0", 50, ("This program is dist",), ""),
+        "BSD-3-Clause": laid_out("BSD-3-Clause", 100, ("1. Re", "2. Re", "3. Ne", "THIS"), " *"), "BSD-2-Clause": laid_out("BSD-2-Clause", 100, ("1. Re", "2. Re", "THIS"), " *"), None: CODE,
+    }
+    want = [*files, *whole]
+    docs = spark.createDataFrame(list(enumerate([*files.values(), *(f"{CODE}\n\n{t}" for t in whole.values())])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i]["license"] for i in range(len(want))] == want
+    assert all(got[i]["score"] > 0.95 and got[i]["n_matches"] < 4 for i, n in enumerate(want) if n)
+
+
+def test_runs_equal_brute_force():
+    """The best run of lines has the score of the best one among all runs of lines."""
+    r, names = random.Random(5), [("a", "x y z x y w"), ("b", "p q r s t u v p q"), ("c", "x y p q")]
+    m, reached = licenses.Matcher(names, 0.8), 0
+    for _ in range(400):
+        lines = [[r.choice([b"x", b"y", b"z", b"w", b"p", b"q", b"r"]) for _ in range(r.randrange(4))] for _ in range(7)]
+        lines[r.randrange(6) : 7] = [w.split() for w in r.choice([b"x y z|x y w", b"p q r|s t u v|p q", b"x y|p q", b"k"]).split(b"|")]
+        best = 0.0
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines)):
+                got = licenses.bigrams([w for x in lines[i : j + 1] for w in x])
+                best = max([best, *(licenses.dice(got, licenses.bigrams(licenses.normalised(t.encode()))) for _, t in names if got)])
+        single = max([0.0, *(h[1] for x in lines if (h := m.best(x)))])
+        found = max([0.0, *(x[1] for x in m.runs(lines))])
+        # A run that only adds empty lines to one line is that line.
+        assert max(found, single) == (max(best, single) if max(best, single) >= 0.8 else 0.0)
+        reached += found >= 0.8
+    assert reached > 100
