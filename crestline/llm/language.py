@@ -6,10 +6,15 @@ a language; a phrase costs the bits of a pointer into that sample, and the
 language with the fewest normalised phrases (bits per letter) wins. Phrases end
 at word ends, so that the parse of a word is a pure function of the word: a
 worker parses each distinct word once and adds up counts for whole texts.
+
+Every labelled language is learned from a sample of the same bounds. Languages
+whose automata do not fit into a worker together are parsed against in groups,
+one pass over the texts per group; the two lowest costs of each group are merged.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -20,12 +25,12 @@ from pyspark.sql import functions as F
 
 from crestline.llm.base import map_texts, text_slices
 
-# Labelled sample: texts per language, characters per text and languages; the rest of the labelled rows is not learned from.
+# Labelled sample: texts per language, characters per text and per language; the rest of the labelled rows is not learned from.
 SAMPLE_TEXTS = 24
 SAMPLE_CHARS = 2_500
-MAX_LANGUAGES = 64
-# Characters of all samples together, so that the automata fit into a worker.
-TOTAL_CHARS = 240_000
+LANGUAGE_CHARS = 60_000
+# Characters of the samples of a group, so that its automata fit into a worker.
+GROUP_CHARS = 240_000
 CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,10 +100,7 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, texts: int = SAMP
         rows.select(F.col(doc_id).alias("_d"), F.col(lang).alias("_l"), F.length(text).alias("_n"))
         .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= texts)
     )
-    # The most frequent languages, should there be more than the automata may cover.
-    top = rows.groupBy(F.col(lang).alias("_l")).count().orderBy(F.desc("count"), "_l").limit(MAX_LANGUAGES).select("_l").collect()
-    kept = [r["_l"] for r in top]
-    chosen = [(r["_l"], r["_d"]) for r in ids.where(F.col("_l").isin(kept)).select("_l", "_d").collect()] if kept else []
+    chosen = [(r["_l"], r["_d"]) for r in ids.select("_l", "_d").collect()]
     if not chosen:
         return []
     picked = rows.where(F.col(doc_id).isin([d for _, d in chosen])).select(F.col(doc_id).alias("d"), F.col(lang).alias("l"), F.substring(text, 1, chars).alias("t"))
@@ -106,13 +108,25 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, texts: int = SAMP
     return sorted({(r["l"], r["t"]) for r in picked.collect() if (r["l"], r["d"]) in wanted})
 
 
-def learn(labelled: list[tuple[str, str]], total: int = TOTAL_CHARS) -> dict[str, str]:
-    """Training text per language, equally long at most for all of them."""
+def learn(labelled: list[tuple[str, str]], chars: int = LANGUAGE_CHARS) -> dict[str, str]:
+    """Training text per language, of the same length at most for all of them."""
     by: dict[str, list[str]] = {}
     for lang, text in labelled:
         by.setdefault(lang, []).extend(words_of(text))
-    share = total // max(1, len(by))
-    return {lang: "".join(w)[:share] for lang, w in sorted(by.items()) if w}
+    return {lang: "".join(w)[:chars] for lang, w in sorted(by.items()) if w}
+
+
+def grouped(texts: dict[str, str], chars: int = GROUP_CHARS) -> list[dict[str, str]]:
+    """Languages in groups of at most ``chars`` characters, one language at least."""
+    out: list[dict[str, str]] = []
+    size = 0
+    for lang, t in sorted(texts.items()):
+        if not out or size + len(t) > chars:
+            out.append({})
+            size = 0
+        out[-1][lang] = t
+        size += len(t)
+    return out
 
 
 class Parser:
@@ -126,13 +140,13 @@ class Parser:
         self.rows: list[list[int]] = []
         self.table = np.zeros((0, len(self.langs)), np.int64)
 
-    def score(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, score) of whole texts."""
+    def top(self, texts: list[str]) -> list[list[tuple[float, str]]]:
+        """(bits, language) of the best and second-best language of whole texts; none of a text without a letter."""
         split = [_WORD.findall(t.lower()) for t in texts]
         flat = [w for words in split for w in words]
         out = []
         if not flat or not self.langs:
-            return [("und", 0.0)] * len(texts)
+            return [[]] * len(texts)
         if len(self.slot) > CACHE_WORDS:
             self.slot.clear()
             self.rows.clear()
@@ -148,14 +162,16 @@ class Parser:
         ends = np.cumsum([0, *map(len, split)])
         for a, b in zip(ends, ends[1:]):
             if a == b:
-                out.append(("und", 0.0))
+                out.append([])
                 continue
             cost = (total[b] - total[a]) * self.bits
-            order = np.argsort(cost, kind="stable")
-            best, second = cost[order[0]], cost[order[1]] if len(order) > 1 else np.inf
-            out.append((self.langs[order[0]], 1.0 if np.isinf(second) else float(1 - best / second)))
+            out.append([(float(cost[k]), self.langs[k]) for k in np.argsort(cost, kind="stable")[:2]])
         return out
 
+    def score(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, score) of whole texts."""
+        return [(t[0][1], 1 - t[0][0] / t[1][0] if len(t) > 1 else 1.0) if t else ("und", 0.0) for t in self.top(texts)]
+
 
 # A worker that runs several tasks keeps its automata and the parses of words it has seen.
 _PARSERS: dict[tuple, Parser] = {}
@@ -169,7 +185,7 @@ def _parser(texts: dict[str, str]) -> Parser:
     return _PARSERS[name]
 
 
-def identify(docs: DataFrame, texts: dict[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, texts: dict[str, str], doc_id: str = "doc_id", text: str = "text", group_chars: int = GROUP_CHARS) -> DataFrame:
     """(doc_id, lang_pred, score) of every row from its whole text alone.
 
     ``score`` is 1 - bits of the best / bits of the second best language, 1 if
@@ -177,6 +193,10 @@ def identify(docs: DataFrame, texts: dict[str, str], doc_id: str = "doc_id", tex
     is null or has no letter, and every text if nothing was learned, is ``und``
     with score 0. Repeated rows and null ids are kept; other columns are ignored.
     """
+    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    groups = grouped(texts, group_chars)
+    if len(groups) > 1:
+        return _merged(cols, groups)
     shared = docs.sparkSession.sparkContext.broadcast(texts)
 
     def fn(batch):
@@ -187,10 +207,37 @@ def identify(docs: DataFrame, texts: dict[str, str], doc_id: str = "doc_id", tex
                 [batch.column(0).slice(a, e - a), pa.array([x for x, _ in found]), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"]
             )
 
-    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return map_texts(cols, fn, "doc_id long, lang_pred string, score double")
 
 
+def _merged(cols: DataFrame, groups: list[dict[str, str]]) -> DataFrame:
+    """One pass per group; costs meet by id and digest of the text, of which they are a pure function, and equal rows are counted."""
+    kind = pa.list_(pa.struct([("bits", pa.float64()), ("lang", pa.string())]))
+
+    def one(number: int, texts: dict[str, str]) -> DataFrame:
+        shared = cols.sparkSession.sparkContext.broadcast(texts)
+
+        def fn(batch):
+            parser = _parser(shared.value)
+            for a, e, raw in text_slices(batch):
+                top = [[{"bits": b, "lang": x} for b, x in t] for t in parser.top([t.decode("utf-8", "replace") for t in raw])]
+                digest = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), digest, pa.array(top, kind)], ["doc_id", "digest", "top"])
+
+        return map_texts(cols, fn, "doc_id long, digest binary, top array<struct<bits:double,lang:string>>").withColumn("first", F.lit(int(number == 0)))
+
+    passes = [one(k, g) for k, g in enumerate(groups)]
+    rows = passes[0]
+    for p in passes[1:]:
+        rows = rows.unionByName(p)
+    # Sorted by bits, then name; a group gives two costs at most, and repeated rows the same ones.
+    merged = rows.groupBy("doc_id", "digest").agg(F.array_sort(F.flatten(F.collect_set("top"))).alias("top"), F.sum("first").cast("int").alias("n"))
+    best, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
+    score = F.when(best.isNull(), 0.0).when(second.isNull(), 1.0).otherwise(1 - best["bits"] / second["bits"])
+    each = merged.select("doc_id", F.coalesce(best["lang"], F.lit("und")).alias("lang_pred"), score.alias("score"), F.explode(F.sequence(F.lit(1), "n")).alias("_"))
+    return each.drop("_")
+
+
 def identify_from_labels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learns from rows whose id's crc32 is not 2 modulo 4."""
     fold = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -5,7 +5,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
-from crestline.llm import licenses, secrets
+from crestline.llm import language, licenses, secrets
 
 
 def test_rare_secrets(spark):
@@ -77,3 +77,21 @@ def test_runs_equal_brute_force():
         assert max(found, single) == (max(best, single) if max(best, single) >= 0.8 else 0.0)
         reached += found >= 0.8
     assert reached > 100
+
+
+def test_more_languages_than_one_group(spark):
+    """Every labelled language is predicted, and groups of automata give the rows of a single one."""
+    r, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    known = {f"l{k:02d}": ["".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(30)] for k in range(70)}
+    rows = [(70 * n + k, " ".join(r.choices(words, k=20)), name) for n in range(8) for k, (name, words) in enumerate(known.items())]
+    rows += [(None, rows[0][1], "l00"), (None, rows[0][1], "l00"), (10_000, None, "l01"), (10_001, "12 3", "l02"), rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify_from_labels(docs).where("lang_pred <> 'und'").join(docs.dropDuplicates(["doc_id"]), "doc_id").collect()
+    assert {x["lang"] for x in got} == set(known) and all(x["lang_pred"] == x["lang"] for x in got)
+    texts = language.learn([(x, t) for _, t, x in rows[:140]])
+    assert len(language.grouped(texts, 1_000)) > 10
+
+    def found(**options):
+        return sorted(map(tuple, language.identify(docs, texts, **options).collect()), key=repr)
+
+    assert found(group_chars=1_000) == found() and len(found()) == len(rows)
