@@ -27,8 +27,7 @@ MAX_FINDINGS = 20_000
 LEAST_FINDINGS = 50
 # Hash ranges that findings are counted by to find the smallest hashes of a kind.
 HASH_BINS = 4_096
-# Documents that words are counted in, dictionary words and letter pairs: bounds of the sample.
-MAX_DOCS = 40_000
+# Dictionary words and letter pairs.
 MAX_WORDS = 400
 MAX_PAIRS = 300
 TREES, DEPTH = 15, 5
@@ -94,12 +93,6 @@ def is_candidate(c: Column) -> Column:
     return c["value"].rlike("[0-9]")
 
 
-def sampled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """At most about MAX_DOCS texts, chosen by the hash of their id."""
-    every = max(1, math.ceil(docs.count() / MAX_DOCS))
-    return docs.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0).select(F.col(text).cast("string").alias("text"))
-
-
 def vocabulary(texts: DataFrame) -> tuple[list[str], list[str]]:
     """(frequent words of four letters or more, frequent letter pairs) of ordinary text."""
     word = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\w])([a-z]{4,12})(?![\w])"), F.lit(1))).alias("w")).groupBy("w").count()
@@ -219,6 +212,6 @@ def scan(docs: DataFrame, forest: list, dictionary: list[str], pairs: list[str],
 
 def scan_with_weak_labels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Label the findings of all ``docs``, train on a bounded sample of each kind, then scan all of them."""
-    dictionary, pairs = vocabulary(sampled(docs, doc_id, text))
+    dictionary, pairs = vocabulary(docs.select(F.col(f"`{text}`").cast("string").alias("text")))
     forest = train(materialize(weak_findings(docs, doc_id, text), "findings"), dictionary, pairs)
     return scan(docs, forest, dictionary, pairs, doc_id, text)

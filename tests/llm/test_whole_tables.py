@@ -95,3 +95,14 @@ def test_more_languages_than_one_group(spark):
         return sorted(map(tuple, language.identify(docs, texts, **options).collect()), key=repr)
 
     assert found(group_chars=1_000) == found() and len(found()) == len(rows)
+
+
+def test_vocabulary_of_all_documents(spark, monkeypatch):
+    """A frequent word is counted in whatever documents it stands."""
+    # Ids that a sample of every second document leaves out.
+    missed = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    docs = spark.range(45_000).select(F.col("id").alias("doc_id")).withColumn("text", F.when(missed, "quokka").otherwise("zebra"))
+    seen = []
+    monkeypatch.setattr(secrets, "scan", lambda docs, forest, dictionary, pairs, *rest: seen.append(dictionary))
+    secrets.scan_with_weak_labels(docs)
+    assert sorted(seen[0]) == ["quokka", "zebra"]
