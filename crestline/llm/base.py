@@ -13,6 +13,33 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 # A frame is broadcast only after counting at most this many rows of a few fixed-width columns.
 BROADCAST_ROWS = 1 << 20
+# An Arrow batch holds about this many bytes, unless the session sets its own bound.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY, _UNBOUNDED = "spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)
+
+# What a worker keeps from task to task, of one operator at a time.
+_KEPT: dict[tuple, object] = {}
+
+
+def release(operator: str = "") -> None:
+    """Drop what the worker keeps for other operators than ``operator``."""
+    for name in [k for k in _KEPT if k[0] != operator]:
+        del _KEPT[name]
+
+
+def kept(operator: str, key, make: Callable[[], object]):
+    """The worker's object ``key`` of ``operator``, made at its first use."""
+    release(operator)
+    if (operator, key) not in _KEPT:
+        _KEPT[operator, key] = make()
+    return _KEPT[operator, key]
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Bound the bytes of the session's Arrow batches: rows are whole texts of any length."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, _UNBOUNDED) == _UNBOUNDED:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list[bytes]]]:
@@ -28,10 +55,12 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
         at = end
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch of ``df``; no shuffle, memory bounded by a batch."""
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema, operator: str = "") -> DataFrame:
+    """Apply ``fn`` to every Arrow batch of ``df``; no shuffle, memory bounded by a batch and what ``operator`` keeps."""
+    bound_batches(df)
 
     def run(batches):
+        release(operator)
         for b in batches:
             if b.num_rows:
                 yield from fn(b)

@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.base import map_texts, text_slices
+from crestline.llm.base import kept, map_texts, text_slices
 
-CACHE_WORDS = 800_000
+# Counts of at most so many words, of at most so many bytes each, stay with a worker.
+CACHE_WORDS = 500_000
+WORD_BYTES = 48
 MARK = "▁"
 
 
@@ -94,14 +96,9 @@ class LongestMatch:
         return total
 
 
-# A worker that runs several tasks keeps its automaton and the counts of words it has seen.
-_MATCHERS: dict[str | None, tuple[LongestMatch, dict[bytes, int]]] = {}
-
-
 def _matcher(vocabulary: str | None) -> tuple[LongestMatch, dict[bytes, int]]:
-    if vocabulary not in _MATCHERS:
-        _MATCHERS[vocabulary] = LongestMatch(load_vocabulary(vocabulary)), {}
-    return _MATCHERS[vocabulary]
+    """The worker's automaton and the counts of words it has seen, kept from task to task."""
+    return kept("wordpiece", vocabulary, lambda: (LongestMatch(load_vocabulary(vocabulary)), {}))
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,9 +117,13 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "
                 words = t.split()
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
-                for w in set(words) - cache.keys():
+                fresh = set(words).difference(cache)
+                for w in fresh:
                     cache[w] = match.count(w.decode("utf-8", "replace"))
                 each = list(map(cache.__getitem__, words))
+                for w in fresh:
+                    if len(w) > WORD_BYTES:
+                        del cache[w]
                 bad = each.count(0)
                 n_words.append(len(words))
                 n_tokens.append(sum(each) + bad)
@@ -132,4 +133,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "
             )
 
     cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_texts(cols, fn, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return map_texts(cols, fn, "doc_id long, n_words long, n_tokens long, n_unknown long", "wordpiece")
