@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.base import map_texts, text_slices
+from crestline.llm.base import kept, map_texts, text_slices
 
 # Labelled sample: texts per language, characters per text and per language; the rest of the labelled rows is not learned from.
 SAMPLE_TEXTS = 24
@@ -151,7 +151,7 @@ class Parser:
             self.slot.clear()
             self.rows.clear()
             self.table = self.table[:0]
-        for w in set(flat) - self.slot.keys():
+        for w in set(flat).difference(self.slot):
             self.slot[w] = len(self.rows)
             marked = f" {w} "
             self.rows.append([a.phrases(marked) for a in self.automata])
@@ -173,16 +173,9 @@ class Parser:
         return [(t[0][1], 1 - t[0][0] / t[1][0] if len(t) > 1 else 1.0) if t else ("und", 0.0) for t in self.top(texts)]
 
 
-# A worker that runs several tasks keeps its automata and the parses of words it has seen.
-_PARSERS: dict[tuple, Parser] = {}
-
-
 def _parser(texts: dict[str, str]) -> Parser:
-    name = tuple(texts.items())
-    if name not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[name] = Parser(texts)
-    return _PARSERS[name]
+    """The worker's automata and the parses of words it has seen, kept from task to task."""
+    return kept("language", tuple(texts.items()), lambda: Parser(texts))
 
 
 def identify(docs: DataFrame, texts: dict[str, str], doc_id: str = "doc_id", text: str = "text", group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -207,7 +200,7 @@ def identify(docs: DataFrame, texts: dict[str, str], doc_id: str = "doc_id", tex
                 [batch.column(0).slice(a, e - a), pa.array([x for x, _ in found]), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"]
             )
 
-    return map_texts(cols, fn, "doc_id long, lang_pred string, score double")
+    return map_texts(cols, fn, "doc_id long, lang_pred string, score double", "language")
 
 
 def _merged(cols: DataFrame, groups: list[dict[str, str]]) -> DataFrame:
@@ -224,7 +217,7 @@ def _merged(cols: DataFrame, groups: list[dict[str, str]]) -> DataFrame:
                 digest = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), digest, pa.array(top, kind)], ["doc_id", "digest", "top"])
 
-        return map_texts(cols, fn, "doc_id long, digest binary, top array<struct<bits:double,lang:string>>").withColumn("first", F.lit(int(number == 0)))
+        return map_texts(cols, fn, "doc_id long, digest binary, top array<struct<bits:double,lang:string>>", "language").withColumn("first", F.lit(int(number == 0)))
 
     passes = [one(k, g) for k, g in enumerate(groups)]
     rows = passes[0]

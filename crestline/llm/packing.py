@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.base import text_slices
+from crestline.llm.base import bound_batches, text_slices
 from crestline.llm.tokens import default_path, encoder
 from crestline.session import materialize
 
@@ -133,6 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, doc_i
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PIECE)], schema=_PIECE)
 
+    bound_batches(docs)
     cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return cols.mapInArrow(fn, "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, nth long")
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.base import small, text_slices
+from crestline.llm.base import bound_batches, small, text_slices
 from crestline.llm.tokens import default_path, encoder
 from crestline.session import shared_dir
 
@@ -59,6 +59,7 @@ def write_planes(
     repeated ones too; other columns are ignored. One shard is one sorted range
     of documents, written by one task that holds one block at a time.
     """
+    bound_batches(docs)
     tokenizer = tokenizer or default_path()
     cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tie = F.xxhash64("text")

@@ -2,7 +2,8 @@
 
 The tokenizers used here never join characters across white space, so a text's
 ids are those of its chunks. Distinct chunks are few next to their occurrences;
-a worker encodes each once with the library and keeps at most CACHE_CHUNKS.
+a worker encodes each once with the library and keeps at most CACHE_CHUNKS of
+at most CHUNK_BYTES; longer ones (paragraphs without spaces) are encoded anew.
 """
 
 from __future__ import annotations
@@ -11,7 +12,12 @@ import os
 
 import numpy as np
 
+from crestline.llm.base import kept
+
 CACHE_CHUNKS = 1_200_000
+CHUNK_BYTES = 48
+# New chunks are handed to the library in lots of so many, and of so many bytes.
+LOT, LOT_BYTES = 20_000, 1 << 20
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,14 +31,9 @@ def _plain(text: bytes) -> bool:
     return b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder; a worker that runs several tasks keeps its cache."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return kept("tokens", path, lambda: ChunkEncoder(path))
 
 
 class ChunkEncoder:
@@ -59,11 +60,21 @@ class ChunkEncoder:
         if len(cache) + len(fresh) > CACHE_CHUNKS:
             cache.clear()
             fresh = set().union(*split)
-        todo = list(fresh)
-        for at in range(0, len(todo), 20_000):
-            self._learn(todo[at : at + 20_000])
+        lot, size = [], 0
+        for w in fresh:
+            lot.append(w)
+            size += len(w)
+            if len(lot) >= LOT or size >= LOT_BYTES:
+                self._learn(lot)
+                lot, size = [], 0
+        if lot:
+            self._learn(lot)
         get = cache.__getitem__
-        return [b"".join(map(get, words)) + tail for words in split]
+        out = [b"".join(map(get, words)) + tail for words in split]
+        for w in fresh:
+            if len(w) > CHUNK_BYTES:
+                del cache[w]
+        return out
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode new chunks, all in one text with a special token between them where the tokenizer has one."""

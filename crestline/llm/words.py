@@ -8,6 +8,7 @@ from crestline.llm.base import mix, seeds
 
 _BYTE = seeds(256, 0x5851F42D4C957F2D)
 _PLACE = seeds(4096, 0x14057B7EF767814F)
+_FAR = seeds(1, 0x369DEA0F31A53F85)[0]
 _LENGTH = seeds(1, 0x2545F4914F6CDD1D)[0]
 _STEP = seeds(64, 0x27BB2EE687B0B0FD)
 
@@ -24,7 +25,6 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], separator: np.ndarray = SPACES):
-        global _PLACE
         self.n_texts = len(texts)
         self.bytes = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -41,13 +41,13 @@ class Words:
         self.count = self.last - self.first
         self.doc = np.repeat(np.arange(self.n_texts), self.count)
         if len(size):
-            longest = int(size.max())
-            if longest > len(_PLACE):
-                _PLACE = seeds(longest, 0x14057B7EF767814F)
             body = self.bytes[inside]
             offset = np.cumsum(size) - size
             place = np.arange(len(body)) - np.repeat(offset, size)
-            total = np.add.reduceat(_BYTE[body] * _PLACE[place], offset)
+            factor = _PLACE[place & 4095]
+            if int(size.max()) > len(_PLACE):  # each further stretch of 4096 bytes shifts the factors
+                factor += (place >> 12).astype(np.uint64) * _FAR
+            total = np.add.reduceat(_BYTE[body] * factor, offset)
             self.hash = mix(total + size.astype(np.uint64) * _LENGTH)
         else:
             self.hash = np.zeros(0, np.uint64)
