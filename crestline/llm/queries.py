@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import decontaminate, html, jaccard, language, licenses, packing, planes, rules, secrets, wordpiece
+from crestline.llm import audit, centroids, decontaminate, html, jaccard, language, licenses, packing, planes, rules, secrets, simhash, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,3 +179,87 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(se
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS low FROM t),
+f AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(low < doc_id, false) AS e
+  FROM w
+), l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY 1),
+m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+    count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2
+), x(k) AS (VALUES (0), (1), (2), (3), (4)),
+p AS (
+  SELECT [p.k, q.k, r.k, s.k, u.k] AS o FROM x p JOIN x q ON q.k <> p.k JOIN x r ON r.k NOT IN (p.k, q.k)
+    JOIN x s ON s.k NOT IN (p.k, q.k, r.k) JOIN x u ON u.k NOT IN (p.k, q.k, r.k, s.k)
+), s AS (
+  SELECT array_to_string(list_transform(o, lambda k: 'ABCDE'[k + 1]), '') AS filter_order, step, o[step] AS k,
+    CAST(coalesce(list_sum(list_transform(o[1:step - 1], lambda k: 1 << k)), 0) AS INT) AS earlier, 1 << o[step] AS bit
+  FROM p, (SELECT unnest(range(1, 6)) AS step)
+), g AS (
+  SELECT m.part, s.filter_order, CAST(s.step AS INT) AS step, s.k,
+    coalesce(sum(n) FILTER (WHERE mask & (earlier | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & earlier <> 0 AND mask & bit <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0), 0) AS good_lost,
+    coalesce(sum(bad) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM m, s GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+FROM g
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_orders(audit.document_masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def _op12_sql(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    best = """SELECT rid, min_by(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT v.rid, c.k, sum((v.q - c.q) * (v.q - c.q)) AS d FROM v JOIN c{0} c ON c.i = v.i GROUP BY 1, 2) GROUP BY 1"""
+    steps = ""
+    for n in range(rounds):
+        steps += f"""a{n} AS MATERIALIZED ({best.format(n)}),
+c{n + 1} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce(m.q, c.q) AS q FROM c{n} c LEFT JOIN (
+    SELECT a.k, v.i, CAST((sum(v.q) - ((sum(v.q) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q FROM v JOIN a{n} a ON a.rid = v.rid GROUP BY 1, 2
+  ) m ON m.k = c.k AND m.i = c.i
+),
+"""
+    return f"""
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (SELECT rid, i, CAST(floor(256 * e[i]) AS BIGINT) AS q FROM (SELECT rid, e, unnest(range(1, {size + 1})) AS i FROM r)),
+c0 AS MATERIALIZED (
+  SELECT s.k, v.i, v.q FROM v JOIN (
+    SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM r QUALIFY k < {k}
+  ) s ON s.rid = v.rid
+),
+{steps}f AS MATERIALIZED ({best.format(rounds)}),
+g AS (SELECT k, CAST(sum(d) AS BIGINT) AS s FROM f GROUP BY 1),
+h AS (SELECT k, sha256(string_agg(CAST(q AS VARCHAR), ',' ORDER BY i)) AS hex FROM c{rounds} GROUP BY 1)
+SELECT r.vec_id, CAST(f.k AS INT) AS cluster, CAST(f.d AS BIGINT) AS distance, g.s AS cluster_inertia,
+  (SELECT CAST(sum(s) AS BIGINT) FROM g) AS inertia, h.hex AS centroid_sha256
+FROM f JOIN r ON r.rid = f.rid JOIN g ON g.k = f.k JOIN h ON h.k = f.k
+"""
+
+
+@query("op12_centroid_clusters", _op12_sql())
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+@query("op13_simhash_dedup")
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
