@@ -23,6 +23,7 @@ their pivot are not listed: a group of k near copies gives about k links.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.base import map_texts, small, text_slices
+from crestline.llm.base import bound_batches, map_texts, small, text_slices
+from crestline.llm.components import components
 from crestline.llm.words import shingle_sets
-from crestline.operators.cooccurrence import components
 from crestline.session import materialize
 
-# Shingles per counting group (rows of one task's group), and per flushed block of a worker.
-GROUP_ROWS = 2_000_000
-FLUSH_ROWS = 1 << 21
+# Shingles per counting group, per flushed block of a worker, and per batch of its output.
+GROUP_ROWS = 1_000_000
+FLUSH_ROWS = 1 << 19
+OUT_ROWS = 1 << 17
 # Documents read for hints about frequent shingles, and how many hints are broadcast. They
 # only spare shuffles: a missing hint costs time, a wrong one a weaker filter, never a link.
 HINT_DOCS = 8_192
@@ -59,6 +61,18 @@ def _longs(a) -> pa.Array:
     return pa.array(np.asarray(a).astype(np.uint64).view(np.int64))
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the values of a binary column begin, and the last one ends, in its data."""
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+
+
+def _packed(column: pa.Array, kind) -> np.ndarray:
+    """All values of a binary column end to end, as numbers of ``kind``; no copy."""
+    at = _offsets(column)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if data is not None and at[-1] > at[0] else np.zeros(0, kind)
+
+
 def shingle_members(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, fp) of every row; ``fp`` names its shingle set, null for an empty one."""
 
@@ -157,16 +171,22 @@ def _shared(blocks: DataFrame, parts: int) -> DataFrame:
     in groups of their own and pass through.
     """
 
-    def fn(t: pa.Table) -> pa.Table:
-        part = t.column("part")[0].as_py()
-        kind = np.uint64 if part < 0 else np.uint32
-        cols = {k: [x.as_py() for x in t.column(k)] for k in ("low", "slot", "fp", "n")}
-        fp = np.concatenate([np.frombuffer(x, np.uint64) for x in cols["fp"]])
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in cols["n"]])
-        base = np.cumsum([0, *(len(x) // 8 for x in cols["fp"])])
-        slot = np.concatenate([np.frombuffer(x, np.uint32) + np.uint32(b) for x, b in zip(cols["slot"], base)])
-        low = np.concatenate([np.frombuffer(x, kind) for x in cols["low"]])
-        del cols
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = 0, 0
+        got: dict[str, list[np.ndarray]] = {"low": [], "slot": [], "fp": [], "n": []}
+        for t in batches:
+            at = t.schema.get_field_index
+            part = t.column(at("part"))[0].as_py()
+            docs = _packed(t.column(at("fp")), np.uint64)
+            each = np.diff(_offsets(t.column(at("fp")))) // 8
+            words = np.diff(_offsets(t.column(at("slot")))) // 4
+            shift = (before + np.cumsum(each) - each).astype(np.uint32)
+            got["slot"].append(_packed(t.column(at("slot")), np.uint32) + np.repeat(shift, words))
+            got["low"].append(_packed(t.column(at("low")), np.uint64 if part < 0 else np.uint32).copy())
+            got["fp"].append(docs.copy())
+            got["n"].append(_packed(t.column(at("n")), np.int32).copy())
+            before += len(docs)
+        low, slot, fp, n = (np.concatenate(got.pop(k)) for k in ("low", "slot", "fp", "n"))
         if part < 0:
             key = ((((low >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)) << np.uint64(32)) | (low & np.uint64(0xFFFFFFFF))
             df = np.full(len(low), RARE, np.int32)
@@ -183,8 +203,13 @@ def _shared(blocks: DataFrame, parts: int) -> DataFrame:
             low, slot = low[many], slot[many]
             key = (np.uint64(part) << np.uint64(32)) | low.astype(np.uint64)
             df = np.minimum(runs[many], RARE).astype(np.int32)
-        return pa.table({"fp": _longs(fp[slot]), "n": pa.array(n[slot]), "key": _longs(key), "df": pa.array(df)})
+        for a in range(0, len(slot), OUT_ROWS):
+            cut = slice(a, a + OUT_ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [_longs(fp[slot[cut]]), pa.array(n[slot[cut]]), _longs(key[cut]), pa.array(df[cut])], ["fp", "n", "key", "df"]
+            )
 
+    bound_batches(blocks)
     return blocks.groupBy("part").applyInArrow(fn, "fp long, n int, key long, df int")
 
 
