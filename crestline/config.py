@@ -185,6 +185,7 @@ class Config:
     refresh_min_views: int = 5_000
     refresh_max_count: int = 3
     refresh_step_hours: float = 6.0
+    failed_scan_hours: float = 6.0
     job_max_minutes: dict = field(default_factory=lambda: {"apify": 90, "brightdata": 120})
     max_attempts: int = 2
     usd_per_1k: dict = field(default_factory=lambda: {"apify": "2.3", "brightdata": "1.5"})

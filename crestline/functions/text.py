@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 MAX_TAG = 100
 # Accepted shapes of tags, handles, ids and permalinks.
@@ -70,19 +66,20 @@ def time_from_text(c: Column) -> Column:
 
 # --- tags --------------------------------------------------------------------------
 
-@F.pandas_udf(ArrayType(StringType()))
-def _nfkc_lists(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
+_JOINT = "\u0001"
 
 
 def nfkc(tokens: Column) -> Column:
-    """Compatibility-normalise an array; pure ASCII rows skip the work.
+    """Compatibility-normalise an array of tokens on the JVM; pure ASCII rows skip the work.
 
-    Spark has no built-in for this. ASCII rows are passed as null, so only the
-    other rows carry data to Python and back (Arrow batches).
+    The Unicode library that Spark ships (for its collations) has a static
+    method for it. Tokens are joined by a control character, which normalises
+    to itself and never combines; null tokens, and tokens that hold that
+    character, become empty.
     """
-    plain = F.forall(tokens, lambda t: F.coalesce(t.rlike(r"\A\p{ASCII}*\z"), F.lit(True)))
-    return F.coalesce(_nfkc_lists(F.when(~plain, tokens)), tokens)
+    joined = F.coalesce(F.array_join(F.transform(tokens, lambda t: F.when(t.contains(_JOINT), "").otherwise(F.coalesce(t, F.lit("")))), _JOINT), F.lit(""))
+    done = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), joined, F.lit(True))
+    return F.when(joined.rlike(r"\A\p{ASCII}*\z"), tokens).otherwise(F.split(done, _JOINT))
 
 
 def clean_tags(raw: Column) -> Column:

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from crestline.config import BASELINE_METRICS, DEFAULT, PLATFORMS, Config
 from crestline.functions import scalars as S
-from crestline.operators.quantiles import grouped_median
-from crestline.operators.skew import heavy_keys
-from crestline.session import materialize
+from crestline.operators.quantiles import median_and_deviation
 
 KEY = ["platform", "market", "metric"]
 
@@ -34,20 +32,9 @@ def metric_samples(posts: DataFrame, now, cfg: Config = DEFAULT) -> DataFrame:
     return long.where("raw is not null").select(*KEY, S.log1p_floor(F.col("raw")).alias("x"))
 
 
-def median_and_mad(samples: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame:
+def median_and_mad(samples: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, median, mad) over ``x``; exact for groups of any size."""
-    if heavy_keys(samples, keys, cfg.max_group_rows) is None:
-        mid = samples.groupBy(*keys).agg(F.count("x").alias("n"), F.median("x").alias("median"))
-        dev = samples.join(mid, keys).withColumn("d", F.abs(F.col("x") - F.col("median")))
-        return dev.groupBy(*keys).agg(
-            F.first("n").alias("n"), F.first("median").alias("median"), F.median("d").alias("mad")
-        )
-    samples = materialize(samples, "samples")
-    n = samples.groupBy(*keys).agg(F.count("x").alias("n"))
-    mid = materialize(grouped_median(samples, keys, "x", "median", cfg.max_group_rows), "medians")
-    dev = samples.join(mid, keys).withColumn("d", F.abs(F.col("x") - F.col("median")))
-    mad = grouped_median(dev, keys, "d", "mad", cfg.max_group_rows)
-    return n.join(mid, keys).join(mad, keys)
+    return median_and_deviation(samples, keys)
 
 
 def scoring_baselines(
@@ -69,7 +56,7 @@ def scoring_baselines(
         named = posts.select("market").distinct()
     else:
         named = spark.createDataFrame([(m,) for m in markets], "market string")
-    got = median_and_mad(metric_samples(posts, now, cfg), KEY, cfg)
+    got = median_and_mad(metric_samples(posts, now, cfg), KEY)
     # The grid is platforms x metrics x markets: tens of rows.
     out = named.join(F.broadcast(grid)).join(got, KEY, "left")
     if previous is not None:

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.config import DEFAULT, Config
-from crestline.sources.taxonomy import KEYWORD_RULES, seed_tags
+from crestline.operators.skew import salted_join
+from crestline.sources.taxonomy import KEYWORDS, seed_tags
 
 
 def keyword_categories(text: Column) -> Column:
-    """Array of the categories whose keyword pattern occurs in the text."""
-    return F.array_compact(
-        F.array(*[F.when(text.rlike(f"(?i)({pat})"), F.lit(cat)) for cat, pat in KEYWORD_RULES.items()])
-    )
+    """Array of the categories with a keyword in the text.
+
+    The text is lower-cased once and searched for plain words, which is byte
+    comparison; a word that holds another one of its category is not looked for.
+    Only A-Z count as letters with case: the Kelvin sign is no k.
+    """
+
+    def found(low: Column) -> Column:
+        hits = []
+        for category, words in KEYWORDS.items():
+            least = [w for w in words if not any(x != w and x in w for x in words)]
+            hits.append(F.when(reduce(or_, [low.contains(w) for w in least]), F.lit(category)))
+        return F.array_compact(F.array(*hits))
+
+    low = F.lower(F.replace(text, F.lit("\u212a"), F.lit(" ")))
+    return F.when(text.isNotNull(), F.transform(F.array(low), found)[0])
 
 
 def _evidence(df: DataFrame, key: list[str], category: Column, confidence: Column, source: str, rank: int) -> DataFrame:
@@ -51,7 +67,7 @@ def cooccurrence_evidence(post_tags: DataFrame, known: DataFrame, cfg: Config =
     """
     bridge = post_tags.select("post_id", "hashtag_id")
     per_post = (
-        bridge.join(known.select("hashtag_id", "category"), "hashtag_id")
+        salted_join(bridge, known.select("hashtag_id", "category"), "hashtag_id", "post_id")
         .groupBy("post_id", "category")
         .agg(F.min("hashtag_id").alias("lo"), F.max("hashtag_id").alias("hi"))
     )
@@ -89,14 +105,10 @@ def post_categories(
 ) -> DataFrame:
     """(post_id, category, confidence, source) from tags, discovery query and caption."""
     key = ["post_id"]
-    tag = (
-        post_tags.select("post_id", "hashtag_id")
-        .join(hashtag_categories.where(F.col("confidence") >= cfg.tag_evidence_min), "hashtag_id")
-        .groupBy("post_id", "category")
-        .agg(F.max("confidence").alias("confidence"))
-    )
+    own = post_tags.select("post_id", "hashtag_id").join(posts.select("post_id"), "post_id", "left_semi")
+    strong = hashtag_categories.where(F.col("confidence") >= cfg.tag_evidence_min).select("hashtag_id", "category", "confidence")
+    tag = salted_join(own, strong, "hashtag_id", "post_id").groupBy("post_id", "category").agg(F.max("confidence").alias("confidence"))
     ev = _evidence(tag, key, F.col("category"), F.col("confidence"), "TAG", 0)
-    ev = ev.join(posts.select("post_id"), "post_id", "left_semi")
     if discoveries is not None:
         w = Window.partitionBy("hashtag_id").orderBy(F.col("confidence").desc(), F.col("category"))
         main = hashtag_categories.withColumn("rn", F.row_number().over(w)).where("rn = 1")

@@ -115,10 +115,12 @@ def _edge_sum(e: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFrame:
     """(node, component): component is the smallest node id reachable.
 
-    Alternating large-star / small-star rounds. Every round is a minimum per
-    node (combined map-side), stored, and a join back on the node. Both sides
-    of that join are read from storage, so that AQE can split a hub's edges
-    over several tasks. Each round's edges are written to the shared folder; the edge set stops changing after O(log n) rounds.
+    Alternating large-star / small-star rounds. A round is a minimum per node
+    (combined map-side), stored, and a join back on the node. The edges of hubs,
+    nodes that own more than a hundredth of all edges and so at most two hundred,
+    take their minimum from a broadcast; only the others are dealt by node. Each
+    round's edges are written to the shared folder; the edge set stops changing
+    after O(log n) rounds.
     """
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
     e = materialize(
@@ -129,7 +131,7 @@ def components(edges: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFram
     )
     last = _edge_sum(e)
     while True:
-        e = materialize(_small_star(_large_star(e)), "star")
+        e = materialize(_small_star(_large_star(e, last[0]), last[0]), "star")
         now = _edge_sum(e)
         if now == last:
             break
@@ -138,17 +140,33 @@ def components(edges: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFram
     return nodes.join(tops, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+HUB_SHARE, HUB_LEAST = 100, 1_000
+
+
+def with_minimum(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (u, v) with the column m of ``low`` (u, m, degree; a stored table), hubs apart from the rest.
+
+    ``edges`` bounds the sum of degrees to twice itself, and so the number of hubs.
+    """
+    hubs = F.broadcast(low.where(F.col("degree") > max(HUB_LEAST, edges // HUB_SHARE)).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(low.select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
+
+def _low(rows: DataFrame) -> DataFrame:
+    return materialize(rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")), "low")
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
-    out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    low = _low(both).withColumn("m", F.least("u", "m"))
+    return with_minimum(both, low, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "low")
-    out = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+    low = _low(down)
+    out = with_minimum(down, low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
         low.select("u", F.col("m").alias("v"))
     )
     return out.where("u <> v").distinct()

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from crestline.config import DEFAULT, QUALIFIED_TIERS, Config
 from crestline.functions import scalars as S
 from crestline.operators.posts import held_state
-from crestline.operators.quantiles import grouped_median
-from crestline.operators.skew import heavy_keys
+from crestline.operators.quantiles import counted, percentiles
 
 TAG_KEY = ["platform", "market", "hashtag_id"]
 DAY_KEY = ["date", *TAG_KEY]
@@ -37,8 +36,8 @@ def tagged_posts(posts: DataFrame, post_tags: DataFrame) -> DataFrame:
 def daily_rollup(posts: DataFrame, post_tags: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Rows per (date, platform, market, tag), date = UTC day the post was last seen.
 
-    Counts and the distinct-creator count combine map-side; the median goes
-    through the guarded path when one tag-day holds too many rows.
+    Counts and the distinct-creator count combine map-side; the median is an
+    order statistic of counted values, so that a hot tag-day fills no task.
     """
     rows = tagged_posts(posts, post_tags).withColumns(
         {
@@ -47,7 +46,6 @@ def daily_rollup(posts: DataFrame, post_tags: DataFrame, cfg: Config = DEFAULT)
             "_cents": (F.col("vph").cast("decimal(14,2)") * 100).cast("bigint"),
         }
     )
-    hot = heavy_keys(rows.where("vph is not null"), DAY_KEY, cfg.max_group_rows)
     q = is_qualified()
     aggs = [
         F.count(F.lit(1)).alias("posts_seen"),
@@ -57,11 +55,8 @@ def daily_rollup(posts: DataFrame, post_tags: DataFrame, cfg: Config = DEFAULT)
         F.count_distinct("creator").alias("distinct_creators"),
         S.null_if_zero(F.sum(F.when(q, F.col("views")))).alias("viral_views_sum"),
     ]
-    if hot is None:
-        out = rows.groupBy(*DAY_KEY).agg(*aggs, F.median("_cents").alias("median_vph"))
-    else:
-        med = grouped_median(rows, DAY_KEY, "_cents", "median_vph", cfg.max_group_rows)
-        out = rows.groupBy(*DAY_KEY).agg(*aggs).join(med, DAY_KEY, "left")
+    med = percentiles(counted(rows, DAY_KEY, "_cents"), DAY_KEY, {"median_vph": 0.5}).drop("n")
+    out = rows.groupBy(*DAY_KEY).agg(*aggs).join(med, DAY_KEY, "left")
     return out.withColumns(
         {"scans": F.col("posts_seen"), "median_vph": (S.round_half_up(F.col("median_vph")) / 100).cast("decimal(14,2)")}
     )

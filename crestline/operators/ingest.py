@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crestline.config import DEFAULT, Config
 from crestline.operators.anchors import fold_anchors, walk_anchors
 from crestline.operators.skew import heavy_keys, running_max, with_previous
+from crestline.operators.velocity import advance_folds
 
 POST_KEY = ["platform", "external_id"]
 METRICS = ["views", "likes", "comments", "shares", "saves"]
@@ -157,12 +158,19 @@ def _walked(inner: DataFrame, stretch: list[str], gap: int, cfg: Config) -> Data
     return walk_anchors(pts, starts, stretch, gap, strict=True).select(*stretch, F.col("t").alias("_t"))
 
 
-def new_snapshots(stored: DataFrame, batch: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Batch snapshots to append, judged against each post's newest stored row."""
-    touched = batch.select("post_id").distinct()
-    row = F.struct("observed_at", *METRICS)
-    newest = stored.join(touched, "post_id", "left_semi").groupBy("post_id").agg(F.max_by(row, "observed_at").alias("n"))
-    old = newest.select("post_id", "n.*").withColumn("_old", F.lit(True))
+def newest_snapshots(snapshots: DataFrame) -> DataFrame:
+    """(post_id, newest): the last snapshot of every post."""
+    return snapshots.groupBy("post_id").agg(F.max_by(F.struct("observed_at", *METRICS), "observed_at").alias("newest"))
+
+
+def new_snapshots(stored: DataFrame, batch: DataFrame, cfg: Config = DEFAULT, newest: DataFrame | None = None) -> DataFrame:
+    """Batch snapshots to append, judged against each post's newest stored row.
+
+    ``newest`` (post_id, newest) spares the search of the stored history.
+    """
+    if newest is None:
+        newest = newest_snapshots(stored.join(batch.select("post_id").distinct(), "post_id", "left_semi"))
+    old = newest.where("newest is not null").select("post_id", "newest.*").withColumn("_old", F.lit(True))
     both = batch.withColumn("_old", F.lit(False)).unionByName(old, allowMissingColumns=True)
     kept = dedup_snapshots(both, cfg).where("not _old").select(*batch.columns)
     # A row stored already (same instant, same metrics) is not appended again.
@@ -212,19 +220,45 @@ def new_discoveries(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def observation_effects(stored: dict[str, DataFrame], observations: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
-    """All table changes of one batch.
+    """All table changes of one batch but the folds: rows to append, and merged rows of ``posts`` and ``hashtags``.
 
-    ``posts`` and ``hashtags`` are full replacements, the others appends.
+    The merged rows are those of all keys that ``stored`` holds and of the
+    batch's; with the touched rows only (``touched``) they are upserts.
     """
     tags = observed_tags(observations)
     snaps = observations.select("post_id", "observed_at", *METRICS, "views_metric", "source", "provider_job_id")
     disc = observations.where("source = 'DISCOVERY'").select(
         "post_id", "provider_job_id", F.col("query_hashtag_id").alias("hashtag_id"), "query_text", "rank_in_results", "observed_at"
     )
+    folds = stored.get("post_folds")
     return {
         "posts": merge_posts(stored["posts"], fold_posts(observations)),
-        "post_snapshots": new_snapshots(stored["post_snapshots"], snaps, cfg),
+        "post_snapshots": new_snapshots(stored["post_snapshots"], snaps, cfg, None if folds is None else folds.select("post_id", "newest")),
         "hashtags": merge_hashtags(stored["hashtags"], tags),
         "post_hashtags": new_post_tags(stored["post_hashtags"], tags),
         "post_discoveries": new_discoveries(stored["post_discoveries"], disc),
     }
+
+
+def touched(read, lookup, observations: DataFrame) -> dict[str, DataFrame]:
+    """What a batch has to know of the stored tables: keyed tables by their touched buckets, the others as scans.
+
+    ``read(name)`` and ``lookup(name, keys)`` are those of a store or a
+    transaction; ``observations`` is a stored table.
+    """
+    ids = observations.select("post_id").distinct()
+    tags = observations.select(F.explode("hashtags").alias("name")).select(F.xxhash64("name").alias("hashtag_id")).distinct()
+    rows = {n: read(n) for n in ("post_snapshots", "post_hashtags", "post_discoveries")}
+    return {**rows, "posts": lookup("posts", ids), "post_folds": lookup("post_folds", ids), "hashtags": lookup("hashtags", tags)}
+
+
+def merge_folds(stored: DataFrame, posts: DataFrame, fresh: DataFrame, snapshots: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Velocity folds and newest snapshots of ``posts`` after the snapshots ``fresh``; ``snapshots`` is the stored history."""
+    metrics = ["post_id", "observed_at", *METRICS]
+    history = snapshots.select(*metrics).unionByName(fresh.select(*metrics))
+    folds = advance_folds(stored, posts, fresh, history, cfg)
+    last = newest_snapshots(fresh).withColumnRenamed("newest", "_new")
+    old = stored.select("post_id", "newest")
+    later = F.col("newest").isNull() | (F.col("_new.observed_at") >= F.col("newest.observed_at"))
+    joined = folds.join(old, "post_id", "left").join(last, "post_id", "left")
+    return joined.select("post_id", "published_at", "fold", F.when(F.col("_new").isNotNull() & later, F.col("_new")).otherwise(F.col("newest")).alias("newest"))

@@ -278,14 +278,18 @@ def back_off_failed(tracked: DataFrame, failed: DataFrame, now, hours: float) ->
 def complete_refreshes(posts: DataFrame, observed: DataFrame, requested: DataFrame, now, cfg: Config = DEFAULT) -> DataFrame:
     """Observed posts that were requested: counter +1 and the next refresh set.
 
-    ``observed``/``requested``: (platform, external_id) rows.
+    ``observed``/``requested``: (platform, external_id) rows. The next refresh
+    counts from ``refreshed_at`` of ``observed`` if it has that column, else
+    from ``now``.
     """
     key = ["platform", "external_id"]
-    hits = observed.select(*key).distinct().join(requested.select(*key).distinct(), key, "left_semi").withColumn("_r", F.lit(True))
+    at = F.max("refreshed_at") if "refreshed_at" in observed.columns else F.lit(None).cast("timestamp")
+    hits = observed.groupBy(*key).agg(at.alias("_at")).join(requested.select(*key).distinct(), key, "left_semi").withColumn("_r", F.lit(True))
     out = posts.join(hits, key, "left")
+    start = F.col("_at") if now is None else F.coalesce("_at", S.as_time(now))
     return out.withColumns(
         {
             "paid_refresh_count": F.col("paid_refresh_count") + F.when(F.col("_r"), 1).otherwise(0),
-            "next_refresh_at": F.when(F.col("_r"), S.plus_hours(S.as_time(now), cfg.refresh_step_hours)).otherwise(F.col("next_refresh_at")),
+            "next_refresh_at": F.when(F.col("_r"), S.plus_hours(start, cfg.refresh_step_hours)).otherwise(F.col("next_refresh_at")),
         }
     ).select(*posts.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crestline.config import COMPONENTS, DEFAULT, SCORING_VERSION, STATE_RANK, Config
 from crestline.functions import scalars as S
 from crestline.operators.baselines import scoring_baselines, wide_baselines
-from crestline.operators.velocity import post_velocity
+from crestline.operators.velocity import post_velocity, velocity_of_folds
 from crestline.session import materialize
 
 
@@ -206,9 +206,9 @@ def refresh_priority(now, cfg: Config = DEFAULT) -> Column:
 
 # --- the whole row --------------------------------------------------------------
 
-def measured_posts(posts: DataFrame, snapshots: DataFrame, now, cfg: Config = DEFAULT) -> DataFrame:
-    """Posts with age, velocity, acceleration and engagement ratios."""
-    vel = post_velocity(posts, snapshots, now, cfg)
+def measured_posts(posts: DataFrame, snapshots: DataFrame | None, now, cfg: Config = DEFAULT, folds: DataFrame | None = None) -> DataFrame:
+    """Posts with age, velocity, acceleration and engagement ratios; the velocity from stored ``folds`` if given, else from ``snapshots``."""
+    vel = post_velocity(posts, snapshots, now, cfg) if folds is None else velocity_of_folds(posts, folds, now, cfg)
     drop = {"vph", "vph_kind", "velocity_confidence"} & set(posts.columns)
     out = posts.drop(*drop).join(vel, "post_id")
     return out.withColumns(

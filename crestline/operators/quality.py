@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from crestline.config import DEFAULT, Config
 from crestline.functions import scalars as S
 from crestline.functions import text as T
-from crestline.operators.quantiles import grouped_percentile
-from crestline.operators.skew import heavy_keys
+from crestline.operators.quantiles import counted, percentiles
 from crestline.session import materialize
 
 PERCENTS = (25, 50, 75, 90)
@@ -29,8 +28,7 @@ def percent(part: Column, whole: Column) -> Column:
 def freshness_profile(records: DataFrame, source: list[str], published: str, now, cfg: Config = DEFAULT) -> DataFrame:
     """Age statistics per source; records dated after ``now`` have no age.
 
-    Percentiles interpolate linearly and stay exact for sources of any size:
-    big ones narrow their ranks instead of holding all ages in one task.
+    Percentiles interpolate linearly and are exact for sources of any size.
     """
     age = S.hours_between(F.col(published), S.as_time(now))
     rows = records.select(*source, F.when(age >= 0, age).alias("age"))
@@ -40,15 +38,8 @@ def freshness_profile(records: DataFrame, source: list[str], published: str, now
         tenth(F.min("age")).alias("min_age_hours"), tenth(F.max("age")).alias("max_age_hours"),
         *[F.when(n > 0, percent(F.count_if(F.col("age") < h), n)).alias(f"pct_lt_{h}h") for h in THRESHOLDS],
     ]
-    if heavy_keys(rows, source, cfg.max_group_rows) is None:
-        quantiles = [F.percentile("age", p / 100).alias(f"p{p}_age_hours") for p in PERCENTS]
-        out = rows.groupBy(*source).agg(*aggs, *quantiles)
-    else:
-        rows = materialize(rows, "ages")
-        out = rows.groupBy(*source).agg(*aggs)
-        for p in PERCENTS:
-            q = grouped_percentile(rows, source, "age", p / 100, f"p{p}_age_hours", cfg.max_group_rows)
-            out = out.join(q, source, "left")
+    q = percentiles(counted(rows, source, "age"), source, {f"p{p}_age_hours": p / 100 for p in PERCENTS}).drop("n")
+    out = rows.groupBy(*source).agg(*aggs).join(q, source, "left")
     out = out.withColumns({f"p{p}_age_hours": tenth(F.col(f"p{p}_age_hours")) for p in PERCENTS})
     return out.withColumn("p90_age_hours", F.when(F.col("with_timestamp") >= 5, F.col("p90_age_hours")))
 

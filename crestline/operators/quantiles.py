@@ -1,106 +1,66 @@
-"""Exact grouped percentiles that survive groups too big for one task."""
+"""Exact grouped percentiles as weighted order statistics.
+
+Values are counted per (group, value), map-side first. A monotone function
+cuts the value range into chunks; running sums over a group's chunks say which
+chunk holds a wanted rank, and only the values of that chunk are put in order.
+So no task gathers or sorts a whole group, and small and large groups take the
+same path.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.operators.skew import heavy_keys
-from crestline.session import materialize
 
-BINS = 1024
+def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _x, _c): how often every non-null value of a group occurs."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    return rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+
 
+def _chunk(x: Column) -> Column:
+    """About 90 chunks a decade on either side of zero; every step is monotone in floating point."""
+    return (F.signum(x) * F.floor(F.log1p(F.abs(x) * 1e6) * 40)).cast("int")
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, out: str, max_group_rows: int) -> DataFrame:
-    return grouped_percentile(df, keys, value, 0.5, out, max_group_rows)
 
+def _running(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("_upto", upto).withColumn("_below", F.col("_upto") - F.col("_c"))
 
-def grouped_percentile(df: DataFrame, keys: list[str], value: str, p: float, out: str, max_group_rows: int) -> DataFrame:
-    """(keys, out): exact, linearly interpolated percentile of the non-null ``value``.
 
-    Groups up to ``max_group_rows`` use the built-in; bigger ones narrow an
-    observed [lo, hi] bracket around the wanted ranks by binned counts (only
-    map-side-combined aggregates move) until few enough rows remain.
+def percentiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """(keys, n, one column per name): linearly interpolated percentiles of ``counts`` (keys, _x, _c).
+
+    ``counts`` holds a value of a group once. Groups without values have no row.
     """
-    vals = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
-    big = heavy_keys(vals, keys, max_group_rows)
-    if big is None:
-        return vals.groupBy(*keys).agg(F.percentile("x", p).alias(out))
-    small = vals.join(big, keys, "left_anti").groupBy(*keys).agg(F.percentile("x", p).alias(out))
-    return small.unionByName(_narrowed(vals.join(big, keys, "left_semi"), keys, p, out, max_group_rows))
-
-
-def _narrowed(vals: DataFrame, keys: list[str], p: float, out: str, limit: int) -> DataFrame:
-    vals = materialize(vals, "median-rows")
-    pos = (F.col("n") - 1) * F.lit(p)
-    state = vals.groupBy(*keys).agg(
-        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
-    ).select(
-        *keys,
-        "lo",
-        "hi",
-        (F.floor(pos) + 1).alias("k1"),
-        (F.ceil(pos) + 1).alias("k2"),
-        (pos - F.floor(pos)).alias("frac"),
-        F.col("n").alias("inside"),
-    )
-    state = materialize(state, "median-state")
-    while True:
-        live = state.where((F.col("hi") > F.col("lo")) & (F.col("inside") > limit))
-        if live.isEmpty():
-            break
-        state = materialize(
-            state.where(~((F.col("hi") > F.col("lo")) & (F.col("inside") > limit))).unionByName(
-                _narrow(vals, live, keys)
-            ),
-            "median-state",
-        )
-    # k1/k2 are now ranks inside the bracket, which holds few rows or one value.
-    flat = state.where("hi = lo").select(*keys, F.col("lo").alias(out))
-    rest = (
-        vals.join(state.where("hi > lo"), keys)
-        .where("x >= lo and x <= hi")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("frac").alias("f"))
-        .select(
-            *keys,
-            (
-                F.element_at("xs", F.col("k1").cast("int")) * (F.lit(1.0) - F.col("f"))
-                + F.element_at("xs", F.col("k2").cast("int")) * F.col("f")
-            ).alias(out),
-        )
+    marked = counts.withColumn("_k", _chunk(F.col("_x")))
+    chunks = _running(marked.groupBy(*keys, "_k").agg(F.sum("_c").alias("_c")), keys, "_k").withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    # Ranks are told by (name, side): the lower and the upper neighbour of the wanted position.
+    ranks = F.array(*[
+        F.struct(F.lit(f"{name}{side}").alias("q"), (f((F.col("_n") - 1) * F.lit(p)) + 1).cast("bigint").alias("rank"))
+        for name, p in wanted.items() for side, f in (("<", F.floor), (">", F.ceil))
+    ])
+    holds = F.filter(ranks, lambda r: (F.col("_below") < r["rank"]) & (r["rank"] <= F.col("_upto")))
+    targets = chunks.select(*keys, "_k", "_n", F.col("_below").alias("_skip"), holds.alias("_ranks")).where(F.size("_ranks") > 0)
+    inside = _running(marked.join(targets, [*keys, "_k"]), [*keys, "_k"], "_x")
+    hit = F.filter("_ranks", lambda r: (F.col("_skip") + F.col("_below") < r["rank"]) & (r["rank"] <= F.col("_skip") + F.col("_upto")))
+    found = inside.select(*keys, "_n", "_x", F.explode(hit).alias("_r")).groupBy(*keys).agg(
+        F.first("_n").alias("n"), *[F.max(F.when(F.col("_r.q") == f"{name}{side}", F.col("_x"))).alias(f"{name}{side}") for name in wanted for side in "<>"]
     )
-    return flat.unionByName(rest)
 
+    def between(name: str, p: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(p)
+        low, high = F.col(f"`{name}<`"), F.col(f"`{name}>`")
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name)
 
-def _narrow(vals: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
-    width = F.col("hi") - F.col("lo")
-    bins = (
-        vals.join(live, keys)
-        .where("x >= lo and x <= hi")
-        .withColumn("b", F.least(F.lit(BINS - 1), F.floor((F.col("x") - F.col("lo")) / width * BINS)))
-        .groupBy(*keys, "k1", "k2", "frac", "b")
-        .agg(F.count("x").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-    )
-    w = Window.partitionBy(*keys).orderBy("b")
-    cum = bins.withColumn("upto", F.sum("c").over(w)).withColumn("below", F.col("upto") - F.col("c"))
-    has1 = (F.col("below") < F.col("k1")) & (F.col("k1") <= F.col("upto"))
-    has2 = (F.col("below") < F.col("k2")) & (F.col("k2") <= F.col("upto"))
-    return (
-        cum.groupBy(*keys, "k1", "k2", "frac")
-        .agg(
-            F.max(F.when(has1, F.col("mn"))).alias("lo"),
-            F.max(F.when(has2, F.col("mx"))).alias("hi"),
-            F.max(F.when(has1, F.col("below"))).alias("skip"),
-            F.max(F.when(has2, F.col("upto"))).alias("upto2"),
-        )
-        .select(
-            *keys,
-            "lo",
-            "hi",
-            (F.col("k1") - F.col("skip")).alias("k1"),
-            (F.col("k2") - F.col("skip")).alias("k2"),
-            "frac",
-            (F.col("upto2") - F.col("skip")).alias("inside"),
-        )
-    )
+    return found.select(*keys, "n", *[between(name, p) for name, p in wanted.items()])
+
+
+def median_and_deviation(df: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
+    """(keys, n, median, mad): median and median absolute deviation of the non-null values."""
+    counts = counted(df, keys, value)
+    mid = percentiles(counts, keys, {"median": 0.5})
+    away = counts.join(mid, keys).select(*keys, F.abs(F.col("_x") - F.col("median")).alias("_x"), "_c")
+    mad = percentiles(away.groupBy(*keys, "_x").agg(F.sum("_c").alias("_c")), keys, {"mad": 0.5})
+    return mid.join(mad.drop("n"), keys)

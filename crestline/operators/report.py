@@ -342,9 +342,24 @@ def report_date(now, zone: str) -> Column:
 ITEM_FIELDS = [
     "rank", "post_id", "platform", "canonical_url", "external_id", "creator_username", "caption_preview", "hashtags",
     "categories", "published_at", "age_hours", "views", "likes", "comments", "shares", "vph", "vph_kind",
-    "velocity_confidence", "trend_score", "rising_score", "trend_state", "tier", "in_yesterday_report",
+    "velocity_confidence", "trend_score", "rising_score", "trend_state", "tier", "in_yesterday_report", "score_components",
 ]
-TAG_FIELDS = ["rank", "tag", "platform", "trend_state", "seen_posts", "qualified_posts", "distinct_creators", "median_vph", "momentum"]
+TAG_FIELDS = ["rank", "tag", "platform", "trend_state", "seen_posts", "qualified_posts", "distinct_creators", "median_vph", "momentum", "related_tags"]
+_COMPONENT = "component:string,available:boolean,raw:double,z:double,normalized:double,weight_configured:double,weight_used:double"
+
+
+def _explained(items: DataFrame) -> DataFrame:
+    """``score_components`` as one list per score; null for posts that were not scored with them."""
+    kind = f"struct<trend:array<struct<{_COMPONENT}>>,rising:array<struct<{_COMPONENT}>>>"
+    if "score_components" not in items.columns:
+        return items.withColumn("score_components", F.lit(None).cast(kind))
+    names = [f.split(":")[0] for f in _COMPONENT.split(",")]
+
+    def of(name: str) -> Column:
+        own = F.filter("score_components", lambda x: x["score"] == name)
+        return F.transform(own, lambda x: F.struct(*[x[n].alias(n) for n in names])).alias(name)
+
+    return items.withColumn("score_components", F.when(F.col("score_components").isNotNull(), F.struct(of("trend"), of("rising"))).cast(kind))
 
 
 def _gathered(df: DataFrame, fields: list[str], key: str, name: str, names: list[str]) -> DataFrame:
@@ -360,6 +375,9 @@ def assemble_report(
 ) -> DataFrame:
     """One nested row; every list in it is a section with a fixed maximum."""
     now = S.as_time(now)
+    items, export = _explained(items), _explained(export)
+    if "related_tags" not in tags.columns:
+        tags = tags.withColumn("related_tags", F.array().cast("array<string>"))
     body = _gathered(items, ITEM_FIELDS, "section", "items", ["TODAY", "STILL_HOT", "RISING_NOW"])
     exp = export.agg(F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("export_candidates"))
     tag = _gathered(tags, TAG_FIELDS, "section", "hashtags", ["BREAKOUT", "RISING", "TOP"])

@@ -31,6 +31,19 @@ def split_heavy(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame,
     return df.join(big, keys, "left_anti"), df.join(big, keys, "left_semi")
 
 
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on ``key`` when one key may own a third of ``rows``: it is dealt over SALTS tasks by a hash of ``by``.
+
+    ``facts`` (few rows per key) is repeated once per salt, below the exchange.
+    """
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str], chunk: str) -> DataFrame:
     """Add ``prev_<c>``: the preceding row's values within ``keys``.
 

@@ -14,36 +14,47 @@ from crestline.operators import hashtags as H
 from crestline.operators import lifecycle as L
 from crestline.operators import posts as P
 from crestline.session import materialize
-from crestline.sources.tables import Store
+from crestline.sources.tables import Store, Transaction
 
 
-def run_analytics(store: Store, now, market: str = "global", cfg: Config = DEFAULT) -> None:
-    """Score posts, then roll up tags and move the tracking tiers.
+# What the run itself maintains. A second run at the same instant starts from these tables as they were before the first.
+OWN = ("posts", "scoring_baselines", "hashtag_categories", "post_categories", "hashtag_cooccurrence_daily", "hashtag_daily_stats", "hashtag_tier_events", "tracked_hashtags")
 
-    Every write replaces what it covers, so a second run at the same instant
-    leaves the same tables.
-    """
-    score_posts(store, now, market, cfg)
-    classify(store, now, market, cfg)
-    update_tags(store, now, market, cfg)
 
+def run_analytics(store: Store, now, market: str = "global", cfg: Config = DEFAULT) -> None:
+    """Score posts, then roll up tags and move the tracking tiers; all tables change by one commit.
 
-def score_posts(store: Store, now, market: str = "global", cfg: Config = DEFAULT) -> None:
+    A second run at the same instant and market puts the tables it maintains
+    back to what they were before the first one (posts of later batches stay),
+    so that it leaves the same tables.
+    """
+    with store.transaction() as tx:
+        name = f"analytics {market}"
+        at = str(store.spark.range(1).select(S.as_time(now).cast("string")).first()[0])
+        note = tx.note(name)
+        base = note["base"] if note and note["at"] == at and tx.restore(OWN, note["base"], note["made"]) else tx.before
+        score_posts(tx, now, market, cfg)
+        classify(tx, now, market, cfg)
+        update_tags(tx, now, market, cfg)
+        tx.note(name, {"at": at, "base": base, "made": tx.next["version"]})
+
+
+def score_posts(store: Transaction, now, market: str = "global", cfg: Config = DEFAULT) -> None:
     posts, previous = store.read("posts"), store.read("scoring_baselines")
     live = P.eligible_posts(posts, market, now, cfg)
-    # Three consumers (baselines, scores, write-back) read one staged table.
-    measured = materialize(P.measured_posts(live, store.read("post_snapshots"), now, cfg), "measured")
+    # Three consumers (baselines, scores, write-back) read one staged table; velocities come from the folds that ingest keeps.
+    measured = materialize(P.measured_posts(live, None, now, cfg, folds=store.read("post_folds")), "measured")
     base = materialize(B.scoring_baselines(measured, previous, now, cfg, [market]), "baselines")
     momentum = P.post_tag_momentum(store.read("post_hashtags"), store.read("hashtags"), store.read("tracked_hashtags"), live, cfg)
     # One row per (platform, market).
     joined = measured.join(F.broadcast(B.wide_baselines(base)), ["platform", "market"]).join(momentum, "post_id", "left")
     scored = P.finish_scores(joined, now, cfg, keep_components=True)
-    store.rewrite("posts", P.write_back_scores(posts, scored))
+    store.upsert("posts", P.write_back_scores(live, scored))
     others = previous.join(base.select(*B.KEY), B.KEY, "left_anti")
     store.rewrite("scoring_baselines", B.stored_baselines(base, now).unionByName(others))
 
 
-def classify(store: Store, now, market: str = "global", cfg: Config = DEFAULT) -> None:
+def classify(store: Transaction, now, market: str = "global", cfg: Config = DEFAULT) -> None:
     live = P.eligible_posts(store.read("posts"), market, now, cfg)
     bridge = store.read("post_hashtags").join(live.select("post_id"), "post_id", "left_semi")
     tags = store.read("hashtags").join(bridge.select("hashtag_id").distinct(), "hashtag_id", "left_semi")
@@ -54,7 +65,7 @@ def classify(store: Store, now, market: str = "global", cfg: Config = DEFAULT) -
     store.rewrite("post_categories", C.replace_post_categories(store.read("post_categories"), live, fresh))
 
 
-def update_tags(store: Store, now, market: str = "global", cfg: Config = DEFAULT) -> None:
+def update_tags(store: Transaction, now, market: str = "global", cfg: Config = DEFAULT) -> None:
     now = S.as_time(now)
     day, day_start = S.utc_day(now), F.date_trunc("day", now)
     posts = store.read("posts").where(F.col("market") == market)

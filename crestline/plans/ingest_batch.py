@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crestline.config import DEFAULT, Config
-from crestline.operators.ingest import flat_observations, observation_effects
+from crestline.operators.ingest import flat_observations, merge_folds, observation_effects, touched
+from crestline.operators.planning import back_off_failed, complete_refreshes, job_cost, record_scans
 from crestline.operators.normalize import normalize, quarantine_rows, split_rejects
 from crestline.session import materialize
-from crestline.sources.tables import Store
+from crestline.sources.tables import Store, Transaction
 
 OPTIONAL = {"query_text": "string", "query_hashtag_id": "bigint", "rank_in_results": "int"}
 
@@ -17,17 +18,99 @@ OPTIONAL = {"query_text": "string", "query_hashtag_id": "bigint", "rank_in_resul
 def ingest_batch(raw: DataFrame, store: Store, cfg: Config = DEFAULT) -> None:
     """``raw``: provider, platform, provider_job_id, payload, observed_at, source.
 
-    Appends land before the rewrites, and each excludes rows already stored,
-    so running the same batch again changes nothing.
+    All tables of the batch become visible by one commit. Posts, tags and folds
+    are upserts of as many rows as the batch touches, read back from the touched
+    buckets; appends exclude rows already stored, so running the same batch
+    again changes nothing.
     """
     extra = {c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in raw.columns}
     done = materialize(normalize(raw.withColumns(extra) if extra else raw), "normalized")
     good, bad = split_rejects(done)
     obs = materialize(flat_observations(good), "observations")
-    names = ("posts", "post_snapshots", "hashtags", "post_hashtags", "post_discoveries")
-    effects = observation_effects({n: store.read(n) for n in names}, obs, cfg)
+    with store.transaction() as tx:
+        write_batch(tx, obs, cfg)
+        tx.append("quarantined_items", quarantine_rows(tx.read("quarantined_items"), bad, F.col("observed_at")))
+
+
+def write_batch(tx: Transaction, observations: DataFrame, cfg: Config = DEFAULT, requested: DataFrame | None = None) -> None:
+    """The changes of flat observations (a stored table) to the six post and tag tables.
+
+    ``requested`` (platform, external_id) are posts that refresh jobs asked for.
+    """
+    stored = touched(tx.read, tx.lookup, observations)
+    effects = observation_effects(stored, observations, cfg)
+    if requested is not None:
+        seen = observations.where("source = 'REFRESH'").select("platform", "external_id", F.col("observed_at").alias("refreshed_at"))
+        effects["posts"] = complete_refreshes(effects["posts"], seen, requested, None, cfg)
+    # The folds read both, and the history they are judged by must not hold them yet.
+    for name in ("posts", "post_snapshots"):
+        effects[name] = materialize(effects[name], f"batch-{name}")
+    effects["post_folds"] = merge_folds(stored["post_folds"], effects["posts"], effects["post_snapshots"], stored["post_snapshots"], cfg)
     for name in ("post_hashtags", "post_discoveries", "post_snapshots"):
-        store.append(name, effects[name])
-    store.append("quarantined_items", quarantine_rows(store.read("quarantined_items"), bad, F.col("observed_at")))
-    store.rewrite("hashtags", effects["hashtags"])
-    store.rewrite("posts", effects["posts"])
+        tx.append(name, effects[name])
+    for name in ("hashtags", "posts", "post_folds"):
+        tx.upsert(name, effects[name])
+
+
+def ingest_jobs(items: DataFrame, store: Store, batch: tuple[str, int] | None = None, cfg: Config = DEFAULT) -> None:
+    """Landed records of collection jobs (as of ``sources.raw``) into all tables, attributed by the stored job ledger.
+
+    Records of a discovery job become discoveries, with query, tag and rank if
+    the job asked one query; records of a refresh job become snapshots, and the
+    posts it asked for are completed. The job and the tags it scanned are marked
+    in the same commit. Records whose job is not in the ledger yet are held back
+    and join a later batch. ``batch`` (stream, number) makes a replay a no-op.
+    """
+    with store.transaction() as tx:
+        if batch is not None:
+            done = tx.note(f"stream {batch[0]}")
+            if done is not None and done["batch"] >= batch[1]:
+                return
+            tx.note(f"stream {batch[0]}", {"batch": batch[1]})
+        columns = ["provider", "platform", "provider_job_id", "payload", "observed_at", "rank_in_results"]
+        waiting = materialize(tx.read("held_items").select(*columns).unionByName(items.select(*columns)), "waiting")
+        jobs = materialize(tx.lookup("provider_jobs", waiting.select(F.col("provider_job_id").alias("job_id"))), "jobs")
+        tx.rewrite("held_items", waiting.join(jobs, waiting.provider_job_id == jobs.job_id, "left_anti"))
+        raw = waiting.join(jobs.select(F.col("job_id").alias("provider_job_id"), "market", "job_type", "queries", "requested"), "provider_job_id")
+        finds = F.col("job_type") == "HASHTAG_DISCOVERY"
+        one = finds & (F.size("queries") == 1)
+        raw = raw.select(
+            "provider", "platform", "provider_job_id", "payload", "observed_at", F.when(finds, "DISCOVERY").otherwise("REFRESH").alias("source"),
+            F.when(one, F.get("queries", F.lit(0))["query"]).alias("query_text"), F.when(one, F.get("queries", F.lit(0))["hashtag_id"]).alias("query_hashtag_id"),
+            F.when(one, F.col("rank_in_results")).alias("rank_in_results"),
+        )
+        done = materialize(normalize(raw), "normalized")
+        good, bad = split_rejects(done)
+        obs = materialize(flat_observations(good), "observations")
+        asked = jobs.where("job_type <> 'HASHTAG_DISCOVERY'").select("platform", F.explode("requested").alias("external_id"))
+        write_batch(tx, obs, cfg, asked)
+        tx.append("quarantined_items", quarantine_rows(tx.read("quarantined_items"), bad, F.col("observed_at")))
+        n = done.groupBy(F.col("provider_job_id").alias("job_id")).agg(
+            F.count_if(F.col("reject_kind").isNull()).alias("_good"), F.count_if(F.col("reject_kind").isNotNull()).alias("_bad"), F.max("observed_at").alias("_at")
+        )
+        n = materialize(n, "job-results")
+        _settle_jobs(tx, jobs, n, cfg)
+
+
+def _settle_jobs(tx: Transaction, jobs: DataFrame, results: DataFrame, cfg: Config) -> None:
+    """Mark ingested jobs and the tags they scanned; tags of failed jobs that nobody has dealt with become due again soon."""
+    zero = F.lit(0).cast("bigint")
+    # A job's records may come in several batches.
+    now = jobs.join(results, "job_id").withColumns(
+        {
+            "records_returned": F.coalesce("records_returned", zero) + F.col("_good"), "records_quarantined": F.coalesce("records_quarantined", zero) + F.col("_bad"),
+            "ingested_at": F.col("_at"), "status": F.lit("INGESTED"),
+        }
+    )
+    now = materialize(job_cost(now, cfg), "ingested-jobs")
+    failed = materialize(tx.read("provider_jobs").where("status = 'FAILED' and ingested_at is null").join(now, "job_id", "left_anti"), "failed-jobs")
+    tag = F.explode("queries").alias("q")
+    finds = F.col("job_type") == "HASHTAG_DISCOVERY"
+    scans = now.where(finds).select(F.col("_at").alias("scanned_at"), F.col("_good").alias("records"), tag).select(F.col("q.tracked_id").alias("tracked_id"), "scanned_at", "records")
+    tracked = record_scans(tx.read("tracked_hashtags"), scans, cfg)
+    lost = failed.where(finds).select(F.col("submitted_at").alias("at"), tag).select(F.col("q.tracked_id").alias("tracked_id"), "at")
+    if not lost.isEmpty():
+        at = lost.agg(F.max("at")).first()[0]
+        tracked = back_off_failed(tracked, lost, F.lit(at), cfg.failed_scan_hours)
+    tx.rewrite("tracked_hashtags", tracked)
+    tx.upsert("provider_jobs", now.unionByName(failed.withColumn("ingested_at", F.col("submitted_at")), allowMissingColumns=True))

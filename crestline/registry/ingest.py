@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crestline.functions import scalars as S
@@ -9,7 +11,8 @@ from crestline.functions import text as T
 from crestline.operators import ingest as I
 from crestline.operators import normalize as N
 from crestline.operators.redact import redact
-from crestline.registry.base import big, compose, cte, out, query, us
+from crestline.operators.velocity import FOLD
+from crestline.registry.base import big, compose, cte, out, query, r6, us
 from crestline.registry.model import model
 from crestline.session import materialize
 
@@ -194,13 +197,16 @@ def parsed(spark, sf):
 @query(
     "caption_tags_of_documents",
     "N10, N12, N13, N14",
-    """SELECT doc_id, string_agg(tag, '|' ORDER BY i) AS tags FROM (SELECT doc_id, tag, min(i) AS i FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '#([\\p{L}\\p{N}_]+)', 1), lambda x: lower(nfc_normalize(x)))) AS tag, generate_subscripts(regexp_extract_all(text, '#([\\p{L}\\p{N}_]+)', 1), 1) AS i FROM documents)
+    """SELECT doc_id, string_agg(tag, '|' ORDER BY i) AS tags FROM (SELECT doc_id, tag, min(i) AS i FROM (SELECT doc_id, unnest(list_transform(w, lambda x: lower(nfc_normalize(x)))) AS tag, generate_subscripts(w, 1) AS i
+ FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, ' (\\p{L})', ' #\\1', 'g'), '#([\\p{L}\\p{N}_]+)', 1) AS w FROM documents))
  WHERE length(tag) <= 100 GROUP BY 1, 2) GROUP BY 1""",
 )
 def caption_tags(spark, sf):
-    docs = model(spark, sf).table("documents").where(F.col("text").contains("#"))
-    tags = T.merge_tags(T.caption_tags(F.col("text")))
-    return docs.select("doc_id", tags.alias("t")).where(F.size("t") > 0).select("doc_id", F.concat_ws("|", "t").alias("tags"))
+    """Whole texts as captions in which every word after a blank is marked as a tag."""
+    docs = model(spark, sf).table("documents").where("text is not null")
+    marked = F.regexp_replace("text", r" (\p{L})", " #$1")
+    tags = docs.select("doc_id", T.merge_tags(T.caption_tags(marked)).alias("t")).where(F.size("t") > 0)
+    return tags.select("doc_id", F.concat_ws("|", "t").alias("tags"))
 
 
 @query(
@@ -400,3 +406,93 @@ def batch_effects(spark, sf):
     for p in parts[1:]:
         res = res.unionByName(p)
     return res
+
+
+# --- commits of several tables, upserts, folds ------------------------------------------
+
+def whole_observations(m):
+    """The model's observations with all columns that ingest reads."""
+    none = F.lit(None)
+    return observations(m).withColumns(
+        {"views_metric": none.cast("string"), "source": F.lit("DISCOVERY"), "query_text": none.cast("string"), "query_hashtag_id": none.cast("bigint"),
+         "market": F.lit("global"), "hashtags": F.transform("hashtags", F.lower)}
+    )
+
+
+_stored_posts = """SELECT p.post_id, p.canonical_url, p.views, p.caption, p.last_seen_at, t.n_tags, d.n_discoveries FROM
+(SELECT post_id, arg_max(canonical_url, us) AS canonical_url, arg_max(views, us) AS views, arg_max(caption, us) AS caption, max(us) AS last_seen_at FROM oin WHERE {0} GROUP BY 1) p
+JOIN (SELECT post_id, count(DISTINCT h) AS n_tags FROM (SELECT post_id, event_type AS h FROM oin WHERE {0} UNION ALL SELECT post_id, 't' || (k % 5) FROM oin WHERE {0}) GROUP BY 1) t USING (post_id)
+JOIN (SELECT post_id, count(DISTINCT event_id // 40) AS n_discoveries FROM oin WHERE {0} GROUP BY 1) d USING (post_id)"""
+
+
+def stored_state(store):
+    """One row per stored post with what the other tables hold of it."""
+    tags = store.read("post_hashtags").groupBy("post_id").agg(F.count(F.lit(1)).alias("n_tags"))
+    found = store.read("post_discoveries").groupBy("post_id").agg(F.count(F.lit(1)).alias("n_discoveries"))
+    p = store.read("posts").join(tags, "post_id").join(found, "post_id")
+    return out(p, "post_id", "canonical_url", "views", "caption", us("last_seen_at").alias("last_seen_at"), "n_tags", "n_discoveries")
+
+
+def fresh_store(spark):
+    from crestline.session import shared_dir
+    from crestline.sources.tables import Store
+
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query("stored_after_batches", "I1, I3, I6", compose(_stored_posts.format("true")))
+def stored_after_batches(spark, sf):
+    """Three batches in shuffled order, each one commit of all tables; posts are upserts merged on read, and compacted in between."""
+    from crestline.plans.ingest_batch import write_batch
+
+    m, store = model(spark, sf), fresh_store(spark)
+    obs = whole_observations(m)
+    for k in range(3):
+        with store.transaction() as tx:
+            write_batch(tx, materialize(obs.where(F.col("event_id") % 3 == (k + 1) % 3), "batch"))
+        if k == 1:
+            store.compact("posts")
+    return stored_state(store)
+
+
+@query("stored_after_torn_batch", "I6", compose(_stored_posts.format("event_id % 2 = 0")))
+def stored_after_torn_batch(spark, sf):
+    """The second batch writes all its tables and dies before its commit: the first one is what is stored."""
+    from crestline.plans.ingest_batch import write_batch
+
+    m, store = model(spark, sf), fresh_store(spark)
+    obs = whole_observations(m)
+    with store.transaction() as tx:
+        write_batch(tx, materialize(obs.where("event_id % 2 = 0"), "batch"))
+    try:
+        with store.transaction() as tx:
+            write_batch(tx, materialize(obs.where("event_id % 2 = 1"), "batch"))
+            raise InterruptedError("the driver is lost")
+    except InterruptedError:
+        pass
+    return stored_state(store)
+
+
+@query(
+    "velocity_of_advanced_folds",
+    "A1, A24",
+    compose("SELECT post_id, vph_kind, round(vph, 4) AS vph, round(vph_previous, 4) AS vph_previous, velocity_confidence, had_negative_delta FROM vel"),
+)
+def velocity_of_advanced_folds(spark, sf):
+    """Folds advanced by three batches: an early one, a later one, and a tenth of all points that come late."""
+    from crestline.operators.velocity import advance_folds, velocity_of_folds
+
+    m = model(spark, sf)
+    snaps = m.observations.select("post_id", "observed_at", "views", "event_id")
+    half = m.now - F.expr("interval 15 days")
+    number = F.when(F.col("event_id") % 10 == 0, 2).when(F.col("observed_at") < half, 0).otherwise(1)
+    snaps = materialize(snaps.withColumn("b", number), "batched-snapshots")
+    posts = materialize(m.posts.select("post_id", "published_at"), "batched-posts")
+    folds = spark.createDataFrame([], "post_id bigint, published_at timestamp, fold " + FOLD)
+    for k in range(3):
+        batch = snaps.where(F.col("b") == k)
+        touched = posts.join(batch.select("post_id").distinct(), "post_id", "left_semi")
+        now = advance_folds(folds.join(touched, "post_id", "left_semi"), touched, batch, snaps.where(F.col("b") <= k))
+        folds = materialize(folds.join(touched, "post_id", "left_anti").unionByName(now), "folds")
+    v = velocity_of_folds(posts, folds, m.now)
+    return v.select("post_id", "vph_kind", r6("vph", 4).alias("vph"), r6("vph_previous", 4).alias("vph_previous"), "velocity_confidence", "had_negative_delta")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from crestline.functions import scalars as S
@@ -10,6 +12,7 @@ from crestline.operators import report as R
 from crestline.registry.base import big, compose, cte, out, query
 from crestline.registry.model import model
 from crestline.registry.tags import post_cats, tier_events
+from crestline.session import materialize
 from crestline.sources import exports as E
 from crestline.sources import lookups as K
 
@@ -395,9 +398,44 @@ def daily_report(spark, sf):
     )
 
 
-@query("report_json_export", "E3")
+_itemrow = "SELECT '{0}' AS kind, x.rank, CAST(x.post_id AS VARCHAR) AS name, rc.platform, rc.views AS amount, CAST(rc.trend_score0 AS BIGINT) AS score, t.hashtags AS labels FROM {1} x JOIN rc ON rc.post_id = x.post_id JOIN tagnames t ON t.post_id = x.post_id"
+cte("tagnames", "SELECT post_id, string_agg(name, '|' ORDER BY position) AS hashtags FROM ptags GROUP BY 1")
+cte(
+    "docrows",
+    " UNION ALL ".join(_itemrow.format(k, c) for k, c in (("TODAY", "todaytop"), ("STILL_HOT", "stillhot"), ("RISING_NOW", "risingnow"), ("EXPORT", "export")))
+    + """ UNION ALL SELECT 'TAG_' || section, rank, tag, platform, CAST(seen_posts AS BIGINT), CAST(qualified_posts AS BIGINT), '' FROM tsec
+UNION ALL SELECT 'CLUSTER', c.cluster_rank, c.label, NULL, NULL, NULL, coalesce(s.ranks, '') FROM (SELECT hashtag_id % 3 + 1 AS cluster_rank, min(name) AS label FROM tags WHERE hashtag_id > 100 GROUP BY 1) c
+LEFT JOIN (SELECT cluster_rank, string_agg(rank, '|' ORDER BY position) AS ranks FROM csample GROUP BY 1) s USING (cluster_rank)""",
+)
+
+
+def document_rows(doc):
+    """The sections of a frozen document, one row per entry."""
+    none = F.lit(None)
+    parts = []
+    for kind, field in (("TODAY", "items_today"), ("STILL_HOT", "items_still_hot"), ("RISING_NOW", "items_rising_now"), ("EXPORT", "export_candidates")):
+        x = doc.select(F.explode(field).alias("x"))
+        parts.append(x.select(F.lit(kind).alias("kind"), "x.rank", F.col("x.post_id").cast("string").alias("name"), "x.platform", F.col("x.views").alias("amount"), F.col("x.trend_score").cast("bigint").alias("score"), F.concat_ws("|", "x.hashtags").alias("labels")))
+    for kind, field in (("BREAKOUT", "hashtags_breakout"), ("RISING", "hashtags_rising"), ("TOP", "hashtags_top")):
+        x = doc.select(F.explode(field).alias("x"))
+        parts.append(x.select(F.lit(f"TAG_{kind}").alias("kind"), "x.rank", F.col("x.tag").alias("name"), "x.platform", F.col("x.seen_posts").cast("bigint").alias("amount"), F.col("x.qualified_posts").cast("bigint").alias("score"), F.concat_ws("|", "x.related_tags").alias("labels")))
+    x = doc.select(F.explode("clusters").alias("x"))
+    ranks = F.concat_ws("|", F.transform("x.sample_ranks", lambda r: r.cast("string")))
+    parts.append(x.select(F.lit("CLUSTER").alias("kind"), F.col("x.cluster_rank").alias("rank"), F.col("x.label").alias("name"), none.cast("string").alias("platform"), none.cast("bigint").alias("amount"), none.cast("bigint").alias("score"), ranks.alias("labels")))
+    return out(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+@query("daily_report_rows", "R18", compose("SELECT * FROM docrows"))
+def daily_report_rows(spark, sf):
+    return document_rows(materialize(document(model(spark, sf)), "document"))
+
+
+@query("report_json_export", "E3", compose("SELECT * FROM docrows"))
 def report_json(spark, sf):
-    return E.json_document(document(model(spark, sf)))
+    """The entries of the document as its JSON text gives them back."""
+    doc = materialize(document(model(spark, sf)), "document")
+    text = materialize(E.json_document(doc), "document-json")
+    return document_rows(text.select(F.from_json("document", doc.schema).alias("d")).select("d.*"))
 
 
 @query(
@@ -470,7 +508,7 @@ def themes(spark, sf):
     "E1",
     compose(
         """SELECT 'rank,qualification,trend_state,platform,creator,published_at,age_hours,views,likes,comments,shares,vph,vph_kind,velocity_confidence,trend_score,rising_score,categories,hashtags,caption,canonical_url' AS line, 0 AS line_no
-UNION ALL SELECT e.rank || ',' || tier || ',' || coalesce(prev_state, '') || ',' || platform || ',' || coalesce(creator_username, '') || ',' || strftime(make_timestamp(pub_us), '%Y-%m-%dT%H:%M:%S') || '.000Z,' ||
+UNION ALL SELECT e.rank || ',' || tier || ',' || coalesce(prev_state, '') || ',' || platform || ',' || coalesce(creator_username, '') || ',' || strftime(make_timestamp(pub_us), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(pub_us // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z,' ||
  printf('%.2f', (now_us - pub_us) / 3600000000.0) || ',' || views || ',' || likes || ',' || comments || ',' || coalesce(CAST(shares AS VARCHAR), '') || ',' || printf('%.2f', vph) || ',OBSERVED,MEDIUM,' || trend_score0 || ',' || rising_score0 || ',' ||
  coalesce(k.categories, '') || ',' || t.hashtags || ',' || coalesce(caption, '') || ',' || canonical_url, e.rank
 FROM export e JOIN (SELECT post_id, string_agg(name, '|' ORDER BY position) AS hashtags FROM ptags GROUP BY 1) t USING (post_id) LEFT JOIN (SELECT post_id, string_agg(category, '|' ORDER BY category) AS categories FROM postcat GROUP BY 1) k USING (post_id)"""

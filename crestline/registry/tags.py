@@ -14,7 +14,7 @@ from crestline.operators import lifecycle as L
 from crestline.registry.base import big, compose, cte, out, query, r6
 from crestline.registry.model import MOMENTUM_SQL, held_sql, model, tag_state_sql
 from crestline.sources import lookups as K
-from crestline.sources.taxonomy import KEYWORD_RULES, SEED_TAGS, seed_tags, seed_tracking, with_parents
+from crestline.sources.taxonomy import KEYWORDS, SEED_TAGS, seed_tags, seed_tracking, with_parents
 
 DAY = ["date", "platform", "market", "hashtag_id"]
 
@@ -331,7 +331,7 @@ cte(
     "seeds",
     "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c}', '{t}')" for n, (cs, t) in SEED_TAGS.items() for c in cs) + ") s(name, category, tier)",
 )
-cte("rules", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in KEYWORD_RULES.items()) + ") r(category, pat)")
+cte("rules", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{'|'.join(w)}')" for c, w in KEYWORDS.items()) + ") r(category, pat)")
 cte("own", "SELECT hashtag_id, category, 1.0 AS confidence, 'SEED' AS source, 0 AS rank FROM tags JOIN seeds USING (name) UNION ALL SELECT hashtag_id, category, 0.9, 'KEYWORD', 1 FROM tags, rules WHERE regexp_matches(name, pat, 'i')")
 cte(
     "cooc",

@@ -57,6 +57,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     a recomputation, and later passes get column pruning on the parquet.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """Where this application keeps what ``materialize`` writes."""
+    return f"{shared_dir(spark).rstrip('/')}/stage-{spark.sparkContext.applicationId}"
+
+
+def sweep_stage(spark: SparkSession) -> None:
+    """Delete all that ``materialize`` wrote in this application: call it once the results that read it are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

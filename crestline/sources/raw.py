@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Landing layout: <root>/provider=<p>/platform=<q>/job=<id>/page-*.json
-LANDING = "payload string, provider string, platform string, job bigint"
+# Landing layout: <root>/provider=<p>/platform=<q>/job=<id>/at=<epoch ms>/page-<n>.json, where <n> is the number of
+# records on the pages before it. A page is one response of a vendor, so it is read as a whole.
+LANDING = "page string, provider string, platform string, job bigint"
 
 
 def read_landing(spark: SparkSession, root: str) -> DataFrame:
-    """All pages of all jobs; partition folders give provider, platform and job."""
-    return _shaped(spark.read.schema(LANDING).text(root))
+    """All records of all pages of all jobs; the folders give provider, platform, job and the time of the observation."""
+    return _shaped(spark.read.schema(LANDING).option("wholetext", True).text(root))
 
 
 def stream_landing(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    return _shaped(spark.readStream.schema(LANDING).option("maxFilesPerTrigger", max_files).text(root))
+    return _shaped(spark.readStream.schema(LANDING).option("wholetext", True).option("maxFilesPerTrigger", max_files).text(root))
 
 
 def _shaped(df: DataFrame) -> DataFrame:
-    return df.select(
-        "provider", "platform", F.col("job").alias("provider_job_id"), "payload",
-        F.col("_metadata.file_modification_time").alias("observed_at"),
-    ).where(F.length(F.trim("payload")) > 0)
+    """One row per record, ``rank_in_results`` being its place in the job's results.
+
+    A folder without ``at`` was observed when its file was written.
+    """
+    path = F.col("_metadata.file_path")
+    at = F.regexp_extract(path, r"/at=(\d+)/", 1).try_cast("bigint")
+    first = F.coalesce(F.regexp_extract(path, r"/page-(\d+)[^/]*$", 1).try_cast("int"), F.lit(0))
+    pages = df.select(
+        "provider", "platform", F.col("job").alias("provider_job_id"), first.alias("first"),
+        F.coalesce(F.timestamp_millis(at), F.col("_metadata.file_modification_time")).alias("observed_at"),
+        F.filter(F.split("page", "\n"), lambda x: F.length(F.trim(x)) > 0).alias("records"),
+    )
+    rows = pages.select("provider", "platform", "provider_job_id", "observed_at", "first", F.posexplode("records").alias("i", "payload"))
+    return rows.select("provider", "platform", "provider_job_id", F.rtrim("payload").alias("payload"), "observed_at", (F.col("first") + F.col("i")).alias("rank_in_results"))

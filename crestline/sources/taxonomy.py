@@ -36,13 +36,13 @@ SEED_TAGS = {
     "psgaming": (["playstation"], "DORMANT"),
 }
 
-# Category keyword patterns, matched without case.
-KEYWORD_RULES = {
-    "cosplay": "cosplay",
-    "streaming": "stream|twitch|kick|live",
-    "playstation": "ps5|playstation|psn|dualsense",
-    "pc": "pc(gaming|gamer|build|setup|master)|steam|rtx|nvidia|gamingpc",
-    "gaming": "gam(e|er|ing)|gameplay|videogame",
+# The keywords of each category, matched without case anywhere in a text.
+KEYWORDS = {
+    "cosplay": ("cosplay",),
+    "streaming": ("stream", "twitch", "kick", "live"),
+    "playstation": ("ps5", "playstation", "psn", "dualsense"),
+    "pc": ("pcgaming", "pcgamer", "pcbuild", "pcsetup", "pcmaster", "steam", "rtx", "nvidia", "gamingpc"),
+    "gaming": ("game", "gamer", "gaming", "gameplay", "videogame"),
 }
 
 

@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crestline.config import DEFAULT, Config
-from crestline.plans.ingest_batch import ingest_batch
+from crestline.plans.ingest_batch import ingest_jobs
 from crestline.sources.raw import stream_landing
 from crestline.sources.tables import Store
 
 
 def ingest_stream(
-    spark: SparkSession, landing: str, store: Store, checkpoint: str, cfg: Config = DEFAULT, max_files: int = 1000
+    spark: SparkSession, landing: str, store: Store, checkpoint: str, cfg: Config = DEFAULT, max_files: int = 1000, name: str = "landing"
 ) -> StreamingQuery:
     """Process all landed files and stop; restart to pick up new ones.
 
-    A batch that is replayed after a failure finds its rows already merged:
-    posts and tags are rewritten from the same fold, and the appends exclude
-    what the tables hold.
+    Every micro-batch is one commit of the store that also notes its number, so
+    a batch that is replayed after a failure is recognised and left out. Records
+    are attributed by the stored job ledger as it is when the batch runs; those
+    of jobs that the ledger does not know yet wait in ``held_items``.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        ingest_batch(df.withColumn("source", F.lit("DISCOVERY")), store, cfg)
+        ingest_jobs(df, store, (name, batch_id), cfg)
 
     return (
         stream_landing(spark, landing, max_files)

@@ -1,8 +1,14 @@
-"""Keyed state processors: one small value per post or tag.
+"""Keyed state processors: a small value and a reorder buffer per post or tag, both of which end.
 
-The state is bounded per key. A batch's rows of one key are gathered in its
-task to be ordered by time, so the files per trigger bound the memory a heavy
-key can take. Rows older than the state are late.
+Rows may come in any order within the watermark's delay. Each processor holds
+back the rows that the watermark has not passed, so that what is final only
+ever advances in event-time order; an event-time timer releases them, and
+another one clears a key that has been silent for ``keep_hours``. Rows that the
+watermark has passed already are dropped by the engine.
+
+Batches are handled as sorted arrays: a step jumps to the next row that can
+change the state (binary search), it does not visit all rows. The arrays of a
+key hold its rows of one batch and of one delay.
 """
 
 from __future__ import annotations
@@ -10,151 +16,269 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from crestline.config import DEFAULT, STATE_RANK, Config
+from crestline.functions import scalars as S
 
 METRICS = ("views", "likes", "comments", "shares", "saves")
 HOUR = 3_600_000_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NONE = np.iinfo(np.int64).min  # stands for a missing number inside arrays
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    frames = list(rows)
-    return pd.concat(frames).sort_values(by, kind="stable") if frames else pd.DataFrame()
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed processors need the RocksDB provider; set for the session, unless it is already."""
+    if spark.conf.get(PROVIDER, "") != ROCKS:
+        spark.conf.set(PROVIDER, ROCKS)
 
 
-def _num(x) -> int | None:
-    return None if pd.isna(x) else int(x)
+class Reordered(StatefulProcessor):
+    """Rows of a key in event-time order, as numbers: ``COLUMNS``, the first of them the time in microseconds.
 
+    A subclass turns the released rows, sorted by all columns, into output
+    (``advance``) and keeps its value in ``self.value``.
+    """
 
-class SnapshotDedup(StatefulProcessor):
-    """Keeps a snapshot unless it repeats the newest kept one within the window."""
+    COLUMNS: tuple[str, ...] = ()
+    VALUE = ""
 
-    OUT = "post_id bigint, observed_us bigint, views bigint, likes bigint, comments bigint, shares bigint, saves bigint"
-
-    def __init__(self, cfg: Config = DEFAULT):
-        self.gap = int(cfg.dedup_minutes * 60_000_000)
+    def __init__(self, keep_hours: float):
+        self.keep = int(keep_hours * HOUR)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t bigint, " + ", ".join(f"{m} bigint" for m in METRICS))
+        self.handle = handle
+        self.value = handle.getValueState("value", self.VALUE)
+        self.wait = handle.getListState("wait", ", ".join(f"{c} bigint" for c in self.COLUMNS))
+        # Times in milliseconds of the release and the expiry that are due.
+        self.due = handle.getValueState("due", "release bigint, expiry bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        kept = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for r in _ordered(rows, ["observed_us", *METRICS]).itertuples(index=False):
-            now = (int(r.observed_us), *[_num(getattr(r, m)) for m in METRICS])
-            if kept and abs(now[0] - kept[0]) <= self.gap and now[1:] == kept[1:]:
-                continue
-            out.append((key[0], *now))
-            if kept is None or now[0] >= kept[0]:
-                kept = now
-        if kept:
-            self.last.update(kept)
-        if out:
-            yield pd.DataFrame(out, columns=["post_id", "observed_us", *METRICS]).astype({m: "Int64" for m in METRICS})
+        new = [self.numbers(f) for f in rows]
+        yield from self._run(key, np.concatenate([self._waiting(), *new]), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if not self.due.exists():
+            return
+        mark = timerValues.getCurrentWatermarkInMs()
+        yield from self._run(key, self._waiting(), mark)
+        expiry = self.due.get()[1] if self.due.exists() else None
+        if expiry is not None and expiry <= mark and not len(self._waiting()):
+            self._timers(None, None)
+            self.value.clear()
+            self.due.clear()
 
     def close(self) -> None:
         pass
 
+    def numbers(self, frame: pd.DataFrame) -> np.ndarray:
+        """The rows of a frame as an integer matrix."""
+        return np.stack([frame[c].astype("Int64").to_numpy(np.int64, na_value=NONE) for c in self.COLUMNS], axis=1)
+
+    def advance(self, key: Any, value: tuple | None, rows: np.ndarray, waiting: np.ndarray) -> tuple[tuple | None, pd.DataFrame | None]:
+        """The value after the released rows, and output rows."""
+        raise NotImplementedError
+
+    def _waiting(self) -> np.ndarray:
+        rows = [tuple(r) for r in self.wait.get()] if self.wait.exists() else []
+        return np.array(rows, np.int64).reshape(-1, len(self.COLUMNS))
+
+    def _run(self, key: Any, rows: np.ndarray, mark_ms: int) -> Iterator[pd.DataFrame]:
+        rows = rows[np.lexsort(rows.T[::-1])]
+        split = int(np.searchsorted(rows[:, 0], mark_ms * 1000, "right"))
+        ready, waiting = rows[:split], rows[split:]
+        value = tuple(self.value.get()) if self.value.exists() else None
+        value, out = self.advance(key, value, ready, waiting)
+        if value is not None:
+            self.value.update(value)
+        if len(waiting):
+            self.wait.put([tuple(r) for r in waiting.tolist()])
+        elif self.wait.exists():
+            self.wait.clear()
+        release = -(-int(waiting[0, 0]) // 1000) if len(waiting) else None
+        last = int(rows[-1, 0]) if len(rows) else None
+        expiry = self.due.get()[1] if self.due.exists() else None
+        if last is not None:
+            expiry = max(expiry or 0, (last + self.keep) // 1000)
+        self._timers(release, expiry)
+        if out is not None and len(out):
+            yield out
+
+    def _timers(self, release: int | None, expiry: int | None) -> None:
+        old = set(self.due.get()) - {None} if self.due.exists() else set()
+        new = {release, expiry} - {None}
+        for t in old - new:
+            self.handle.deleteTimer(t)
+        for t in new - old:
+            self.handle.registerTimer(t)
+        if new:
+            self.due.update((release, expiry))
+
+
+class SnapshotDedup(Reordered):
+    """Keeps a snapshot unless it repeats the newest kept one within the window; emits when the watermark has passed it."""
 
-class HeldState(StatefulProcessor):
-    """Trend-state machine: upgrades at once, downgrades after the hold."""
-
-    OUT = "key bigint, at_us bigint, candidate string, trend_state string, since_us bigint"
-
-    def __init__(self, cfg: Config = DEFAULT):
-        self.hold = cfg.hysteresis_hours * HOUR
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "name string, since bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        cur = tuple(self.state.get()) if self.state.exists() else None
-        out = []
-        for r in _ordered(rows, ["at_us"]).itertuples(index=False):
-            at, cand = int(r.at_us), r.candidate
-            if cur is None:
-                cur = (cand, at)
-            elif cand != cur[0] and (at - cur[1] >= self.hold or STATE_RANK[cand] >= STATE_RANK[cur[0]]):
-                cur = (cand, at)
-            out.append((key[0], at, cand, *cur))
-        if cur:
-            self.state.update(cur)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "at_us", "candidate", "trend_state", "since_us"])
-
-    def close(self) -> None:
-        pass
+    OUT = "post_id bigint, observed_us bigint, views bigint, likes bigint, comments bigint, shares bigint, saves bigint"
+    COLUMNS = ("observed_us", *METRICS)
+    VALUE = "t bigint, " + ", ".join(f"{m} bigint" for m in METRICS)
 
+    def __init__(self, cfg: Config = DEFAULT, keep_hours: float = 192.0):
+        super().__init__(keep_hours)
+        self.gap = int(cfg.dedup_minutes * 60_000_000)
 
-class LiveVelocity(StatefulProcessor):
-    """Carries the last anchors of a post and emits its rate after every batch.
+    def advance(self, key, value, rows, waiting):
+        if not len(rows):
+            return value, None
+        first = np.array([value], np.int64) if value is not None else np.zeros((0, rows.shape[1]), np.int64)
+        both = np.concatenate([first, rows])
+        t = both[:, 0]
+        # A row that differs from the one before it, or lies further from it than the window, starts a stretch and is kept.
+        start = np.ones(len(both), bool)
+        start[1:] = (both[1:, 1:] != both[:-1, 1:]).any(axis=1) | (np.diff(t) > self.gap)
+        heads = np.flatnonzero(start)
+        keep = [heads]
+        for a, b in zip(heads, [*heads[1:], len(both)]):
+            at = a
+            while t[b - 1] - t[at] > self.gap:
+                at = a + int(np.searchsorted(t[a:b], t[at] + self.gap, "right"))
+                keep.append(np.array([at]))
+        kept = np.unique(np.concatenate(keep))
+        last = both[kept[-1]]
+        out = both[kept[kept >= len(first)]]
+        return tuple(last.tolist()), self._frame(key, out)
+
+    def _frame(self, key, rows: np.ndarray) -> pd.DataFrame:
+        frame = pd.DataFrame({c: pd.array(rows[:, i], "Int64") for i, c in enumerate(self.COLUMNS)})
+        for c in METRICS:
+            frame.loc[frame[c] == NONE, c] = pd.NA
+        frame.insert(0, "post_id", key[0])
+        return frame
+
+
+class HeldState(Reordered):
+    """Trend-state machine: upgrades at once, downgrades after the hold; emits when the watermark has passed a row."""
 
-    Points older than the newest anchor come too late to change it and are
-    counted in ``late``.
+    OUT = "key bigint, at_us bigint, candidate string, trend_state string, since_us bigint"
+    COLUMNS = ("at_us", "code")
+    VALUE = "code bigint, since bigint"
+    # Fixed numbers of the states inside arrays.
+    NAMES = tuple(STATE_RANK)
+
+    def __init__(self, cfg: Config = DEFAULT, keep_hours: float = 24.0 * 40):
+        super().__init__(keep_hours)
+        self.hold = int(cfg.hysteresis_hours * HOUR)
+
+    def numbers(self, frame):
+        codes = frame["candidate"].map({n: i for i, n in enumerate(self.NAMES)})
+        return super().numbers(frame.assign(code=codes))
+
+    def advance(self, key, value, rows, waiting):
+        n = len(rows)
+        if not n:
+            return value, None
+        at, code = rows[:, 0], rows[:, 1]
+        state, since = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        cur, since_us = (int(value[0]), int(value[1])) if value is not None else (int(code[0]), int(at[0]))
+        runs = np.flatnonzero(np.diff(code, prepend=code[:1] - 1))
+        for a, b in zip(runs, [*runs[1:], n]):
+            c, change = int(code[a]), b
+            if c != cur:
+                up = STATE_RANK[self.NAMES[c]] >= STATE_RANK[self.NAMES[cur]]
+                change = a if up else a + int(np.searchsorted(at[a:b], since_us + self.hold))
+            state[a:change], since[a:change] = cur, since_us
+            if change < b:
+                cur, since_us = c, int(at[change])
+                state[change:b], since[change:b] = cur, since_us
+        names = np.array(self.NAMES, object)
+        out = pd.DataFrame({"key": key[0], "at_us": at, "candidate": names[code], "trend_state": names[state], "since_us": since})
+        return (cur, since_us), out
+
+
+class LiveVelocity(Reordered):
+    """Carries a post's last anchors and emits its rates after every batch that brings or releases rows.
+
+    The emitted row covers all rows so far, those still waiting included, so it
+    is provisional: a late point that changes it brings a new row for the post,
+    which replaces the earlier one (update mode). ``last_us`` and ``last_views``
+    are for posts without an interval, see ``with_estimate``.
     """
 
-    OUT = "post_id bigint, vph double, vph_previous double, kind string, intervals bigint, had_drop boolean, late bigint"
-    SCHEMA = "t bigint, v bigint, n bigint, cur double, prev double, drop boolean, latest_t bigint, latest_v bigint, late bigint"
+    OUT = (
+        "post_id bigint, published_us bigint, kind string, vph double, vph_previous double, confidence string, intervals bigint, had_drop boolean, "
+        "last_us bigint, last_views bigint"
+    )
+    COLUMNS = ("observed_us", "views", "published_us")
+    VALUE = "n bigint, t0 bigint, v0 bigint, t1 bigint, v1 bigint, t2 bigint, v2 bigint, fell bigint, last_t bigint, last_v bigint, published bigint"
 
-    def __init__(self, cfg: Config = DEFAULT):
+    def __init__(self, cfg: Config = DEFAULT, keep_hours: float = 192.0):
+        super().__init__(keep_hours)
         self.gap = int(cfg.min_interval_hours * HOUR)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("anchor", self.SCHEMA)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        df = _ordered(rows, ["observed_us", "views"])
-        s = list(self.state.get()) if self.state.exists() else None
-        for r in df.itertuples(index=False):
-            if pd.isna(r.views) or pd.isna(r.published_us):
-                continue
-            t, v = int(r.observed_us), int(r.views)
-            if s is None:
-                s = [int(r.published_us), 0, 0, None, None, False, t, v, 0]
-            if t < s[0] and s[2] > 0:
-                s[8] += 1
-                continue
-            if t >= s[6]:
-                s[6], s[7] = t, v
-            if t - s[0] < self.gap:
-                continue
-            rate = max(v - s[1], 0) / ((t - s[0]) / HOUR)
-            s[4], s[3] = s[3], rate
-            s[5] = s[5] or v < s[1]
-            s[0], s[1], s[2] = t, v, s[2] + 1
-        if s is None:
-            return
-        self.state.update(tuple(s))
-        kind = "OBSERVED" if s[2] >= 2 else "ESTIMATED"
-        prev = s[4] if s[2] >= 3 else None
-        yield pd.DataFrame(
-            [(key[0], s[3], prev, kind, s[2], s[5], s[8])],
-            columns=["post_id", "vph", "vph_previous", "kind", "intervals", "had_drop", "late"],
+    def numbers(self, frame):
+        return super().numbers(frame[frame["views"].notna() & frame["published_us"].notna()])
+
+    def _walk(self, s: list[int], rows: np.ndarray) -> list[int]:
+        t, v = rows[:, 0], rows[:, 1]
+        n, t0, v0, t1, v1, t2, v2, fell, last_t, last_v, published = s
+        at = int(np.searchsorted(t, t0 + self.gap))
+        while at < len(t):
+            n, t2, v2, t1, v1, fell = n + 1, t1, v1, t0, v0, int(fell or v[at] < v0)
+            t0, v0 = int(t[at]), int(v[at])
+            at = max(at + 1, int(np.searchsorted(t, t0 + self.gap)))
+        if len(t):
+            last_t, last_v = int(t[-1]), int(v[-1])
+        return [n, t0, v0, t1, v1, t2, v2, fell, last_t, last_v, published]
+
+    def advance(self, key, value, rows, waiting):
+        if value is None:
+            if not len(rows) and not len(waiting):
+                return None, None
+            published = int((rows if len(rows) else waiting)[0, 2])
+            value = (0, published, 0, NONE, NONE, NONE, NONE, 0, NONE, NONE, published)
+        final = self._walk(list(value), rows)
+        n, t0, v0, t1, v1, t2, v2, fell, last_t, last_v, published = self._walk(final, waiting)
+
+        def rate(ta, va, tb, vb):
+            return max(vb - va, 0) / ((tb - ta) / HOUR)
+
+        real = n - 1
+        row = (
+            key[0], published, "OBSERVED" if real >= 1 else "ESTIMATED", rate(t1, v1, t0, v0) if n >= 1 else None, rate(t2, v2, t1, v1) if real >= 2 else None,
+            "HIGH" if real >= 2 else "MEDIUM" if real >= 1 else "LOW", n, bool(fell), last_t, last_v,
         )
+        return tuple(final), pd.DataFrame([row], columns=[c.split()[0] for c in self.OUT.split(", ")]).astype({"vph": "float64", "vph_previous": "float64"})
 
-    def close(self) -> None:
-        pass
+
+def with_estimate(rates: DataFrame, now, cfg: Config = DEFAULT) -> DataFrame:
+    """Rates of ``velocity_stream`` with the estimate of posts that have no interval yet: last views by age at ``now``."""
+    age = F.greatest(S.age_hours(F.timestamp_micros("published_us"), S.as_time(now)), F.lit(cfg.min_estimation_age_hours))
+    vph: Column = F.when(F.col("intervals") > 0, F.col("vph")).otherwise(F.col("last_views") / age)
+    return rates.withColumn("vph", vph)
 
 
-def _with(df: DataFrame, key: str, processor: StatefulProcessor, mode: str) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.OUT, outputMode=mode, timeMode="None"
+def _with(df: DataFrame, key: str, at_us: str, late: str, processor: Reordered, mode: str) -> DataFrame:
+    use_rocksdb(df.sparkSession)
+    timed = df.withColumn("_at", F.timestamp_micros(at_us)).withWatermark("_at", late)
+    return timed.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.OUT, outputMode=mode, timeMode="EventTime"
     )
 
 
-def dedup_stream(snapshots: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def dedup_stream(snapshots: DataFrame, cfg: Config = DEFAULT, late: str = "1 hour", keep_hours: float = 192.0) -> DataFrame:
     """Input: post_id, observed_us and the five metrics."""
-    return _with(snapshots, "post_id", SnapshotDedup(cfg), "Append")
+    return _with(snapshots, "post_id", "observed_us", late, SnapshotDedup(cfg, keep_hours), "Append")
 
 
-def held_state_stream(candidates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def held_state_stream(candidates: DataFrame, cfg: Config = DEFAULT, late: str = "1 hour", keep_hours: float = 24.0 * 40) -> DataFrame:
     """Input: key, at_us, candidate."""
-    return _with(candidates, "key", HeldState(cfg), "Append")
+    return _with(candidates, "key", "at_us", late, HeldState(cfg, keep_hours), "Append")
 
 
-def velocity_stream(snapshots: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def velocity_stream(snapshots: DataFrame, cfg: Config = DEFAULT, late: str = "1 hour", keep_hours: float = 192.0) -> DataFrame:
     """Input: post_id, published_us, observed_us, views."""
-    return _with(snapshots, "post_id", LiveVelocity(cfg), "Update")
+    return _with(snapshots, "post_id", "observed_us", late, LiveVelocity(cfg, keep_hours), "Update")

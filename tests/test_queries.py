@@ -1,4 +1,4 @@
-"""Registered queries against their SQL twins at sf0.001; CRESTLINE_ALL=1 adds the slowest."""
+"""All registered queries against their SQL twins at sf0.001."""
 
 import glob
 import os
@@ -11,8 +11,7 @@ from crestline.registry import COVERS, QUERIES, SQL
 from tools.compare import compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("stream_", "normalize_", "batch_", "quarantine", "rejects", "daily_report", "report_json", "tag_clusters", "tag_components")
-NAMES = [n for n in SQL if os.environ.get("CRESTLINE_ALL") or not n.startswith(SLOW)]
+NAMES = list(SQL)
 
 
 @pytest.fixture(scope="module")

@@ -10,45 +10,57 @@ from pyspark.sql import functions as F
 
 from crestline.config import DEFAULT
 from crestline.operators import baselines, cooccurrence, ingest, quality
-from crestline.operators.quantiles import grouped_median, grouped_percentile
+from crestline.operators.quantiles import counted, percentiles
 
 T0 = datetime(2026, 9, 1, tzinfo=timezone.utc)
 
 
 @pytest.mark.parametrize("p", [0.5, 0.25, 0.9])
-def test_percentile_of_heavy_groups(spark, p):
+def test_percentiles_equal_the_builtin(spark, p):
     rnd = random.Random(1)
-    rows = [("hot", rnd.choice([rnd.random() * 1e6, 5.0, 0.0])) for _ in range(3000)] + [("same", 2.5)] * 500
-    rows += [("even", float(x)) for x in range(300)] + [("small", 1.0), ("small", 4.0), ("none", None)]
+    rows = [("hot", rnd.choice([rnd.random() * 1e6, 5.0, 0.0, -rnd.random()])) for _ in range(3000)] + [("same", 2.5)] * 500
+    rows += [("even", float(x)) for x in range(300)] + [("small", 1.0), ("small", 4.0), ("one", -7.25), ("near", 1e15), ("near", 1e15 + 1), ("none", None)]
+    rows += [("tiny", rnd.random() * 1e-7) for _ in range(200)]
     df = spark.createDataFrame(rows, "k string, x double")
-    plain = {r.k: r.q for r in df.where("x is not null").groupBy("k").agg(F.percentile("x", p).alias("q")).collect()}
-    got = {r.k: r.q for r in grouped_percentile(df, ["k"], "x", p, "q", 40).collect()}
+    plain = {r.k: (r.n, r.q) for r in df.where("x is not null").groupBy("k").agg(F.count("x").alias("n"), F.percentile("x", p).alias("q")).collect()}
+    got = {r.k: (r.n, r.q) for r in percentiles(counted(df, ["k"], "x"), ["k"], {"q": p}).collect()}
     assert got.keys() == plain.keys()
     for k in got:
-        assert got[k] == pytest.approx(plain[k])
-    assert {r.k: r.m for r in grouped_median(df, ["k"], "x", "m", 10).collect()}["hot"] == pytest.approx(
-        statistics.median(x for k, x in rows if k == "hot")
-    )
+        assert got[k] == (plain[k][0], pytest.approx(plain[k][1]))
 
 
-def test_median_and_mad_of_heavy_groups(spark):
+def test_percentiles_spread_a_hot_group(spark):
+    """A group that owns nearly all rows: no task after the counting takes more than a few of its values' chunks."""
+    rnd = random.Random(6)
+    df = spark.createDataFrame([("hot", rnd.random() * 1000) for _ in range(20_000)] + [("cold", 1.0)], "k string, x double")
+    text = percentiles(counted(df, ["k"], "x"), ["k"], {"q": 0.5})._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in text.splitlines() if "Window [" in x]
+    assert len(windows) >= 2 and "ObjectHashAggregate" not in text and "percentile" not in text
+    got = percentiles(counted(df, ["k"], "x"), ["k"], {"lo": 0.01, "hi": 0.99}).where("k = 'hot'").first()
+    want = df.where("k = 'hot'").select(F.percentile("x", 0.01).alias("a"), F.percentile("x", 0.99).alias("b")).first()
+    assert (got.lo, got.hi) == (pytest.approx(want.a), pytest.approx(want.b))
+
+
+def test_median_and_mad(spark):
     rnd = random.Random(2)
-    rows = [(k, rnd.gauss(0, 1)) for k in ("a", "b") for _ in range(400)]
+    rows = [(k, rnd.gauss(0, 1)) for k in ("a", "b") for _ in range(400)] + [("c", 3.0), ("c", None)]
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r.k: r for r in baselines.median_and_mad(df, ["k"], replace(DEFAULT, max_group_rows=50)).collect()}
-    for k in ("a", "b"):
-        xs = [x for kk, x in rows if kk == k]
+    got = {r.k: r for r in baselines.median_and_mad(df, ["k"]).collect()}
+    for k in ("a", "b", "c"):
+        xs = [x for kk, x in rows if kk == k and x is not None]
         m = statistics.median(xs)
-        assert got[k].n == 400 and got[k].median == pytest.approx(m)
+        assert got[k].n == len(xs) and got[k].median == pytest.approx(m)
         assert got[k].mad == pytest.approx(statistics.median(abs(x - m) for x in xs))
 
 
-def test_freshness_of_heavy_source(spark):
+def test_freshness_percentiles(spark):
     rows = [(s, T0 - timedelta(minutes=i * i % 6000)) for s in ("x", "y") for i in range(300)]
     df = spark.createDataFrame(rows, "source string, at timestamp")
-    a = {r.source: r.asDict() for r in quality.freshness_profile(df, ["source"], "at", T0).collect()}
-    b = {r.source: r.asDict() for r in quality.freshness_profile(df, ["source"], "at", T0, replace(DEFAULT, max_group_rows=20)).collect()}
-    assert a == b
+    ages = sorted((i * i % 6000) / 60 for i in range(300))
+    for r in quality.freshness_profile(df, ["source"], "at", T0).collect():
+        pos = 299 * 0.9
+        want = ages[int(pos)] + (ages[int(pos) + 1] - ages[int(pos)]) * (pos - int(pos))
+        assert abs(r.p90_age_hours - want) <= 0.051
 
 
 def brute_dedup(rows, minutes):
