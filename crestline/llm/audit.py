@@ -264,6 +264,7 @@ def audit_orders(masks: DataFrame, labels: DataFrame, doc_id: str = "doc_id", qu
     counts = rows.groupBy("part", "mask").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("good", zero)).alias("good"), F.sum(F.col("n") * F.coalesce("bad", zero)).alias("bad")
     )
+    counts = materialize(counts, "mask-counts")
     # What a step does depends on the set of filters before it, not on their order: 80 cases.
     bits = range(len(LETTERS))
     cases = [(sum(1 << x for x in s), k) for k in bits for r in bits for s in itertools.combinations([x for x in bits if x != k], r)]
