@@ -214,7 +214,8 @@ def stream_ingest(spark, sf):
     raw = materialize(raw.select("payload", "provider", "platform", F.col("job_id").alias("job"), "at", "event_id"), "landing-rows")
     for part, jobs in ((F.col("job") % 5 < 3, F.col("job_id") % 3 != 0), (F.col("job") % 5 >= 3, F.col("job_id") % 3 == 0)):
         store.upsert("provider_jobs", ledger.where(jobs))
-        rows = raw.where(part).repartition("job").sortWithinPartitions("job", "event_id").drop("event_id")
+        # In the writer's own order, so that it keeps the order of a job's records.
+        rows = raw.where(part).repartition("job").sortWithinPartitions("provider", "platform", "job", "at", "event_id").drop("event_id")
         rows.write.mode("append").partitionBy("provider", "platform", "job", "at").text(f"{root}/landing")
         ingest_stream(spark, f"{root}/landing", store, f"{root}/cp").awaitTermination()
     tags = store.read("post_hashtags").join(store.read("hashtags"), "hashtag_id").groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("t"))

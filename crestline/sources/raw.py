@@ -12,11 +12,11 @@ LANDING = "page string, provider string, platform string, job bigint"
 
 def read_landing(spark: SparkSession, root: str) -> DataFrame:
     """All records of all pages of all jobs; the folders give provider, platform, job and the time of the observation."""
-    return _shaped(spark.read.schema(LANDING).option("wholetext", True).text(root))
+    return _shaped(spark.read.schema(LANDING).text(root, wholetext=True))
 
 
 def stream_landing(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    return _shaped(spark.readStream.schema(LANDING).option("wholetext", True).option("maxFilesPerTrigger", max_files).text(root))
+    return _shaped(spark.readStream.schema(LANDING).option("maxFilesPerTrigger", max_files).text(root, wholetext=True))
 
 
 def _shaped(df: DataFrame) -> DataFrame:
