@@ -44,3 +44,22 @@ def test_redaction_reaches_nested_values(spark):
     r = redact(df, ["hunter2x", "abc"]).first()
     assert r.r.api_key == "[REDACTED]" and r.r.list[0].t == "has [REDACTED] inside" and r.r.list[0].n == 5
     assert r.note == "[REDACTED]" and r.short == "abc"
+
+
+def test_compatibility_forms_equal_unicodedata(spark):
+    """All assigned code points, and sequences that combine; no Python worker in the plan."""
+    import unicodedata
+
+    rnd = __import__("random").Random(1)
+    points = [chr(c) for c in range(2, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    marks = [c for c in points if unicodedata.combining(c)]
+    words = ["".join(points[i : i + 1]) for i in range(len(points))]
+    words += ["".join([rnd.choice(points), *rnd.choices(marks, k=rnd.randrange(1, 4)), rnd.choice(points)]) for _ in range(20_000)]
+    lists = [words[i : i + 500] for i in range(0, len(words), 500)]
+    df = spark.createDataFrame([(x,) for x in lists], "t array<string>").select("t", T.nfkc(F.col("t")).alias("n"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        for a, b in zip(r.t, r.n):
+            assert b == unicodedata.normalize("NFKC", a), [hex(ord(c)) for c in a]
+    odd = spark.createDataFrame([(["a\u0001b", None, "ﬁ"],)], "t array<string>").select(T.nfkc(F.col("t")).alias("n")).first().n
+    assert odd == ["", "", "fi"]
