@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,7 +44,13 @@ CLOSES = {
 WALLS = frozenset(("table", "td", "th", "caption"))
 MAX_DEPTH = 400
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NO_SHOW = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:;|!|$)", re.I)
+_NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:;|!|$)", re.I)
+_NO_INK = re.compile(r"(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)\s*(?:;|!|$)", re.I)
+_INK = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible\s*(?:;|!|$)", re.I)
+# Wider cells, and wider rows, are not aligned.
+CELL_WIDTH, LINE_WIDTH = 60, 400
+# Row spans are followed in the first columns.
+SPANNED = 1_000
 
 
 class Node:
@@ -119,11 +126,39 @@ class TreeBuilder(HTMLParser):
         self.stack[-1].kids.append(data)
 
 
-def visible(node: Node) -> bool:
+def shown(node: Node) -> Node | None:
+    """The element as a reader sees it, or None.
+
+    Of a closed ``details`` only the summary is seen. An element of hidden
+    visibility is seen through: descendants that are visible again remain.
+    """
     a = node.attrs
     if node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-        return False
-    return not ("style" in a and _NO_SHOW.search(a["style"]))
+        return None
+    if node.tag == "dialog" and "open" not in a:
+        return None
+    style = a.get("style", "")
+    if style and _NO_BOX.search(style):
+        return None
+    if style and _NO_INK.search(style):
+        left = Node(node.tag, {})
+        left.kids = list(_revealed(node))
+        return left if left.kids else None
+    if node.tag == "details" and "open" not in a:
+        left = Node(node.tag, a)
+        left.kids = [k for k in node.kids if isinstance(k, Node) and k.tag == "summary"][:1]
+        return left
+    return node
+
+
+def _revealed(node: Node) -> Iterator[Node]:
+    """Outermost descendants of an unseen element whose own style makes them visible."""
+    for kid in node.kids:
+        if isinstance(kid, Node) and not _NO_BOX.search(kid.attrs.get("style", "")):
+            if _INK.search(kid.attrs.get("style", "")):
+                yield kid
+            else:
+                yield from _revealed(kid)
 
 
 class _Lines:
@@ -168,9 +203,11 @@ def _walk(node: Node, out: _Lines, lists: list):
     for kid in node.kids:
         if isinstance(kid, str):
             out.add(kid)
-        elif not visible(kid):
             continue
-        elif kid.tag == "br":
+        kid = shown(kid)
+        if kid is None:
+            continue
+        if kid.tag == "br":
             out.end(always=True)
         elif kid.tag == "hr":
             out.end()
@@ -235,10 +272,10 @@ def _text(node: Node) -> str:
     for kid in node.kids:
         if isinstance(kid, str):
             parts.append(kid)
-        elif kid.tag == "br":
-            parts.append("\n")
-        elif visible(kid):
-            parts.append(_text(kid))
+            continue
+        kid = shown(kid)
+        if kid is not None:
+            parts.append("\n" if kid.tag == "br" else _text(kid))
     return "".join(parts)
 
 
@@ -247,49 +284,111 @@ def _width(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in text)
 
 
+def _cell(node: Node) -> list[str]:
+    """Lines of a cell: its blocks, lists and tables, without blank lines."""
+    inner = _Lines()
+    _walk(node, inner, [])
+    inner.end()
+    return [x for x in inner.lines if x.strip()]
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "1")
+    return max(1, min(int(value), most)) if re.fullmatch(r"\d{1,5}", value) else 1
+
+
+class _Grid:
+    """Cells of a table in their columns; a cell that spans rows keeps its columns free below it."""
+
+    def __init__(self):
+        self.rows: list[dict[int, list[str]]] = []
+        self.taken: dict[int, int] = {}
+
+    def row(self, cells: list[tuple[list[str], int, int]]) -> None:
+        at, row = 0, {}
+        held, self.taken = self.taken, {c: n - 1 for c, n in self.taken.items() if n > 1}
+        for lines, across, down in cells:
+            while at in held:
+                at += 1
+            row[at] = lines
+            if down > 1 and at + across <= SPANNED:
+                self.taken.update(dict.fromkeys(range(at, at + across), down - 1))
+            at += across
+        self.rows.append(row)
+
+    def lines(self) -> list[str]:
+        """Rows with their cells padded to the columns' widths.
+
+        A cell wider than CELL_WIDTH takes no part in the alignment: the cells of
+        its row stand on lines of their own. A row that would be wider than
+        LINE_WIDTH is not padded. So padding stays in proportion to the page.
+        """
+        wide: dict[int, int] = {}
+        long = []
+        for row in self.rows:
+            widths = {c: max(map(_width, lines), default=0) for c, lines in row.items()}
+            long.append(any(w > CELL_WIDTH for w in widths.values()))
+            if not long[-1]:
+                for c, w in widths.items():
+                    wide[c] = max(wide.get(c, 0), w)
+        start, used = {}, 0
+        for c in sorted(wide):
+            start[c] = used + 2 * c
+            used += wide[c]
+        out = []
+        for row, apart in zip(self.rows, long):
+            filled = {c: lines for c, lines in row.items() if lines}
+            if apart:
+                out += [x for lines in filled.values() for x in lines]
+                continue
+            for i in range(max(map(len, filled.values()), default=0)):
+                now = {c: lines[i] for c, lines in filled.items() if i < len(lines)}
+                if start[max(now)] > LINE_WIDTH:
+                    out.append("  ".join(now.values()))
+                    continue
+                text, at = [], 0
+                for c, x in now.items():
+                    text.append(" " * (start[c] - at) + x)
+                    at = start[c] + _width(x)
+                out.append("".join(text).rstrip())
+        return out
+
+
 def _table(table: Node) -> list[str]:
     """Caption and rows, cells padded to their column's width."""
-    rows: list[list[str]] = []
+    grid = _Grid()
     head: list[str] = []
     rest: list[str] = []
 
-    def cell(node: Node) -> str:
-        inner = _Lines()
-        _walk(node, inner, [])
-        inner.end()
-        return " ".join(x.strip() for x in inner.lines if x.strip())
-
     def gather(node: Node):
         for kid in node.kids:
             if isinstance(kid, str):
                 if kid.strip():
                     rest.append(_SPACE.sub(" ", kid).strip())
-            elif not visible(kid):
                 continue
-            elif kid.tag == "caption":
-                head.append(cell(kid))
+            kid = shown(kid)
+            if kid is None:
+                continue
+            if kid.tag == "caption":
+                head.extend(_cell(kid))
             elif kid.tag == "tr":
-                row: list[str] = []
+                cells = []
                 for c in kid.kids:
                     if isinstance(c, str):
                         if c.strip():
-                            row.append(_SPACE.sub(" ", c).strip())
-                    elif visible(c):
-                        span = c.attrs.get("colspan", "1")
-                        row += [cell(c), *[""] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,4}", span) and int(span) else 0)]
-                rows.append(row)
+                            cells.append(([_SPACE.sub(" ", c).strip()], 1, 1))
+                        continue
+                    seen = shown(c)
+                    if seen is not None:
+                        cells.append((_cell(seen), _span(c, "colspan", 1000), _span(c, "rowspan", 65_534)))
+                grid.row(cells)
+            elif kid.tag in ("tbody", "thead", "tfoot"):
+                gather(kid)
             else:
-                gather(kid) if kid.tag in ("tbody", "thead", "tfoot") else rest.append(cell(kid))
+                rest.extend(_cell(kid))
 
     gather(table)
-    wide: list[int] = []
-    for row in rows:
-        for i, c in enumerate(row):
-            if i == len(wide):
-                wide.append(0)
-            wide[i] = max(wide[i], _width(c))
-    lines = ["  ".join(c + " " * (w - _width(c)) for c, w in zip(row, wide)).rstrip() for row in rows]
-    return [x for x in (*head, *rest, *lines) if x]
+    return [x for x in (*head, *rest, *grid.lines()) if x]
 
 
 def page_text(html: str) -> str:
