@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from crestline.session import materialize
 
+# A round's tables are written in files of about so many rows, however many partitions the shuffle has.
+FILE_ROWS = 100_000
+
+
+def compact(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``df``, of at most about ``rows`` rows, stored in few files."""
+    return materialize(df.coalesce(max(1, -(-rows // FILE_ROWS))), name)
+
 
 def _edge_sum(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -30,7 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     last = _edge_sum(e)
     while True:
-        e = materialize(_small_star(_large_star(e)), "star")
+        e = compact(_small_star(_large_star(e, last[0]), last[0]), "star", 2 * last[0])
         now = _edge_sum(e)
         if now == last:
             break
@@ -39,16 +47,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.join(tops, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
+    low = compact(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low", 2 * n)
     out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "low")
+    low = compact(down.groupBy("u").agg(F.min("v").alias("m")), "low", 2 * n)
     out = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
         low.select("u", F.col("m").alias("v"))
     )

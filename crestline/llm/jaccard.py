@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.llm.base import bound_batches, map_texts, small, text_slices
-from crestline.llm.components import components
+from crestline.llm.components import compact, components
 from crestline.llm.words import shingle_sets
 from crestline.session import materialize
 
@@ -293,21 +293,21 @@ def jaccard_links(
 
     def settle(cells: DataFrame) -> DataFrame:
         """Members that some other member could link with; regions with pairs left to compare, and how many at most."""
-        cells = materialize(cells, "cells")
+        cells = compact(cells, "cells", rows)
         free = F.col("core")
-        bound = materialize(
+        bound = compact(
             cells.groupBy("region").agg(
                 F.min("n").alias("n_any"), F.max("top").alias("top_any"), F.min(F.when(free, F.col("n"))).alias("n_free"), F.max(F.when(free, F.col("top"))).alias("top_free")
-            ), "bounds",
+            ), "bounds", rows,
         )
         kept = cells.join(bound, "region").where(
             (free & F.expr("n_any <= top and n <= top_any")) | (~free & F.expr("n_free <= top and n <= top_free"))
         ).drop("n_any", "top_any", "n_free", "top_free")
-        kept = materialize(kept, "kept")
+        kept = compact(kept, "kept", rows)
         size = kept.groupBy("region").agg(
             (F.count(F.lit(1)) * F.count(F.when(free, 1))).alias("work"), F.min("tag").alias("_lo"), F.max("tag").alias("_hi")
         ).where("work > 1 and _lo <> _hi").drop("_lo", "_hi")
-        return materialize(kept.join(materialize(size, "sizes"), "region"), "state")
+        return compact(kept.join(compact(size, "sizes", rows), "region"), "state", rows)
 
     own_tag = F.col("fp").alias("tag")
     none = F.lit(None).cast("long").alias("main")
@@ -318,6 +318,8 @@ def jaccard_links(
     large = regions.where(F.col("size") > DIRECT)
     head = materialize(large.groupBy("key").agg(F.max_by("fp", F.struct(F.col("top") / F.col("n"), "fp")).alias("head")), "heads")
     merged = materialize(large.join(head, "key").groupBy("head", "fp", "n").agg(F.max("top").alias("top")), "merged")
+    # Tables of the rounds hold a few rows per document of the large regions.
+    rows = 2 * PIVOTS * merged.count()
     # A size band is as wide as partners' sizes may differ; every document is in its own band and, if others begin there, the next.
     merged = merged.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(q / p) + 1e-9).cast("long"))
     begun = materialize(merged.select("head", "band").distinct(), "bands")
@@ -332,8 +334,8 @@ def jaccard_links(
     theta = F.lit(1 - p / q + 1e-9)
     while state.limit(1).count():
         rank = Window.partitionBy("region", "core").orderBy((F.col("top") / F.col("n")).desc(), "fp")
-        chosen = materialize(state.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PIVOTS), "pivots")
-        star = materialize(side(state, "a", "core", "main").join(side(chosen, "b", F.when(F.col("core"), F.col("_r")).alias("rb")), "region").where("a <> b"), "star")
+        chosen = compact(state.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PIVOTS), "pivots", rows)
+        star = compact(side(state, "a", "core", "main").join(side(chosen, "b", F.when(F.col("core"), F.col("_r")).alias("rb")), "region").where("a <> b"), "star", rows)
         up = F.col("a") < F.col("b")
         ask = star.where(fits).where("tag_a <> tag_b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb")
@@ -347,13 +349,13 @@ def jaccard_links(
         every = links[0]
         for x in links[1:]:
             every = every.unionByName(x)
-        tags = materialize(components(every, "a", "b"), "tags")
+        tags = compact(components(every, "a", "b"), "tags", rows)
         dist = known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
         both_ways = dist.unionByName(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         # All pairs of a pivot are settled, so it leaves. Pairs that sizes or tags exclude have no distance; they count as far.
         left = star.join(chosen.select("region", F.col("fp").alias("a")), ["region", "a"], "left_anti")
-        near = materialize(
-            left.join(both_ways, ["a", "b"], "left").select("region", "a", "na", "top_a", "tag_a", "core", "main", "b", "rb", F.coalesce("d", F.lit(1.0)).alias("d"), F.col("d").isNotNull().alias("seen")), "near"
+        near = compact(
+            left.join(both_ways, ["a", "b"], "left").select("region", "a", "na", "top_a", "tag_a", "core", "main", "b", "rb", F.coalesce("d", F.lit(1.0)).alias("d"), F.col("d").isNotNull().alias("seen")), "near", rows
         )
         # The component of a region's first pivot is its main one; documents outside it are the ones to compare on.
         # Each belongs to the Voronoi cell of its nearest pivot.
@@ -363,9 +365,9 @@ def jaccard_links(
             few.select(F.col("node").alias("head"), F.col("component").alias("th")), "head", "left"
         )
         cells = cells.withColumn("tag", F.coalesce("ta", "tag_a")).withColumn("inner", F.expr("core and cell = b") & (F.col("tag") != F.coalesce("th", "head")))
-        cells = materialize(cells.select("region", "a", "b", "na", "top_a", "d", "seen", "tag", "head", "inner"), "voronoi")
+        cells = compact(cells.select("region", "a", "b", "na", "top_a", "d", "seen", "tag", "head", "inner"), "voronoi", rows)
         span = cells.where("inner").groupBy("region", "b").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max(~F.col("seen")).alias("open"))
-        span = materialize(span, "spans")
+        span = compact(span, "spans", rows)
         grown = (
             cells.join(span, ["region", "b"])
             .where(F.col("inner") | F.col("open") | ~F.col("seen") | ((F.col("d") >= F.col("lo") - theta) & (F.col("d") <= F.col("hi") + theta)))
