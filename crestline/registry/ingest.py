@@ -183,7 +183,8 @@ def quarantine(spark, sf):
 def parsed(spark, sf):
     ev, u = model(spark, sf).table("events"), F.col("user_id").cast("string")
     kind = F.col("event_type")
-    number = F.when(F.col("value") >= 50, F.col("value")).otherwise(-F.col("value"))
+    # Small values become hidden counts: below zero also for a value of zero, whose negative is still a count of zero.
+    number = F.when(F.col("value") >= 50, F.col("value")).otherwise(-F.abs("value") - 1)
     txt = F.when(kind == "view", F.concat(F.lit("  "), u, F.lit("\n"))).when(kind == "click", F.concat(u, F.lit(".5"))).when(kind == "purchase", F.concat(F.lit("-"), u)).when(kind == "signup", "N/A").otherwise("")
     date = F.when(kind == "view", F.floor(F.unix_micros("ts") / 1_000_000).cast("string")).when(kind == "click", F.floor(F.unix_micros("ts") / 1000).cast("string")).when(
         kind == "purchase", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
