@@ -52,6 +52,9 @@ def write_batch(tx: Transaction, observations: DataFrame, cfg: Config = DEFAULT,
         tx.upsert(name, effects[name])
 
 
+HELD = ["provider", "platform", "provider_job_id", "payload", "observed_at", "rank_in_results"]
+
+
 def ingest_jobs(items: DataFrame, store: Store, batch: tuple[str, int] | None = None, cfg: Config = DEFAULT) -> None:
     """Landed records of collection jobs (as of ``sources.raw``) into all tables, attributed by the stored job ledger.
 
@@ -62,34 +65,70 @@ def ingest_jobs(items: DataFrame, store: Store, batch: tuple[str, int] | None =
     and join a later batch. ``batch`` (stream, number) makes a replay a no-op.
     """
     with store.transaction() as tx:
-        if batch is not None:
-            done = tx.note(f"stream {batch[0]}")
-            if done is not None and done["batch"] >= batch[1]:
-                return
-            tx.note(f"stream {batch[0]}", {"batch": batch[1]})
-        columns = ["provider", "platform", "provider_job_id", "payload", "observed_at", "rank_in_results"]
-        waiting = materialize(tx.read("held_items").select(*columns).unionByName(items.select(*columns)), "waiting")
-        jobs = materialize(tx.lookup("provider_jobs", waiting.select(F.col("provider_job_id").alias("job_id"))), "jobs")
-        tx.rewrite("held_items", waiting.join(jobs, waiting.provider_job_id == jobs.job_id, "left_anti"))
-        raw = waiting.join(jobs.select(F.col("job_id").alias("provider_job_id"), "market", "job_type", "queries", "requested"), "provider_job_id")
-        finds = F.col("job_type") == "HASHTAG_DISCOVERY"
-        one = finds & (F.size("queries") == 1)
-        raw = raw.select(
-            "provider", "platform", "provider_job_id", "payload", "observed_at", F.when(finds, "DISCOVERY").otherwise("REFRESH").alias("source"),
-            F.when(one, F.get("queries", F.lit(0))["query"]).alias("query_text"), F.when(one, F.get("queries", F.lit(0))["hashtag_id"]).alias("query_hashtag_id"),
-            F.when(one, F.col("rank_in_results")).alias("rank_in_results"),
-        )
-        done = materialize(normalize(raw), "normalized")
-        good, bad = split_rejects(done)
-        obs = materialize(flat_observations(good), "observations")
-        asked = jobs.where("job_type <> 'HASHTAG_DISCOVERY'").select("platform", F.explode("requested").alias("external_id"))
-        write_batch(tx, obs, cfg, asked)
-        tx.append("quarantined_items", quarantine_rows(tx.read("quarantined_items"), bad, F.col("observed_at")))
-        n = done.groupBy(F.col("provider_job_id").alias("job_id")).agg(
-            F.count_if(F.col("reject_kind").isNull()).alias("_good"), F.count_if(F.col("reject_kind").isNotNull()).alias("_bad"), F.max("observed_at").alias("_at")
-        )
-        n = materialize(n, "job-results")
-        _settle_jobs(tx, jobs, n, cfg)
+        if _held(tx, items, batch):
+            _ingest_known(tx, cfg)
+
+
+def hold_items(items: DataFrame, store: Store, batch: tuple[str, int] | None = None) -> None:
+    """Only store landed records in ``held_items``, in one commit; ``ingest_held`` brings them into the other tables."""
+    with store.transaction() as tx:
+        if not _held(tx, items, batch):
+            tx.drop()
+
+
+def ingest_held(store: Store, cfg: Config = DEFAULT) -> None:
+    """As ``ingest_jobs``, for all held records whose job the ledger knows by now; with nothing to do there is no commit."""
+    with store.transaction() as tx:
+        if not _ingest_known(tx, cfg):
+            tx.drop()
+
+
+def _held(tx: Transaction, items: DataFrame, batch: tuple[str, int] | None) -> bool:
+    """Append records to the held ones, unless ``batch`` is stored already."""
+    if batch is not None:
+        done = tx.note(f"stream {batch[0]}")
+        if done is not None and done["batch"] >= batch[1]:
+            return False
+        tx.note(f"stream {batch[0]}", {"batch": batch[1]})
+    tx.append("held_items", items.select(*HELD))
+    return True
+
+
+def _ingest_known(tx: Transaction, cfg: Config) -> bool:
+    """Whether there was anything to do: records of known jobs, or failed jobs to settle."""
+    waiting = tx.read("held_items")
+    jobs = materialize(tx.lookup("provider_jobs", waiting.select(F.col("provider_job_id").alias("job_id"))), "jobs")
+    if jobs.isEmpty():
+        if _unsettled(tx).isEmpty():
+            return False
+        _settle_jobs(tx, jobs, tx.spark.createDataFrame([], "job_id bigint, _good bigint, _bad bigint, _at timestamp"), cfg)
+        return True
+    tx.rewrite("held_items", waiting.join(jobs, waiting.provider_job_id == jobs.job_id, "left_anti"))
+    raw = waiting.join(jobs.select(F.col("job_id").alias("provider_job_id"), "market", "job_type", "queries", "requested"), "provider_job_id")
+    finds = F.col("job_type") == "HASHTAG_DISCOVERY"
+    one = finds & (F.size("queries") == 1)
+    raw = raw.select(
+        "provider", "platform", "provider_job_id", "payload", "observed_at", F.when(finds, "DISCOVERY").otherwise("REFRESH").alias("source"),
+        F.when(one, F.get("queries", F.lit(0))["query"]).alias("query_text"), F.when(one, F.get("queries", F.lit(0))["hashtag_id"]).alias("query_hashtag_id"),
+        F.when(one, F.col("rank_in_results")).alias("rank_in_results"),
+    )
+    done = materialize(normalize(raw), "normalized")
+    good, bad = split_rejects(done)
+    obs = materialize(flat_observations(good), "observations")
+    asked = jobs.where("job_type <> 'HASHTAG_DISCOVERY'").select("platform", F.explode("requested").alias("external_id"))
+    write_batch(tx, obs, cfg, asked)
+    tx.append("quarantined_items", quarantine_rows(tx.read("quarantined_items"), bad, F.col("observed_at")))
+    n = done.groupBy(F.col("provider_job_id").alias("job_id")).agg(
+        F.count_if(F.col("reject_kind").isNull()).alias("_good"), F.count_if(F.col("reject_kind").isNotNull()).alias("_bad"), F.max("observed_at").alias("_at")
+    )
+    n = materialize(n, "job-results")
+    _settle_jobs(tx, jobs, n, cfg)
+    return True
+
+
+def _unsettled(tx: Transaction) -> DataFrame:
+    """Failed jobs that nobody has dealt with."""
+    return tx.read("provider_jobs").where("status = 'FAILED' and ingested_at is null")
 
 
 def _settle_jobs(tx: Transaction, jobs: DataFrame, results: DataFrame, cfg: Config) -> None:
@@ -103,7 +142,7 @@ def _settle_jobs(tx: Transaction, jobs: DataFrame, results: DataFrame, cfg: Conf
         }
     )
     now = materialize(job_cost(now, cfg), "ingested-jobs")
-    failed = materialize(tx.read("provider_jobs").where("status = 'FAILED' and ingested_at is null").join(now, "job_id", "left_anti"), "failed-jobs")
+    failed = materialize(_unsettled(tx).join(now, "job_id", "left_anti"), "failed-jobs")
     tag = F.explode("queries").alias("q")
     finds = F.col("job_type") == "HASHTAG_DISCOVERY"
     scans = now.where(finds).select(F.col("_at").alias("scanned_at"), F.col("_good").alias("records"), tag).select(F.col("q.tracked_id").alias("tracked_id"), "scanned_at", "records")

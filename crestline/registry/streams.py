@@ -217,7 +217,7 @@ def stream_ingest(spark, sf):
         # In the writer's own order, so that it keeps the order of a job's records.
         rows = raw.where(part).repartition("job").sortWithinPartitions("provider", "platform", "job", "at", "event_id").drop("event_id")
         rows.write.mode("append").partitionBy("provider", "platform", "job", "at").text(f"{root}/landing")
-        ingest_stream(spark, f"{root}/landing", store, f"{root}/cp").awaitTermination()
+        ingest_stream(spark, f"{root}/landing", store, f"{root}/cp")
     tags = store.read("post_hashtags").join(store.read("hashtags"), "hashtag_id").groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("t"))
     found = store.read("post_discoveries").select("post_id", "query_text", F.col("hashtag_id").alias("query_tag"), "rank_in_results")
     seen = store.read("post_snapshots").select("post_id", "source", "provider_job_id")

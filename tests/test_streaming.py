@@ -12,6 +12,7 @@ from crestline.plans.ingest_batch import ingest_jobs
 from crestline.session import materialize
 from crestline.sources.tables import Store
 from crestline.streaming import state, windows
+from crestline.streaming.ingest import ingest_stream
 
 T0 = datetime(2026, 9, 1, tzinfo=timezone.utc)
 US = int(T0.timestamp() * 1_000_000)
@@ -163,3 +164,31 @@ def test_jobs_are_attributed_and_settled(spark, tmp_path):
     tags = {r.tracked_id: r for r in store.read("tracked_hashtags").collect()}
     assert tags[1].scans_total == 1 and tags[1].last_scanned_at is not None and tags[2].scans_total == 0
     assert tags[3].next_due_at - tags[2].next_due_at == timedelta(hours=DEFAULT.failed_scan_hours)
+
+
+def test_landed_files_merge_once_per_drain(spark, tmp_path):
+    """Micro-batches only hold their records; the tables see one merge per call, and unknown jobs wait for a later one."""
+    store, root = Store(spark, str(tmp_path / "s")), str(tmp_path / "landing")
+    job = "job_id long, provider string, platform string, market string, job_type string, status string, submitted_at timestamp, queries array<struct<tracked_id:long,hashtag_id:long,query:string>>, requested array<string>"
+
+    def ledger(*ids):
+        store.upsert("provider_jobs", spark.createDataFrame([(j, "apify", "tiktok", "global", "HASHTAG_DISCOVERY", "SUBMITTED", T0, [(1, 11, f"q{j}")], None) for j in ids], job))
+
+    ledger(0, 1, 2, 3)
+    lines = [("apify", "tiktok", j, US // 1000, record(10 * j + k, 100)) for j in range(5) for k in range(2)]
+    df = spark.createDataFrame(lines, "provider string, platform string, job long, at long, value string").repartition("job")
+    df.write.partitionBy("provider", "platform", "job", "at").text(root)
+    before = store.manifest()["version"]
+    assert not ingest_stream(spark, root, store, str(tmp_path / "cp"), max_files=1).isActive
+    tables = store.manifest()["tables"]
+    assert store.manifest()["version"] == before + 6  # five files, one merge
+    assert all(len({f.split("/")[0] for k in ("base", "delta") for f in tables[n][k]}) == 1 for n in ("posts", "post_snapshots", "post_folds", "hashtags"))
+    assert store.read("posts").count() == 8 and store.read("held_items").count() == 2
+    ledger(4)
+    ingest_stream(spark, root, store, str(tmp_path / "cp"), max_files=1)
+    assert store.read("posts").count() == 10 and store.read("held_items").count() == 0
+    found = store.read("post_discoveries").orderBy("provider_job_id", "rank_in_results").collect()
+    assert [(r.query_text, r.rank_in_results) for r in found] == [(f"q{j}", k) for j in range(5) for k in range(2)]
+    done = store.manifest()["version"]
+    ingest_stream(spark, root, store, str(tmp_path / "cp"), max_files=1)
+    assert store.manifest()["version"] == done  # nothing new, no commit
