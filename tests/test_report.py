@@ -55,3 +55,11 @@ def test_csv_file_has_bom_crlf_and_quotes(spark, tmp_path):
     exports.write_csv(df.coalesce(1), str(tmp_path / "out"))
     raw = next((tmp_path / "out").glob("*.csv")).read_bytes()
     assert raw.startswith("﻿rank,caption,tag\r\n".encode()) and b'1,"a,""b""",\r\n' in raw
+
+
+def test_document_reads_staged_tables(spark):
+    """The document's sections read posts and tags that were derived from the events once, not the events again each."""
+    from crestline.registry.model import model
+    from crestline.registry.report import document
+
+    assert not [f for f in document(model(spark, "/root/testdata/sf0.001")).inputFiles() if f.endswith("events.parquet")]
