@@ -21,21 +21,19 @@ def _edge_sum(e: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component): component is the smallest node id reachable.
 
+    ``rows``, if known, is about the number of edges: they are then stored in few files from the start.
+
     Alternating large-star / small-star rounds. Every round is a minimum per
     node (combined map-side), stored, and a join back on the node. Both sides
     of that join are read from storage, so that AQE can split a hub's edges
     over several tasks. Each round's edges are written to the shared folder; the edge set stops changing after O(log n) rounds.
     """
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
-    e = materialize(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct(),
-        "star",
-    )
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    e = materialize(e, "star") if rows is None else compact(e, "star", rows)
     last = _edge_sum(e)
     while True:
         e = compact(_small_star(_large_star(e, last[0]), last[0]), "star", 2 * last[0])

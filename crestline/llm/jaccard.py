@@ -50,6 +50,8 @@ RARE = 16
 # A region of at most so many documents is compared pair by pair; so is a merged region or cell with so many pairs.
 DIRECT = 16
 DIRECT_WORK = 65_536
+# Pairs compared per file of distances: a pair carries two sets.
+PAIR_ROWS = 10_000
 PIVOTS = 3
 
 
@@ -274,11 +276,13 @@ def jaccard_links(
         .where(F.expr(f"i <= n - cast(ceil(n * {p} / {q}) as int)"))
         .groupBy("key", "fp", "n").agg(F.expr(f"cast(floor((n - min(i)) * {p + q} / {p}) as int) - n").alias("top"))
     )
-    prefix = materialize(prefix, "prefix")
-    counts = materialize(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counts")
-    regions = materialize(prefix.join(counts, "key"), "regions")
-    wanted = materialize(regions.select("fp").distinct().join(classes, "fp").select("fp", "rep"), "wanted")
-    sets = materialize(_sets(docs, wanted, width), "sets")
+    # Each written file may make the JVM start a process, so tables go into files of bounded rows, not one per shuffle partition.
+    prefix = materialize(prefix.coalesce(4 * parts), "prefix")
+    long = prefix.count()
+    counts = compact(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counts", long)
+    regions = compact(prefix.join(counts, "key"), "regions", long)
+    wanted = compact(regions.select("fp").distinct().join(classes, "fp").select("fp", "rep"), "wanted", total["c"])
+    sets = materialize(_sets(docs, wanted, width).coalesce(4 * parts), "sets")
 
     linked = F.expr(f"both * {p + q} >= (na + nb) * {p}")
     fits = F.expr("na <= top_b and nb <= top_a")
@@ -316,13 +320,13 @@ def jaccard_links(
     # A group of near copies shares many shingles, and so many regions. Large regions whose document with the
     # least of its own is the same become one: what shared a region still does.
     large = regions.where(F.col("size") > DIRECT)
-    head = materialize(large.groupBy("key").agg(F.max_by("fp", F.struct(F.col("top") / F.col("n"), "fp")).alias("head")), "heads")
-    merged = materialize(large.join(head, "key").groupBy("head", "fp", "n").agg(F.max("top").alias("top")), "merged")
+    head = compact(large.groupBy("key").agg(F.max_by("fp", F.struct(F.col("top") / F.col("n"), "fp")).alias("head")), "heads", long)
+    merged = compact(large.join(head, "key").groupBy("head", "fp", "n").agg(F.max("top").alias("top")), "merged", long)
     # Tables of the rounds hold a few rows per document of the large regions.
     rows = 2 * PIVOTS * merged.count()
     # A size band is as wide as partners' sizes may differ; every document is in its own band and, if others begin there, the next.
     merged = merged.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(q / p) + 1e-9).cast("long"))
-    begun = materialize(merged.select("head", "band").distinct(), "bands")
+    begun = compact(merged.select("head", "band").distinct(), "bands", rows)
     start = merged.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).join(begun, ["head", "band"], "left_semi").select(
         F.struct(F.col("head").alias("key"), F.col("band").alias("at")).alias("region"), "fp", "n", "top", F.lit(True).alias("core"), own_tag, none
     )
@@ -331,6 +335,7 @@ def jaccard_links(
     state = now.where(F.col("work") > DIRECT_WORK).drop("work")
     links: list[DataFrame] = []
     known: DataFrame | None = None
+    tied = 0
     theta = F.lit(1 - p / q + 1e-9)
     while state.limit(1).count():
         rank = Window.partitionBy("region", "core").orderBy((F.col("top") / F.col("n")).desc(), "fp")
@@ -342,14 +347,17 @@ def jaccard_links(
         ).distinct()
         if known is not None:
             ask = ask.join(known, ["a", "b"], "left_anti")
-        found = materialize(_overlaps(ask, sets), "distances")
+        ask = compact(ask, "asked", rows)
+        n_ask = ask.count()
+        found = materialize(_overlaps(ask, sets).coalesce(max(1, -(-n_ask // PAIR_ROWS))), "distances")
+        tied += n_ask
         links.append(found.where(linked).select("a", "b"))
         known = found if known is None else known.unionByName(found)
         # Documents of equal tag are in one component already and need no comparison.
         every = links[0]
         for x in links[1:]:
             every = every.unionByName(x)
-        tags = compact(components(every, "a", "b"), "tags", rows)
+        tags = compact(components(every, "a", "b", tied), "tags", rows)
         dist = known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
         both_ways = dist.unionByName(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         # All pairs of a pivot are settled, so it leaves. Pairs that sizes or tags exclude have no distance; they count as far.
@@ -385,7 +393,8 @@ def jaccard_links(
     ask = ask.distinct()
     if known is not None:
         ask = ask.join(known, ["a", "b"], "left_anti")
-    links.append(materialize(_overlaps(ask, sets), "overlaps").where(linked).select("a", "b"))
+    ask = materialize(ask.coalesce(4 * parts), "asked")
+    links.append(materialize(_overlaps(ask, sets).coalesce(max(1, -(-ask.count() // PAIR_ROWS))), "overlaps").where(linked).select("a", "b"))
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)
@@ -405,18 +414,20 @@ def jaccard_components(
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     members = materialize(shingle_members(docs, width), "members")
-    classes = materialize(
+    classes = compact(
         members.where("fp is not null and doc_id is not null")
         .groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")),
-        "classes",
+        "classes", members.count(),
     )
-    links = materialize(jaccard_links(docs, members, classes, width, p, q), "links")
-    comp = materialize(components(links, "a", "b"), "comp")
-    named = materialize(comp.join(classes, comp.node == classes.fp).select("fp", "component", "rep"), "named")
-    lowest = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
+    many = classes.count()
+    links = jaccard_links(docs, members, classes, width, p, q)
+    links = compact(links, "links", 2 * many)
+    comp = compact(components(links, "a", "b", links.count()), "comp", many)
+    named = compact(comp.join(classes, comp.node == classes.fp).select("fp", "component", "rep"), "named", many)
+    lowest = compact(named.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest", many)
     of = named.join(lowest, "component").select("fp", "component_id")
-    labels = materialize(
-        classes.join(of, "fp", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id")), "labels"
+    labels = compact(
+        classes.join(of, "fp", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id")), "labels", many
     )
     has = F.col("doc_id").isNotNull()
     return members.join(labels, "fp", "left").select(
@@ -433,9 +444,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     that stands for several texts stays with each text unless one of them is
     linked to a smaller id.
     """
-    found = materialize(jaccard_components(docs, doc_id=doc_id, text=text, **options), "found")
-    gone = materialize(found.where("component_id < doc_id").select("doc_id").distinct(), "gone")
-    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    rows = docs.count()
+    found = compact(jaccard_components(docs, doc_id=doc_id, text=text, **options), "found", rows)
+    gone = compact(found.where("component_id < doc_id").select("doc_id").distinct(), "gone", rows)
+    again = compact(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again", rows)
     key = F.col(f"`{doc_id}`").cast("long")
     left = docs.join(small(gone).withColumnRenamed("doc_id", "_id"), key == F.col("_id"), "left_anti")
     once = left.join(small(again).withColumnRenamed("doc_id", "_id"), key == F.col("_id"), "left_anti")
