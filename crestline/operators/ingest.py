@@ -9,6 +9,7 @@ from crestline.config import DEFAULT, Config
 from crestline.operators.anchors import fold_anchors, walk_anchors
 from crestline.operators.skew import heavy_keys, running_max, with_previous
 from crestline.operators.velocity import advance_folds
+from crestline.session import materialize
 
 POST_KEY = ["platform", "external_id"]
 METRICS = ["views", "likes", "comments", "shares", "saves"]
@@ -124,6 +125,8 @@ def dedup_snapshots(snapshots: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         rows = with_previous(rows, ["post_id"], order, METRICS, "_chunk").drop("prev__h")
         rows = rows.withColumn("_start", _starts(gap))
         rows = running_max(rows, ["post_id"], order, "_start", "_from", "_chunk")
+    # Read twice at least: the ordered rows are not sorted anew each time.
+    rows = materialize(rows, "stretches")
     first = F.col("_start").isNotNull()
     far = (F.col("_t") - F.col("_from")) > gap
     kept = rows.where(first)
@@ -180,7 +183,7 @@ def new_snapshots(stored: DataFrame, batch: DataFrame, cfg: Config = DEFAULT, ne
         near = near.withColumn("observed_date", F.to_date("observed_at"))
     twins = stored.join(near, near.columns, "left_semi").select(*[F.col(c).alias(f"s_{c}") for c in (*at, *METRICS)])
     equal = (F.col("post_id") == F.col("s_post_id")) & (F.col("observed_at") == F.col("s_observed_at")) & _same("", "s_")
-    return kept.join(twins, equal, "left_anti")
+    return kept.join(twins.hint("merge"), equal, "left_anti")
 
 
 # --- tags and discoveries -------------------------------------------------------------
@@ -207,7 +210,7 @@ def new_post_tags(stored: DataFrame, batch_tags: DataFrame) -> DataFrame:
     """(post_id, hashtag_id, position) rows to append; stored links stay as they are."""
     key = ["post_id", "hashtag_id"]
     first = batch_tags.groupBy(*key).agg(F.min_by("position", F.struct("observed_at", "position")).alias("position"))
-    return first.join(stored.select(*key), key, "left_anti")
+    return first.join(stored.select(*key).hint("merge"), key, "left_anti")
 
 
 def new_discoveries(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -216,7 +219,7 @@ def new_discoveries(stored: DataFrame, batch: DataFrame) -> DataFrame:
     order = F.struct("observed_at", F.coalesce("rank_in_results", F.lit(2**31 - 1)))
     rest = [c for c in batch.columns if c not in key]
     first = batch.where("provider_job_id is not null").groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("r"))
-    return first.select(*key, "r.*").join(stored.select(*key), key, "left_anti").select(*batch.columns)
+    return first.select(*key, "r.*").join(stored.select(*key).hint("merge"), key, "left_anti").select(*batch.columns)
 
 
 def observation_effects(stored: dict[str, DataFrame], observations: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
@@ -246,10 +249,12 @@ def touched(read, lookup, observations: DataFrame) -> dict[str, DataFrame]:
     ``read(name)`` and ``lookup(name, keys)`` are those of a store or a
     transaction; ``observations`` is a stored table.
     """
-    ids = observations.select("post_id").distinct()
+    ids = materialize(observations.select("post_id").distinct(), "touched-posts")
     tags = observations.select(F.explode("hashtags").alias("name")).select(F.xxhash64("name").alias("hashtag_id")).distinct()
     rows = {n: read(n) for n in ("post_snapshots", "post_hashtags", "post_discoveries")}
-    return {**rows, "posts": lookup("posts", ids), "post_folds": lookup("post_folds", ids), "hashtags": lookup("hashtags", tags)}
+    # Several steps of a batch read the folds: they are looked up once.
+    folds = materialize(lookup("post_folds", ids), "touched-folds")
+    return {**rows, "posts": lookup("posts", ids), "post_folds": folds, "hashtags": lookup("hashtags", tags)}
 
 
 def merge_folds(stored: DataFrame, posts: DataFrame, fresh: DataFrame, snapshots: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -260,5 +265,5 @@ def merge_folds(stored: DataFrame, posts: DataFrame, fresh: DataFrame, snapshots
     last = newest_snapshots(fresh).withColumnRenamed("newest", "_new")
     old = stored.select("post_id", "newest")
     later = F.col("newest").isNull() | (F.col("_new.observed_at") >= F.col("newest.observed_at"))
-    joined = folds.join(old, "post_id", "left").join(last, "post_id", "left")
+    joined = folds.join(old.hint("merge"), "post_id", "left").join(last.hint("merge"), "post_id", "left")
     return joined.select("post_id", "published_at", "fold", F.when(F.col("_new").isNotNull() & later, F.col("_new")).otherwise(F.col("newest")).alias("newest"))

@@ -114,7 +114,8 @@ def advance_folds(stored: DataFrame, posts: DataFrame, fresh: DataFrame, history
     gap = _gap(cfg)
     new = _points(fresh).groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("pts"))
     old = stored.select("post_id", F.col("published_at").alias("was"), "fold")
-    rows = posts.select("post_id", "published_at").join(old, "post_id", "left").join(new, "post_id", "left")
+    # Sides with a row per post are shuffled: a broadcast of each would pass through the driver.
+    rows = posts.select("post_id", "published_at").join(old.hint("merge"), "post_id", "left").join(new.hint("merge"), "post_id", "left")
     first = F.try_element_at("pts", F.lit(1))["t"]
     late = F.col("fold").isNotNull() & (~F.col("was").eqNullSafe(F.col("published_at")) | F.coalesce(first <= F.col("fold.last_t"), F.lit(False)))
     rows = materialize(rows.withColumn("late", late), "fold-rows")

@@ -429,7 +429,7 @@ def stored_state(store):
     """One row per stored post with what the other tables hold of it."""
     tags = store.read("post_hashtags").groupBy("post_id").agg(F.count(F.lit(1)).alias("n_tags"))
     found = store.read("post_discoveries").groupBy("post_id").agg(F.count(F.lit(1)).alias("n_discoveries"))
-    p = store.read("posts").join(tags, "post_id").join(found, "post_id")
+    p = store.read("posts").join(tags.hint("merge"), "post_id").join(found.hint("merge"), "post_id")
     return out(p, "post_id", "canonical_url", "views", "caption", us("last_seen_at").alias("last_seen_at"), "n_tags", "n_discoveries")
 
 
