@@ -30,7 +30,11 @@ def strip_space(c: Column) -> Column:
 
 def count_from_text(c: Column) -> Column:
     """Digits only; signs, decimals and words give null."""
-    s = strip_space(c)
+    return count_from_bare(strip_space(c))
+
+
+def count_from_bare(s: Column) -> Column:
+    """As ``count_from_text``, of a text without outer white space."""
     return F.when(s.rlike(r"\A\d+\z"), s.try_cast("bigint"))
 
 
@@ -41,7 +45,10 @@ def count_from_number(c: Column) -> Column:
 
 
 def duration_from_text(c: Column) -> Column:
-    s = strip_space(c)
+    return duration_from_bare(strip_space(c))
+
+
+def duration_from_bare(s: Column) -> Column:
     return F.when(s.rlike(r"\A\d+(\.\d+)?\z"), s.try_cast("double"))
 
 
@@ -60,7 +67,10 @@ def time_from_number(c: Column) -> Column:
 
 
 def time_from_text(c: Column) -> Column:
-    s = strip_space(c)
+    return time_from_bare(strip_space(c))
+
+
+def time_from_bare(s: Column) -> Column:
     return F.when(s.rlike(r"\A\d+\z"), time_from_number(s.try_cast("double"))).when(s != "", F.try_to_timestamp(s))
 
 
@@ -84,7 +94,15 @@ def nfkc(tokens: Column) -> Column:
 
 def clean_tags(raw: Column) -> Column:
     """Normalised tags of an array of raw names, first-seen order, no duplicates."""
-    bare = F.transform(raw, lambda t: F.regexp_replace(strip_space(t), r"\A#", ""))
+    return clean_bare_tags(bare_tags(raw))
+
+
+def bare_tags(raw: Column) -> Column:
+    return F.transform(raw, lambda t: F.regexp_replace(strip_space(t), r"\A#", ""))
+
+
+def clean_bare_tags(bare: Column) -> Column:
+    """Second half of ``clean_tags``; it reads ``bare`` in several places, so a stored column spares work."""
     low = F.transform(nfkc(bare), lambda t: F.lower(strip_space(t)))
     ok = F.filter(low, lambda t: t.rlike(TAG) & (F.length(t) <= MAX_TAG))
     return F.array_distinct(ok)

@@ -37,13 +37,15 @@ B_P1 = {
 }
 # First three letters of the JSON value's type name.
 STRING, BOOLEAN, OBJECT, VOID, ARRAY, WHOLE = "STR", "BOO", "OBJ", "VOI", "ARR", "BIG"
-NUMBERS = (WHOLE, "DEC", "DOU", "FLO", "INT", "SMA", "TIN")
+NUMBERS = (WHOLE, "DEC", "DOU")  # all that a parsed JSON number can be
 KINDS = {"s": STRING, "b": BOOLEAN, "o": OBJECT, "z": VOID, "l": ARRAY, "m": ARRAY}
 V = "_v"
+# Columns of one step: a step is one generated method, and the JVM compiles none above 8,000 bytes of code.
+STEP = 14
 
 
-def _at(path: str, kind: str) -> Column:
-    return F.try_variant_get(F.col(V), f"$.{path}", kind)
+def _get(v: str | Column, kind: str, path: str = "$") -> Column:
+    return F.try_variant_get(F.col(v) if isinstance(v, str) else v, path, kind)
 
 
 def _word(v: Column) -> Column:
@@ -55,106 +57,125 @@ def _name(prefix: str, path: str) -> str:
     return f"{prefix}_{path.replace('.', '__')}"
 
 
-def _kind(path: str) -> Column:
-    return F.col(_name("_k", path))
-
-
 def _once(df: DataFrame, cols: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
     """Add columns behind a one-row generator.
 
     Filters and projections above it read the finished values: Catalyst would
     otherwise push a reject filter down by copying the whole parse into it.
     The outer form, because the inner one gets an inferred size filter that
-    repeats the row expression.
+    repeats the row expression. Functions with lambdas stay out of ``cols``: they
+    would have the whole row evaluated by the interpreter.
     """
     row = F.struct(*[c.alias(n) for n, c in cols.items()])
     return df.select(*(keep or df.columns), F.inline_outer(F.array(row)))
 
 
-def _parsed(raw: DataFrame, spec: dict[str, str]) -> DataFrame:
-    """Adds the parsed payload, the kind of every declared field and ``_bad``.
+class Fields:
+    """Declared fields of a payload, by path, as columns that are computed once per row.
 
-    A field's kind is computed once per row however many checks use it.
+    The methods name the columns an output needs; ``parse`` then adds them all
+    and ``_bad``. Every object is taken apart in one pass over its fields: a
+    search by path passes over all of them again for each path and each use.
     """
-    df = raw.withColumn(V, F.try_parse_json("payload"))
-    kinds = {_name("_k", p): _word(_at(p, "variant")) for p in spec}
-    df = _once(df, {"_root": _word(F.col(V)), **kinds})
-    bad = F.coalesce(F.col("_root") != OBJECT, F.lit(True))
-    for path, allowed in spec.items():
-        bad = bad | _bad_field(path, allowed)
-    return df.withColumn("_bad", bad)
 
+    def __init__(self, spec: dict[str, str]):
+        self.spec, self.values = spec, {}
 
-def _bad_field(path: str, allowed: str) -> Column:
-    words: set[str] = set()
-    for a in allowed:
-        words |= set(NUMBERS) if a == "n" else {KINDS[a]}
-    bad = F.coalesce(~_kind(path).isin(*sorted(words)), F.lit(False))
-    if allowed in ("l", "m"):
-        bad = bad | F.coalesce(F.exists(_at(path, "array<variant>"), lambda x: _bad_tag(x, allowed == "m")), F.lit(False))
-    return bad
+    def _value(self, prefix: str, path: str, kinds, get: Column) -> Column:
+        self.values[_name(prefix, path)] = F.when(F.col(_name("_k", path)).isin(*kinds), get)
+        return F.col(_name(prefix, path))
 
+    def has(self, path: str) -> Column:
+        self.values[_name("_has", path)] = self._at(path).isNotNull()
+        return F.col(_name("_has", path))
 
-def _bad_tag(x: Column, objects: bool) -> Column:
-    own = _word(x) == STRING
-    if not objects:
-        return ~F.coalesce(own, F.lit(False))
-    named = _word(F.try_variant_get(x, "$.name", "variant")) == STRING
-    return ~F.coalesce(own | named, F.lit(False))
+    def text(self, path: str) -> Column:
+        return self._value("_s", path, [STRING], _get(self._at(path), "string"))
 
+    def id(self, path: str) -> Column:
+        """A string as is, a whole number as its digits."""
+        return self._value("_i", path, [STRING, *NUMBERS], _get(self._at(path), "string"))
 
-def _text(path: str) -> Column:
-    return F.when(_kind(path) == STRING, _at(path, "string"))
+    def _bare(self, path: str) -> Column:
+        return self._value("_t", path, [STRING], T.strip_space(_get(self._at(path), "string")))
 
+    def _whole(self, path: str) -> Column:
+        return self._value("_w", path, [WHOLE], _get(self._at(path), "bigint"))
 
-def _id(path: str) -> Column:
-    """A string as is, a whole number as its digits."""
-    return F.when(_kind(path).isin(STRING, *NUMBERS), _at(path, "string"))
+    def _fraction(self, path: str) -> Column:
+        return self._value("_n", path, [k for k in NUMBERS if k != WHOLE], _get(self._at(path), "double"))
 
+    def _number(self, path: str) -> Column:
+        return F.coalesce(self._whole(path).cast("double"), self._fraction(path))
 
-def _count(path: str) -> Column:
-    k = _kind(path)
-    return F.when(k.isin(*NUMBERS), F.coalesce(_whole(path), T.count_from_number(_at(path, "double")))).when(
-        k == STRING, T.count_from_text(_at(path, "string"))
-    )
+    def count(self, path: str) -> Column:
+        whole, fraction, bare = self._whole(path), self._fraction(path), self._bare(path)
+        return F.when(whole.isNotNull(), F.when(whole >= 0, whole)).when(fraction.isNotNull(), T.count_from_number(fraction)).otherwise(T.count_from_bare(bare))
 
+    def duration(self, path: str) -> Column:
+        number, bare = self._number(path), self._bare(path)
+        return F.when(number.isNotNull(), T.duration_from_number(number)).otherwise(T.duration_from_bare(bare))
 
-def _whole(path: str) -> Column:
-    n = _at(path, "bigint")
-    return F.when((_kind(path) == WHOLE) & (n >= 0), n)
+    def time(self, path: str) -> Column:
+        number, bare = self._number(path), self._bare(path)
+        return F.when(number.isNotNull(), T.time_from_number(number)).otherwise(T.time_from_bare(bare))
 
+    def flag(self, path: str) -> Column:
+        return self._value("_b", path, [BOOLEAN], _get(self._at(path), "boolean"))
 
-def _duration(path: str) -> Column:
-    k = _kind(path)
-    return F.when(k.isin(*NUMBERS), T.duration_from_number(_at(path, "double"))).when(
-        k == STRING, T.duration_from_text(_at(path, "string"))
-    )
+    def names(self, path: str) -> Column:
+        """Names out of an array of strings and of objects carrying a name; null for any other item."""
+        return F.col(_name("_names", path))
 
+    def _at(self, path: str) -> Column:
+        return F.col(_name("_v", path))
 
-def _time(path: str) -> Column:
-    k = _kind(path)
-    return F.when(k.isin(*NUMBERS), T.time_from_number(_at(path, "double"))).when(
-        k == STRING, T.time_from_text(_at(path, "string"))
-    )
+    def _apart(self, df: DataFrame, parent: str, keep: list[str]) -> DataFrame:
+        """Add ``_f_<parent>``, null for anything but an object, and every declared field of it as a column."""
+        own = [p for p in self.spec if p.rpartition(".")[0] == parent]
+        shape = f"struct<{','.join(p.rpartition('.')[2] + ':variant' for p in own)}>"
+        df = _once(df, {_name("_f", parent): _get(_name("_v", parent) if parent else V, shape)}, keep)
+        return df.select("*", F.inline_outer(F.array(_name("_f", parent))).alias(*[_name("_v", p) for p in own]))
 
+    def parse(self, raw: DataFrame) -> DataFrame:
+        df = self._apart(raw.withColumn(V, F.try_parse_json("payload")), "", raw.columns)
+        for p in [p for p, a in self.spec.items() if a == "o"]:
+            df = self._apart(df, p, df.columns)
+        lists = [p for p, a in self.spec.items() if a in ("l", "m")]
+        plain = [p for p, a in self.spec.items() if a not in ("o", "l", "m")]
+        kinds = {_name("_k", p): _word(self._at(p)) for p in plain}
+        df = _once(df, {**kinds, **{_name("_l", p): _get(self._at(p), "array<variant>") for p in lists}})
+        # Only an object can be taken apart, and only an array cast to one.
+        bad = F.col("_f_").isNull()
+        for p, allowed in self.spec.items():
+            if p in plain:
+                bad = bad | F.coalesce(~F.col(_name("_k", p)).isin(*_words(allowed)), F.lit(False))
+            else:
+                bad = bad | (self._at(p).isNotNull() & F.col(_name("_f" if allowed == "o" else "_l", p)).isNull())
+        df = _once(df, {"_bad": bad})
+        values = list(self.values.items())
+        for i in range(0, len(values), STEP):
+            df = _once(df, dict(values[i : i + STEP]))
+        df = df.select(*raw.columns, "_bad", *self.values, *[_name("_l", p) for p in lists])
+        df = df.withColumns({_name("_names", p): _tag_names(F.col(_name("_l", p)), self.spec[p] == "m") for p in lists})
+        for p in lists:
+            df = df.withColumn("_bad", F.col("_bad") | F.coalesce(F.exists(_name("_names", p), F.isnull), F.lit(False)))
+        return df
 
-def _flag(path: str) -> Column:
-    return F.when(_kind(path) == BOOLEAN, _at(path, "boolean"))
 
+def _words(allowed: str) -> list[str]:
+    return sorted({w for a in allowed for w in (NUMBERS if a == "n" else (KINDS[a],))})
 
-def tag_names(path: str) -> Column:
-    """Names out of an array of strings and of objects carrying a name."""
-    names = F.transform(
-        _at(path, "array<variant>"),
-        lambda x: F.when(_word(x) == STRING, F.try_variant_get(x, "$", "string")).otherwise(
-            F.try_variant_get(x, "$.name", "string")
-        ),
-    )
-    return F.array_compact(names)
+
+def _tag_names(items: Column, objects: bool) -> Column:
+    def name(x: Column) -> Column:
+        own = F.when(_word(x) == STRING, _get(x, "string"))
+        return own.when(_word(_get(x, "variant", "$.name")) == STRING, _get(x, "string", "$.name")) if objects else own
+
+    return F.transform(items, name)
 
 
-def _music(i: str, title: str, author: str) -> Column:
-    parts = [_text(i), _text(title), _text(author)]
+def _music(*parts: Column) -> Column:
     some = None
     for p in parts:
         full = F.coalesce(F.length(p) > 0, F.lit(False))
@@ -167,16 +188,16 @@ def _views_metric(name: str) -> Column:
 
 
 def _shape(
-    df: DataFrame, *, external_id, id_ok, url, platform, content_type, username, creator_id, followers, verified,
+    df: DataFrame, keep: list[str], *, external_id, id_ok, url, platform, content_type, username, creator_id, followers, verified,
     caption, tags, music, published, duration, views, views_metric, likes, comments, shares, saves,
 ) -> DataFrame:
-    keep = [c for c in df.columns if c != V and not c.startswith(("_k_", "_root", "_bad"))]
     none = F.array().cast("array<string>")
-    # Ids and URLs feed several outputs, so they become columns before the rest.
-    df = _once(df, {"_bad_id": ~F.coalesce(id_ok, F.lit(False)), "_url": url, "_views": views})
+    # The URL feeds several outputs, so it becomes a column before the rest.
+    df = _once(df, {"_bad_id": ~F.coalesce(id_ok, F.lit(False)), "_url": url})
     kind = F.when(F.col("_bad"), "INVALID").when(F.col("_bad_id"), "MISSING_ID").when(F.col("_url").isNull(), "INVALID_URL")
-    df = df.withColumn("_reject", kind)
-    views = F.col("_views")
+    df = _once(df, {"_reject": kind, "_published": published, "_duration": duration})
+    counts = {"_followers": followers.cast("bigint"), "_likes": likes, "_comments": comments, "_shares": shares, "_saves": saves.cast("bigint")}
+    df = _once(df, counts)
     # One sentence per failure kind.
     reason = (
         F.when(F.col("_reject") == "INVALID", "payload failed field validation")
@@ -189,72 +210,82 @@ def _shape(
         "canonical_url": F.col("_url"),
         "content_type": content_type,
         "creator": F.struct(
-            username.alias("username"), creator_id.alias("external_id"), followers.cast("bigint").alias("followers"),
+            username.alias("username"), creator_id.alias("external_id"), F.col("_followers").alias("followers"),
             verified.alias("verified"),
         ),
         "caption": caption,
         "hashtags": F.concat(*[F.coalesce(F.when(F.col("_reject").isNull(), t), none) for t in tags]),
         "music": music,
-        "published_at": published,
-        "duration_sec": duration,
+        "published_at": F.col("_published"),
+        "duration_sec": F.col("_duration"),
         "metrics": F.struct(
-            views.alias("views"), views_metric.alias("views_metric"), likes.alias("likes"), comments.alias("comments"),
-            shares.alias("shares"), saves.cast("bigint").alias("saves"),
+            views.alias("views"), views_metric.alias("views_metric"), F.col("_likes").alias("likes"), F.col("_comments").alias("comments"),
+            F.col("_shares").alias("shares"), F.col("_saves").alias("saves"),
         ),
         "reject_kind": F.col("_reject"),
         "reject_reason": reason,
     }
-    return _once(df, out, keep).withColumn("hashtags", T.clean_tags(F.col("hashtags")))
+    done = _once(df, out, keep).withColumn("hashtags", T.bare_tags(F.col("hashtags")))
+    return done.withColumn("hashtags", T.clean_bare_tags(F.col("hashtags")))
 
 
 def normalize_a_p1(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, A_P1)
-    pid, views, caption = _id("id"), _count("playCount"), _text("text")
-    handle = F.coalesce(T.video_handle(_text("webVideoUrl")), _text("authorMeta.uniqueId"), _text("authorMeta.name"))
-    return _shape(
-        df, external_id=pid, id_ok=pid.rlike(T.VIDEO_ID), url=T.video_url(handle, pid), platform="tiktok",
-        content_type=F.when(_flag("isSlideshow"), "carousel").otherwise("video"), username=handle, creator_id=_text("authorMeta.id"),
-        followers=_count("authorMeta.fans"), verified=_flag("authorMeta.verified"), caption=caption,
-        tags=[tag_names("hashtags"), T.caption_tags(caption)],
-        music=_music("musicMeta.musicId", "musicMeta.musicName", "musicMeta.musicAuthor"),
-        published=F.when(_kind("createTimeISO").isNotNull(), _time("createTimeISO")).otherwise(_time("createTime")),
-        duration=_duration("videoMeta.duration"), views=views, views_metric=_views_metric("tt_apify_play_count"),
-        likes=_count("diggCount"), comments=_count("commentCount"), shares=_count("shareCount"), saves=_count("collectCount"),
+    f = Fields(A_P1)
+    caption, url, names = f.text("text"), f.text("webVideoUrl"), [f.text("authorMeta.uniqueId"), f.text("authorMeta.name")]
+    pid, views, handle = f.id("id"), F.col("_views"), F.col("_handle")
+    first = {"_views": f.count("playCount"), "_handle": F.coalesce(T.video_handle(url), *names)}
+    out = dict(
+        external_id=pid, id_ok=pid.rlike(T.VIDEO_ID), url=T.video_url(handle, pid), platform="tiktok",
+        content_type=F.when(f.flag("isSlideshow"), "carousel").otherwise("video"), username=handle, creator_id=f.text("authorMeta.id"),
+        followers=f.count("authorMeta.fans"), verified=f.flag("authorMeta.verified"), caption=caption,
+        tags=[f.names("hashtags"), T.caption_tags(caption)],
+        music=_music(f.text("musicMeta.musicId"), f.text("musicMeta.musicName"), f.text("musicMeta.musicAuthor")),
+        published=F.when(f.has("createTimeISO"), f.time("createTimeISO")).otherwise(f.time("createTime")),
+        duration=f.duration("videoMeta.duration"), views=views, views_metric=_views_metric("tt_apify_play_count"),
+        likes=f.count("diggCount"), comments=f.count("commentCount"), shares=f.count("shareCount"), saves=f.count("collectCount"),
     )
+    return _shape(_once(f.parse(raw), first), raw.columns, **out)
 
 
 def normalize_a_p2(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, A_P2)
-    code = F.coalesce(_text("shortCode"), T.post_shortcode(_text("url")))
-    plays, seen, caption = _count("videoPlayCount"), _count("videoViewCount"), _text("caption")
+    f = Fields(A_P2)
+    code, plays, seen, caption = F.col("_code"), F.col("_plays"), F.col("_seen"), f.text("caption")
+    first = {
+        "_code": F.coalesce(f.text("shortCode"), T.post_shortcode(f.text("url"))),
+        "_plays": f.count("videoPlayCount"), "_seen": f.count("videoViewCount"),
+    }
     kind = (
-        F.when(_text("productType") == "clips", "reel").when(_text("type") == "Image", "image")
-        .when(_text("type") == "Sidecar", "carousel").when(_text("type") == "Video", "video").otherwise("unknown")
+        F.when(f.text("productType") == "clips", "reel").when(f.text("type") == "Image", "image")
+        .when(f.text("type") == "Sidecar", "carousel").when(f.text("type") == "Video", "video").otherwise("unknown")
     )
-    return _shape(
-        df, external_id=code, id_ok=F.length(code) > 0, url=T.post_url(code), platform="instagram",
-        content_type=kind, username=_text("ownerUsername"), creator_id=_text("ownerId"), followers=F.lit(None), verified=F.lit(None).cast("boolean"),
-        caption=caption, tags=[tag_names("hashtags"), T.caption_tags(caption)],
-        music=_music("musicInfo.audio_id", "musicInfo.song_name", "musicInfo.artist_name"), published=_time("timestamp"),
-        duration=_duration("videoDuration"), views=F.coalesce(plays, seen),
+    out = dict(
+        external_id=code, id_ok=F.length(code) > 0, url=T.post_url(code), platform="instagram",
+        content_type=kind, username=f.text("ownerUsername"), creator_id=f.text("ownerId"), followers=F.lit(None), verified=F.lit(None).cast("boolean"),
+        caption=caption, tags=[f.names("hashtags"), T.caption_tags(caption)],
+        music=_music(f.text("musicInfo.audio_id"), f.text("musicInfo.song_name"), f.text("musicInfo.artist_name")), published=f.time("timestamp"),
+        duration=f.duration("videoDuration"), views=F.coalesce(plays, seen),
         views_metric=F.when(plays.isNotNull(), "ig_apify_video_play_count").when(seen.isNotNull(), "ig_apify_video_view_count"),
-        likes=_count("likesCount"), comments=_count("commentsCount"), shares=_count("reshareCount"), saves=F.lit(None),
+        likes=f.count("likesCount"), comments=f.count("commentsCount"), shares=f.count("reshareCount"), saves=F.lit(None),
     )
+    return _shape(_once(f.parse(raw), first), raw.columns, **out)
 
 
 def normalize_b_p1(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, B_P1)
-    pid, views, caption = _id("post_id"), _count("play_count"), _text("description")
-    handle = F.coalesce(T.video_handle(_text("url")), T.profile_handle(_text("profile_url")))
-    return _shape(
-        df, external_id=pid, id_ok=pid.rlike(T.VIDEO_ID), url=T.video_url(handle, pid), platform="tiktok",
-        content_type=F.when(_text("post_type") == "video", "video").otherwise("unknown"), username=handle, creator_id=_text("profile_id"),
-        followers=_count("profile_followers"), verified=_flag("is_verified"), caption=caption,
-        tags=[tag_names("hashtags"), T.caption_tags(caption)], music=_music("music.id", "music.title", "music.authorname"),
-        published=_time("create_time"), duration=_duration("video_duration"), views=views,
-        views_metric=_views_metric("tt_brightdata_play_count"), likes=_count("digg_count"), comments=_count("comment_count"),
-        shares=_count("share_count"), saves=_count("collect_count"),
+    f = Fields(B_P1)
+    pid, views, caption, handle = f.id("post_id"), F.col("_views"), f.text("description"), F.col("_handle")
+    first = {
+        "_views": f.count("play_count"), "_handle": F.coalesce(T.video_handle(f.text("url")), T.profile_handle(f.text("profile_url"))),
+    }
+    out = dict(
+        external_id=pid, id_ok=pid.rlike(T.VIDEO_ID), url=T.video_url(handle, pid), platform="tiktok",
+        content_type=F.when(f.text("post_type") == "video", "video").otherwise("unknown"), username=handle, creator_id=f.text("profile_id"),
+        followers=f.count("profile_followers"), verified=f.flag("is_verified"), caption=caption,
+        tags=[f.names("hashtags"), T.caption_tags(caption)], music=_music(f.text("music.id"), f.text("music.title"), f.text("music.authorname")),
+        published=f.time("create_time"), duration=f.duration("video_duration"), views=views,
+        views_metric=_views_metric("tt_brightdata_play_count"), likes=f.count("digg_count"), comments=f.count("comment_count"),
+        shares=f.count("share_count"), saves=f.count("collect_count"),
     )
+    return _shape(_once(f.parse(raw), first), raw.columns, **out)
 
 
 NORMALIZERS = {

@@ -18,10 +18,17 @@ from crestline.session import materialize
 # Raw payloads are written from the events so that every parser branch occurs:
 # k % 10 decides the defect, the user's parity the source.
 
+def spread_events(m):
+    """Events over several tasks per core: parsing is CPU-bound, and a small table is a single scan task.
+
+    The count is given because an adaptive shuffle merges partitions by their bytes, into about one task per core and one more.
+    """
+    return m.events.repartition(4 * m.spark.sparkContext.defaultParallelism, "event_id")
+
+
 def raw_p1(m):
     """Vendor A, first platform: numbers, numeric texts, hidden counts, odd tags, broken records."""
-    # Parsing is CPU-bound and a small table is a single scan task: spread it.
-    e, k = m.events.repartition("event_id"), F.col("k")
+    e, k = spread_events(m), F.col("k")
     vid = (F.col("event_id") + 7_000_000).cast("string")
     views = F.when(k % 10 == 1, F.concat(F.lit('"'), F.col("cents"), F.lit('"'))).when(k % 10 == 2, "-1").when(
         k % 10 == 3, F.concat(F.lit('"'), F.col("cents"), F.lit('.5"'))
@@ -76,7 +83,7 @@ def norm_a1(spark, sf):
 
 def raw_p2(m):
     """Vendor A, second platform: shortcode or URL, hidden likes, both view fields."""
-    e, k = m.events.repartition("event_id"), F.col("k")
+    e, k = spread_events(m), F.col("k")
     code = F.concat(F.lit("S_-"), F.col("event_id") + 100000)
     ident = F.when(k % 10 < 4, F.concat(F.lit('"shortCode":"'), code, F.lit('",'))).when(
         k % 10 < 7, F.concat(F.lit('"url":"https://instagram.com/reel/'), code, F.lit('/?x=1",'))
@@ -113,7 +120,7 @@ def norm_a2(spark, sf):
 
 def raw_b1(m):
     """Vendor B, first platform: handle only from URLs, share counts as text."""
-    e, k = m.events.repartition("event_id"), F.col("k")
+    e, k = spread_events(m), F.col("k")
     vid = (F.col("event_id") + 8_000_000).cast("string")
     link = F.when(k % 4 == 0, F.concat(F.lit('"url":"https://tiktok.com/@b'), F.col("user_id"), F.lit("/video/"), vid, F.lit('",'))).when(
         k % 4 == 1, F.concat(F.lit('"url":"https://v16.cdn.example.com/x.mp4","profile_url":"https://www.tiktok.com/@b'), F.col("user_id"), F.lit('",'))
