@@ -24,16 +24,28 @@ def ingest_batch(raw: DataFrame, store: Store, cfg: Config = DEFAULT) -> None:
     again changes nothing.
     """
     extra = {c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in raw.columns}
-    done = materialize(normalize(raw.withColumns(extra) if extra else raw), "normalized")
+    done = _normalized(raw.withColumns(extra) if extra else raw)
     good, bad = split_rejects(done)
-    obs = materialize(flat_observations(good), "observations")
+    obs = flat_observations(good)
     with store.transaction() as tx:
         write_batch(tx, obs, cfg)
         tx.append("quarantined_items", quarantine_rows(tx.read("quarantined_items"), bad, F.col("observed_at")))
 
 
+def _normalized(raw: DataFrame) -> DataFrame:
+    """Normalised records, stored; only rejects keep their payload, nothing else reads it.
+
+    Parsing is CPU-bound, so records are dealt by their number over several tasks per core: the tasks of a scan go by
+    bytes, and a compressed file of many records is a small one. The count is given because an adaptive shuffle would
+    merge the partitions by their bytes again.
+    """
+    n = 4 * raw.sparkSession.sparkContext.defaultParallelism
+    done = normalize(raw.repartition(n, "provider_job_id", F.xxhash64("payload")))
+    return materialize(done.withColumn("payload", F.when(F.col("reject_kind").isNotNull(), F.col("payload"))), "normalized")
+
+
 def write_batch(tx: Transaction, observations: DataFrame, cfg: Config = DEFAULT, requested: DataFrame | None = None) -> None:
-    """The changes of flat observations (a stored table) to the six post and tag tables.
+    """The changes of flat observations (rows of a stored table) to the six post and tag tables.
 
     ``requested`` (platform, external_id) are posts that refresh jobs asked for.
     """
@@ -112,9 +124,9 @@ def _ingest_known(tx: Transaction, cfg: Config) -> bool:
         F.when(one, F.get("queries", F.lit(0))["query"]).alias("query_text"), F.when(one, F.get("queries", F.lit(0))["hashtag_id"]).alias("query_hashtag_id"),
         F.when(one, F.col("rank_in_results")).alias("rank_in_results"),
     )
-    done = materialize(normalize(raw), "normalized")
+    done = _normalized(raw)
     good, bad = split_rejects(done)
-    obs = materialize(flat_observations(good), "observations")
+    obs = flat_observations(good)
     asked = jobs.where("job_type <> 'HASHTAG_DISCOVERY'").select("platform", F.explode("requested").alias("external_id"))
     write_batch(tx, obs, cfg, asked)
     tx.append("quarantined_items", quarantine_rows(tx.read("quarantined_items"), bad, F.col("observed_at")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.config import DEFAULT
@@ -202,7 +202,8 @@ WHERE reject_kind IS NULL"""
     ),
 )
 def stream_ingest(spark, sf):
-    """Land the derived payloads job by job, in two parts; a third of the jobs enter the ledger only after the first."""
+    """Land the derived payloads of all jobs in bundles, in two parts; a third of the jobs enter the ledger only after the first."""
+    from crestline.sources.raw import land_bundles, stream_bundles
     from crestline.sources.tables import Store
     from crestline.streaming.ingest import ingest_stream
 
@@ -210,14 +211,15 @@ def stream_ingest(spark, sf):
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     store = Store(spark, f"{root}/tables")
     ledger = materialize(job_ledger(m), "ledger")
-    raw = raw_p1(m).withColumn("job_id", F.floor(F.col("event_id") / 200).cast("bigint")).join(ledger.select("job_id", F.unix_millis("submitted_at").alias("at")), "job_id")
-    raw = materialize(raw.select("payload", "provider", "platform", F.col("job_id").alias("job"), "at", "event_id"), "landing-rows")
+    job = F.floor(F.col("event_id") / 200).cast("bigint")
+    raw = raw_p1(m).select("event_id", "provider", "platform", job.alias("job"), "observed_at", "payload")
+    of_job = Window.partitionBy("job")
     for part, jobs in ((F.col("job") % 5 < 3, F.col("job_id") % 3 != 0), (F.col("job") % 5 >= 3, F.col("job_id") % 3 == 0)):
         store.upsert("provider_jobs", ledger.where(jobs))
-        # In the writer's own order, so that it keeps the order of a job's records.
-        rows = raw.where(part).repartition("job").sortWithinPartitions("provider", "platform", "job", "at", "event_id").drop("event_id")
-        rows.write.mode("append").partitionBy("provider", "platform", "job", "at").text(f"{root}/landing")
-        ingest_stream(spark, f"{root}/landing", store, f"{root}/cp")
+        rows = raw.where(part).withColumn("rank_in_results", F.row_number().over(of_job.orderBy("event_id")) - 1)
+        # A job is observed when it is submitted, with its first record.
+        land_bundles(rows.withColumn("at", F.unix_millis(F.min("observed_at").over(of_job))), f"{root}/landing")
+        ingest_stream(spark, f"{root}/landing", store, f"{root}/cp", read=stream_bundles)
     tags = store.read("post_hashtags").join(store.read("hashtags"), "hashtag_id").groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("t"))
     found = store.read("post_discoveries").select("post_id", "query_text", F.col("hashtag_id").alias("query_tag"), "rank_in_results")
     seen = store.read("post_snapshots").select("post_id", "source", "provider_job_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,10 +14,13 @@ from crestline.sources.tables import Store
 
 
 def ingest_stream(
-    spark: SparkSession, landing: str, store: Store, checkpoint: str, cfg: Config = DEFAULT, max_files: int = 1000, name: str = "landing"
+    spark: SparkSession, landing: str, store: Store, checkpoint: str, cfg: Config = DEFAULT, max_files: int = 1000, name: str = "landing",
+    read: Callable[[SparkSession, str, int], DataFrame] = stream_landing,
 ) -> StreamingQuery:
     """Process all landed files and stop; call again to pick up new ones.
 
+    ``read`` is the reader of the landing's layout: pages, or ``stream_bundles``.
+
     Every micro-batch is one commit that adds its records to ``held_items`` and
     notes its number, so a batch that is replayed after a failure is recognised
     and left out. When all files are read, one more commit brings the held
@@ -30,7 +35,7 @@ def ingest_stream(
         hold_items(df, store, (name, batch_id))
 
     q = (
-        stream_landing(spark, landing, max_files)
+        read(spark, landing, max_files)
         .writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
