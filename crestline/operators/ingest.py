@@ -35,16 +35,22 @@ def flat_observations(normalized: DataFrame) -> DataFrame:
 
 
 def fold_posts(observations: DataFrame, tie: str = "observed_at") -> DataFrame:
-    """One row per post from a batch of observations, by map-side-combined aggregates."""
-    order = F.struct("observed_at", tie)
-    aggs = [F.max_by(c, order).alias(c) for c in ALWAYS]
+    """One row per post from a batch of observations, by map-side-combined aggregates.
+
+    A field and the time it was last known come from one maximum, so a post
+    crosses the network with one time per field. At equal times the larger
+    value counts.
+    """
+    at = list(dict.fromkeys(("observed_at", tie)))
     known = [c for c in KNOWN if c in observations.columns]
-    aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in known]
+    newest = [F.max(F.when(F.col(c).isNotNull(), F.struct(*at, c))).alias(f"_{c}") for c in known]
+    rows = observations.groupBy("post_id", *POST_KEY).agg(F.max(F.struct(*at, *ALWAYS)).alias("_last"), *newest, F.min("observed_at").alias("first_seen_at"))
     # When each field was last known, so that later merges can decide field by field.
-    times = [F.max(F.when(F.col(c).isNotNull(), F.col("observed_at"))) for c in known] + [F.max("observed_at") for _ in ALWAYS]
-    aggs.append(F.map_from_arrays(F.array(*[F.lit(c) for c in (*known, *ALWAYS)]), F.array(*times)).alias("known_at"))
-    return observations.groupBy("post_id", *POST_KEY).agg(
-        *aggs, F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at")
+    last = F.col("_last.observed_at")
+    times = [F.col(f"_{c}.observed_at") for c in known] + [last for _ in ALWAYS]
+    return rows.select(
+        "post_id", *POST_KEY, *[F.col(f"_last.{c}").alias(c) for c in ALWAYS], *[F.col(f"_{c}.{c}").alias(c) for c in known],
+        F.map_from_arrays(F.array(*[F.lit(c) for c in (*known, *ALWAYS)]), F.array(*times)).alias("known_at"), "first_seen_at", last.alias("last_seen_at"),
     )
 
 

@@ -54,13 +54,12 @@ def write_batch(tx: Transaction, observations: DataFrame, cfg: Config = DEFAULT,
     if requested is not None:
         seen = observations.where("source = 'REFRESH'").select("platform", "external_id", F.col("observed_at").alias("refreshed_at"))
         effects["posts"] = complete_refreshes(effects["posts"], seen, requested, None, cfg)
-    # The folds read both, and the history they are judged by must not hold them yet.
-    for name in ("posts", "post_snapshots"):
-        effects[name] = materialize(effects[name], f"batch-{name}")
-    effects["post_folds"] = merge_folds(stored["post_folds"], effects["posts"], effects["post_snapshots"], stored["post_snapshots"], cfg)
-    for name in ("post_hashtags", "post_discoveries", "post_snapshots"):
+    # The folds read both as they are stored; the history they are judged by, read before, does not hold them.
+    posts, fresh = tx.upsert("posts", effects["posts"]), tx.append("post_snapshots", effects["post_snapshots"])
+    effects["post_folds"] = merge_folds(stored["post_folds"], posts, fresh, stored["post_snapshots"], cfg)
+    for name in ("post_hashtags", "post_discoveries"):
         tx.append(name, effects[name])
-    for name in ("hashtags", "posts", "post_folds"):
+    for name in ("hashtags", "post_folds"):
         tx.upsert(name, effects[name])
 
 

@@ -220,11 +220,12 @@ def stream_ingest(spark, sf):
         # A job is observed when it is submitted, with its first record.
         land_bundles(rows.withColumn("at", F.unix_millis(F.min("observed_at").over(of_job))), f"{root}/landing")
         ingest_stream(spark, f"{root}/landing", store, f"{root}/cp", read=stream_bundles)
-    tags = store.read("post_hashtags").join(store.read("hashtags"), "hashtag_id").groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("t"))
+    tags = store.read("post_hashtags").join(store.read("hashtags", ["hashtag_id", "name"]), "hashtag_id").groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("t"))
     found = store.read("post_discoveries").select("post_id", "query_text", F.col("hashtag_id").alias("query_tag"), "rank_in_results")
     seen = store.read("post_snapshots").select("post_id", "source", "provider_job_id")
-    jobs = store.read("provider_jobs").select(F.col("job_id").alias("provider_job_id"), F.col("records_returned").alias("job_returned"), F.col("records_quarantined").alias("job_quarantined"))
-    rows = store.read("posts").join(seen, "post_id").join(jobs, "provider_job_id").join(tags, "post_id").join(found, "post_id", "left")
+    jobs = store.read("provider_jobs", ["job_id", "records_returned", "records_quarantined"]).select(F.col("job_id").alias("provider_job_id"), F.col("records_returned").alias("job_returned"), F.col("records_quarantined").alias("job_quarantined"))
+    posts = store.read("posts", ["post_id", "external_id", "views", "last_seen_at", "paid_refresh_count"])
+    rows = posts.join(seen, "post_id").join(jobs, "provider_job_id").join(tags, "post_id").join(found, "post_id", "left")
     return out(
         rows, "external_id", "views", us("last_seen_at").alias("last_seen_at"), F.concat_ws("|", F.transform("t", lambda x: x["name"])).alias("tags"), "source", "provider_job_id", "query_text", "query_tag",
         "rank_in_results", F.col("paid_refresh_count").alias("refreshes"), "job_returned", "job_quarantined",
